@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_forest
+from . import bpe_tree, minhash_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,16 @@ def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.components(docs, shingle=3, num=85, den=100)
 
 
+def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe_tree.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     "op2_minhash_forest": op2_minhash_forest,
+    "op10_bpe_tree": op10_bpe_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
