@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, minhash_forest
+from . import bpe_tree, minhash_forest, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.components(docs, shingle=3, num=85, den=100)
 
 
+def op3_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return suffix_dedup.cut(docs).drop("kept")
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +34,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_forest": op2_minhash_forest,
+    "op3_column_suffix_dedup": op3_column_suffix_dedup,
     "op10_bpe_tree": op10_bpe_tree,
 }
 
