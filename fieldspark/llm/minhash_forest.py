@@ -218,9 +218,10 @@ def components(
     wanted = num / den - 5 * (num / den * (1 - num / den) / places) ** 0.5
     pairs = written(pairs.mapInArrow(_alike(places), "a long, b long, alike double").where(F.col("alike") >= wanted), "pairs")
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    text = written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+
     def confirm(some: DataFrame) -> DataFrame:
-        ends = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        text = own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
         with_a = some.select("a", "b").join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(shingle, num, den), "a long, b long")
