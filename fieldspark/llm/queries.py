@@ -6,15 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, minhash_forest, suffix_dedup
+from . import bpe_tree, knn_quality, minhash_forest, suffix_dedup, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return minhash_forest.components(docs, shingle=3, num=85, den=100)
@@ -25,6 +21,15 @@ def op3_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut(docs).drop("kept")
 
 
+def op7_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return knn_quality.scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +40,8 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_column_suffix_dedup": op3_column_suffix_dedup,
+    "op7_knn_quality": op7_knn_quality,
+    "op8_closed_syncmers": op8_closed_syncmers,
     "op10_bpe_tree": op10_bpe_tree,
 }
 
