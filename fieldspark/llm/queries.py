@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, knn_quality, minhash_forest, suffix_dedup, syncmers
+from . import bpe_tree, fair_queue, knn_quality, mincut_html, minhash_forest, suffix_dedup, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op3_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut(docs).drop("kept")
 
 
+def op6_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_queue.shares(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return knn_quality.scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -30,6 +34,10 @@ def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut_html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,9 +48,13 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_column_suffix_dedup": op3_column_suffix_dedup,
+    "op6_fair_queue": op6_fair_queue,
     "op7_knn_quality": op7_knn_quality,
     "op8_closed_syncmers": op8_closed_syncmers,
+    "op9_mincut_html": op9_mincut_html,
     "op10_bpe_tree": op10_bpe_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_fair_queue": fair_queue.SHARES_SQL,
+}
