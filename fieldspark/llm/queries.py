@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, fair_queue, knn_quality, mincut_html, minhash_forest, suffix_dedup, syncmers
+from . import bpe_tree, fair_queue, knn_quality, mincut_html, minhash_forest, robust_rules, suffix_dedup, syncmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op3_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut(docs).drop("kept")
 
 
+def op5_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_rules.verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_queue.shares(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -48,6 +52,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_minhash_forest": op2_minhash_forest,
     "op3_column_suffix_dedup": op3_column_suffix_dedup,
+    "op5_robust_rules": op5_robust_rules,
     "op6_fair_queue": op6_fair_queue,
     "op7_knn_quality": op7_knn_quality,
     "op8_closed_syncmers": op8_closed_syncmers,
