@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_tree, fair_queue, knn_quality, mincut_html, minhash_forest, robust_rules, suffix_dedup, syncmers
+from . import bpe_tree, fair_queue, knn_quality, lm_scoring, mincut_html, minhash_forest, robust_rules, suffix_dedup, syncmers, warc_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("id"))
+    return lm_scoring.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), good)
+
+
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return minhash_forest.components(docs, shingle=3, num=85, den=100)
@@ -21,6 +28,11 @@ def op3_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut(docs).drop("kept")
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc_revisits.resolve(warc_revisits.records_of_pages(pages))
+
+
 def op5_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules.verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -50,8 +62,10 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_minhash_forest": op2_minhash_forest,
     "op3_column_suffix_dedup": op3_column_suffix_dedup,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_robust_rules": op5_robust_rules,
     "op6_fair_queue": op6_fair_queue,
     "op7_knn_quality": op7_knn_quality,
@@ -61,5 +75,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc_revisits": warc_revisits.RESOLVE_SQL,
     "op6_fair_queue": fair_queue.SHARES_SQL,
 }
