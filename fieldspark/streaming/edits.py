@@ -115,6 +115,6 @@ def replay_stream(edits: DataFrame, by: str = "field_id", max_undo: int = MAX_UN
 
 def debounce(changes: DataFrame, gap: str = "800 milliseconds", watermark: str | None = None, by: str = "key") -> DataFrame:
     """(by, start, end, value, n): one row for each burst of changes (by, ts, seq, value); the last value counts. On a stream give a watermark."""
-    rows = changes.withWatermark("ts", watermark) if watermark else changes
+    rows = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark) if watermark else changes
     out = rows.groupBy(by, F.session_window("ts", gap).alias("burst")).agg(F.max_by("value", F.struct("ts", "seq")).alias("value"), F.count("*").alias("n"))
     return out.select(by, F.col("burst.start").alias("start"), F.col("burst.end").alias("end"), "value", "n")
