@@ -158,7 +158,21 @@ def ordering_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ridges.ordering_stats(ordered, d.points(spark, sf_dir), peaks)
 
 
-@query()
+# The first 200 pairs of a ridge in a fixed scrambled order (all, if there are no more); most points within 0.4, then least squared error.
+_FITTED = f"""{_ASSIGNED},
+  r AS (SELECT o.field_id, o.fid, o.ridge_id, v.along, v.perp, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o.field_id, o.ridge_id) AS n
+        FROM ordered o JOIN v USING (field_id, fid) WHERE o.ridge_id >= 0 WINDOW w AS (PARTITION BY o.field_id, o.ridge_id ORDER BY o.fid)),
+  pairs AS (SELECT a.field_id, a.ridge_id, CASE WHEN a.along = b.along THEN 0 ELSE (b.perp - a.perp) / (b.along - a.along) END AS slope, a.along AS x0, a.perp AS y0, b.along AS x1, b.perp AS y1,
+            row_number() OVER (PARTITION BY a.field_id, a.ridge_id ORDER BY CASE WHEN a.n * (a.n - 1) / 2 <= 200 THEN 0 ELSE (a.i * 7919 + b.i * 104729) % 1000003 END, a.i, b.i) AS nr
+            FROM r a JOIN r b ON a.field_id = b.field_id AND a.ridge_id = b.ridge_id AND a.i < b.i QUALIFY nr <= 200),
+  lines AS (SELECT *, CASE WHEN x0 = x1 THEN (y0 + y1) / 2 ELSE y0 - slope * x0 END AS shift FROM pairs),
+  fits AS (SELECT l.field_id, l.ridge_id, l.nr, count(*) FILTER (abs(perp - slope * along - shift) <= 0.4) AS c, coalesce(sum((perp - slope * along - shift) ** 2) FILTER (abs(perp - slope * along - shift) <= 0.4), 0) AS sq
+           FROM lines l JOIN r ON r.field_id = l.field_id AND r.ridge_id = l.ridge_id GROUP BY ALL),
+  best AS (SELECT field_id, ridge_id, arg_min(nr, struct_pack(c := -c, sq := sq, nr := nr)) AS nr FROM fits GROUP BY ALL),
+  flags AS (SELECT r.field_id, r.fid, abs(perp - slope * along - shift) <= 0.4 AS good FROM r JOIN best USING (field_id, ridge_id) JOIN lines l ON l.field_id = r.field_id AND l.ridge_id = r.ridge_id AND l.nr = best.nr)"""
+
+
+@query(f"WITH RECURSIVE {_FITTED} SELECT field_id, fid, x, y, ridge_id, coalesce(good, is_inlier) AS is_inlier FROM ordered LEFT JOIN flags USING (field_id, fid)")
 def ransac_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ridges.order_points(d.points(spark, sf_dir), d.directions(spark, sf_dir), _peaks(spark, sf_dir), BUFFER, residual=0.4, max_trials=200)
 
@@ -305,6 +319,38 @@ def subplots_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("part_id", "id", "row", "col", (F.round(first["x"], 5) + F.lit(0.0)).alias("x"), (F.round(first["y"], 5) + F.lit(0.0)).alias("y"))
 
 
+@query(
+    """WITH n AS (SELECT n_nationkey::BIGINT AS part_id, radians(7 * n_nationkey) AS t, CASE WHEN cos(radians(7 * n_nationkey)) < 0 THEN -1 ELSE 1 END AS s FROM nation)
+    SELECT part_id, round(degrees(atan2(s * sin(t), s * cos(t))), 6) + 0 AS angle FROM n"""
+)
+def optimal_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = d.boundaries(spark, sf_dir).drop("field_id").withColumnRenamed("part_id", "key").withColumn("part_id", F.lit(0))
+    return _rounded(polygons.optimal_rotation(parts, ["key"]).withColumnRenamed("key", "part_id"), "angle")
+
+
+@query(
+    f"""WITH c AS ({d.BOUNDARIES_SQL}) SELECT n_nationkey::BIGINT AS part_id,
+    round(60 * (n_nationkey % 5) + 60 - (40 + 3 * n_nationkey) * cos(t), 5) + 0 AS x0, round(22 - (40 + 3 * n_nationkey) * sin(t), 5) + 0 AS y0,
+    round(60 * (n_nationkey % 5) + 60 + (40 + 3 * n_nationkey) * cos(t), 5) + 0 AS x1, round(22 + (40 + 3 * n_nationkey) * sin(t), 5) + 0 AS y1 FROM (SELECT *, radians(7 * n_nationkey) AS t FROM nation)"""
+)
+def direction_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line through each rectangle's centre along its own long side."""
+    rows = polygons.vertices_of(d.boundaries(spark, sf_dir)).select(F.col("part_id").alias("key"), "x", "y")
+    along = rows.select("key").distinct().select("key", F.cos(F.radians(7.0 * F.col("key"))).alias("ux"), F.sin(F.radians(7.0 * F.col("key"))).alias("uy"))
+    out = polygons.direction_segments(rows, along, ["key"]).withColumnRenamed("key", "part_id")
+    return out.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("x0", "y0", "x1", "y1")})
+
+
+@query(f"WITH c AS ({d.BOUNDARIES_SQL}) SELECT field_id, count(DISTINCT part_id) AS n, 'not exactly one boundary' AS problem FROM c GROUP BY field_id HAVING count(DISTINCT part_id) <> 1")
+def boundary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pt.boundary_violations(d.boundaries(spark, sf_dir), single=True)
+
+
+@query(f"WITH c AS ({d.BOUNDARIES_SQL}) SELECT field_id, part_id, k::INT AS at, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y FROM c")
+def boundary_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(polygons.vertices_of(d.boundaries(spark, sf_dir)).drop("ring"), "x", "y")
+
+
 def _grid_and_area(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cells of every nation's grid, and an L of two rectangles that all of them are held against."""
     ell = [(0, 0), (300, 0), (300, 25), (120, 25), (120, 60), (0, 60)]
@@ -433,16 +479,38 @@ def crop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS ({d.EDITS_SQL}) SELECT field_id, min(ts) AS first_ts, arg_max(action, seq) AS value, count(*) AS n FROM
+    f"""WITH e AS ({d.EDITS_SQL}) SELECT field_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts, arg_max(action, seq) AS value, count(*) AS n FROM
     (SELECT *, sum(new) OVER (PARTITION BY field_id ORDER BY ts, seq) AS burst FROM (SELECT *, (lag(ts) OVER (PARTITION BY field_id ORDER BY ts, seq) IS NULL OR ts - lag(ts) OVER (PARTITION BY field_id ORDER BY ts, seq) >= INTERVAL 4 HOUR)::INT AS new FROM e))
     GROUP BY field_id, burst"""
 )
 def edit_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = d.edits(spark, sf_dir).withColumnRenamed("action", "value")
-    return ed.debounce(changes, "4 hours", by="field_id").select("field_id", F.col("start").alias("first_ts"), "value", "n")
+    return ed.debounce(changes, "4 hours", by="field_id").select("field_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_ts"), "value", "n")
+
 
+_POINT = "STRUCT(fid BIGINT, x DOUBLE, y DOUBLE)[]"
+_STEP = "STRUCT(did VARCHAR, fid BIGINT, x DOUBLE, y DOUBLE)[]"
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY seq) AS nr FROM ({d.EDITS_SQL})),
+    w AS (
+      SELECT field_id, 0::BIGINT AS nr, []::{_POINT} AS pts, []::{_STEP} AS stack, 0::BIGINT AS nxt FROM e GROUP BY field_id
+      UNION ALL
+      SELECT field_id, nr,
+        CASE WHEN action = 'add' THEN list_append(pts, struct_pack(fid := nxt, x := x, y := y))
+             WHEN action = 'undo' AND len(stack) > 0 THEN CASE WHEN stack[-1].did = 'add' THEN rest_undo ELSE list_append(rest_undo, struct_pack(fid := stack[-1].fid, x := stack[-1].x, y := stack[-1].y)) END
+             WHEN action = 'move' AND len(hit) > 0 THEN list_append(rest, struct_pack(fid := fid, x := x, y := y))
+             WHEN action = 'delete' AND len(hit) > 0 THEN rest ELSE pts END,
+        CASE WHEN action = 'add' THEN list_append(stack, struct_pack(did := 'add', fid := nxt, x := NULL::DOUBLE, y := NULL::DOUBLE))
+             WHEN action = 'undo' AND len(stack) > 0 THEN stack[:-2]
+             WHEN action IN ('move', 'delete') AND len(hit) > 0 THEN list_append(stack, struct_pack(did := action, fid := fid, x := hit[1].x, y := hit[1].y)) ELSE stack END,
+        nxt + (action = 'add')::INT
+      FROM (SELECT w.field_id, e.nr, w.pts, w.stack, w.nxt, e.action, e.fid, e.x, e.y, list_filter(w.pts, lambda p: p.fid = e.fid) AS hit, list_filter(w.pts, lambda p: p.fid <> e.fid) AS rest,
+              list_filter(w.pts, lambda p: p.fid <> w.stack[-1].fid) AS rest_undo FROM w JOIN e ON e.field_id = w.field_id AND e.nr = w.nr + 1)),
+    last AS (SELECT field_id, arg_max(pts, nr) AS pts FROM w GROUP BY field_id)
+    SELECT field_id, p.fid AS fid, p.x AS x, p.y AS y FROM (SELECT field_id, unnest(pts) AS p FROM last)"""
+)
 def edit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.replay(d.edits(spark, sf_dir))
 
