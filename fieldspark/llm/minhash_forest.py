@@ -12,6 +12,11 @@ Candidates pass a bound on set sizes and a wide cut on the signatures' likeness.
 left is confirmed on the full shingle sets of the texts: first every set with its
 most central candidate, then all candidates that still join different components.
 
+In a region that is larger than sorted neighbours can cover, some sets may still stand outside the component of its
+centre. For these an exact way follows: they are held against every set of those
+regions with which they share one of their rarest shingles, as many as two sets over the threshold must
+share one of (prefix filtering). Their number is small where the region is one group of near copies.
+
 Edge cases. A null or empty text, or one without words, has an empty set and is
 linked with nothing. A text with fewer words than a shingle is one shingle. Equal
 sets (copies, repeated rows) are one class, so copies are never expanded into pairs.
@@ -27,12 +32,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .shared import connected_components, unused, written
 
-TREES, DEPTH, SHORTEST = 16, 8, 2
+TREES, DEPTH, SHORTEST, REACH = 16, 8, 2, 3
 _PLACES = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -166,6 +172,37 @@ def _confirmed(size: int, num: int, den: int):
     return run
 
 
+def _shingle_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in tb.chunks(batch.column(1)):
+                sets = shingle_hashes(data, at, size)
+                count = [len(s) for s in sets]
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[lo:hi], count)
+                n = np.repeat(count, count)
+                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(every.view(np.int64)), pa.array(n, pa.int64())], names=["id", "shingle", "n"])
+
+    return run
+
+
+def _sharing_rare(some: DataFrame, text: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of an id of some(id) and one of text(id, text) that share a rare shingle; holds all pairs over the threshold.
+
+    Sets of n shingles over it have more than n - ceil(num * n / den) in common in any order of all shingles, so one
+    of that many first ones, and one more, is common; rare ones come first.
+    """
+    rows = text.mapInArrow(_shingle_rows(size), "id long, shingle long, n long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = W.partitionBy("id").orderBy("often", "shingle")
+    first = rows.join(often, "shingle").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    first = written(first.select("id", "shingle", "n"), "rare")
+    mine = first.join(some, "id", "left_semi")
+    pair = mine.select(F.col("id").alias("x"), "shingle", F.col("n").alias("nx")).join(first, "shingle").where("id <> x")
+    pair = pair.where((den * F.least("n", "nx")) >= (num * F.greatest("n", "nx")))
+    return pair.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
+
+
 def components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -198,7 +235,7 @@ def components(
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = forest.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    beside = order.select("tree", "key", "id").mapInArrow(_neighbours(3, SHORTEST, depth), "a long, b long")
+    beside = order.select("tree", "key", "id").mapInArrow(_neighbours(REACH, SHORTEST, depth), "a long, b long")
 
     regions = forest.groupBy("tree", F.substring("key", 1, 4 * SHORTEST).alias("prefix")).agg(F.count("*").alias("c")).where("c > 4").drop("c")
     dense = forest.withColumn("prefix", F.substring("key", 1, 4 * SHORTEST)).join(regions, ["tree", "prefix"], "left_semi")
@@ -241,7 +278,26 @@ def components(
     rest = rest.join(part.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     rest = written(rest.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "rest")
     more = written(confirm(rest), "more")
-    found = written(connected_components(sure.union(more)), "components")
+    links = sure.union(more)
+    found = written(connected_components(links), "components")
+
+    # Sets of crowded regions that stand outside the component of the region's centre.
+    middle = 4 * (depth // 2)
+    placed = forest.select("id", "tree", F.substring("key", 1, middle).alias("prefix"))
+    crowds = placed.groupBy("tree", "prefix").agg(F.count("*").alias("c")).where(F.col("c") > 2 * REACH + 1)
+    crowds = crowds.join(leaders, ["tree", "prefix"]).join(found.select(F.col("id").alias("leader"), F.col("component").alias("cl")), "leader", "left")
+    crowds = crowds.select("tree", "prefix", F.coalesce("cl", "leader").alias("center"))
+    inside = placed.join(text.select("id"), "id", "left_semi").join(crowds, ["tree", "prefix"]).join(found, "id", "left")
+    inside = written(inside.select("id", "tree", "prefix", (F.coalesce("component", "id") != F.col("center")).alias("outside")), "crowded")
+    outside = written(inside.where("outside").select("id").distinct(), "outside")
+    if not outside.isEmpty():
+        around = inside.where("outside").select("tree", "prefix").distinct()
+        around = inside.join(around, ["tree", "prefix"], "left_semi").select("id").distinct()
+        last = _sharing_rare(outside, text.join(around, "id", "left_semi"), shingle, num, den).join(pairs, ["a", "b"], "left_anti")
+        last = last.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+        last = last.join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+        last = written(last.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "last")
+        found = written(connected_components(links.union(written(confirm(last), "late"))), "components")
 
     ids = classes.select("class", F.col("id").alias("first_id")).join(found.withColumnRenamed("id", "first_id"), "first_id", "left")
     ids = ids.select("class", F.coalesce("component", "first_id").alias("component"))
