@@ -39,9 +39,10 @@ CLOSES_P = frozenset("p div ul ol dl li table h1 h2 h3 h4 h5 h6 section article
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HINTS_AGAINST = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?|sidebar|aside|footer|"
-    r"header|masthead|comments?|respond|replies|disqus|share|social|related|recommend\w*|widget|login|signup|search|pagination|pager|tags?|toolbar|skip|legal|copyright|outbrain|taboola)(?=$|[\s_-])",
+    r"comments?|respond|replies|disqus|share|social|related|recommend\w*|widget|login|signup|search|pagination|pager|tags?|toolbar|skip|legal|copyright|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+SITE_HINTS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.I)  # inside an article they name its own heading
 HINTS_FOR = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
 
 TOKEN = re.compile(
@@ -66,7 +67,7 @@ class Node:
         if tag in ASIDE and not (tag == "header" and inside):
             self.against += 1
         if names and tag not in ("html", "body", "article", "main"):
-            if HINTS_AGAINST.search(names):
+            if HINTS_AGAINST.search(names) or not inside and SITE_HINTS.search(names):
                 self.against += 1
             elif HINTS_FOR.search(names):
                 self.favour = max(self.favour, 1.5)
