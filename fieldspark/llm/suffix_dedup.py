@@ -19,8 +19,8 @@ of their 24-byte strings) are one piece. (1) Minimizers are exchanged in packed
 to find those that at least two documents hold. (2) Only pieces with such a
 minimizer go on, dealt by minimizer, so that equal windows meet; where a minimizer is
 in very many documents its windows are dealt by their own hash instead, so a common line
-with many contexts is split. Copies are merged to one piece with its least and greatest id
-before they are dealt. (3) Each occurrence of a piece looks up the least ids of
+with many contexts is split. Whole copies are cut first, and equal pieces of a task
+are merged to one with its least and greatest id before they are dealt. (3) Each occurrence of a piece looks up the least ids of
 its windows by a join, and documents cut out what is covered.
 
 Edge cases. A null or empty text has no bytes. A text shorter than ``length`` keeps all.
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .shared import unused
 
-LENGTH, GRAM, LONGEST_PIECE, COMMON = 50, 24, 64, 256
+LENGTH, GRAM, LONGEST_PIECE, COMMON = 50, 24, 64, 4096
 RUN = np.dtype([("n", "u1"), ("doc", "<i8")])
 
 
@@ -53,13 +53,13 @@ def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def pieces(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, windows, hash of minimizer, hash of bytes) of the pieces of the given texts."""
+def pieces(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, windows, hash of minimizer) of the pieces of the given texts."""
     run = tb.prefix_hash(data)
     least = tb.sliding_min(tb.window_hash(run, gram), length - gram + 1)
     n = len(least)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     edge = np.zeros(len(data) + 2, np.int8)
     long = np.diff(at) >= length
     edge[at[:-1][long]] += 1
@@ -78,7 +78,12 @@ def pieces(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = G
         nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
         left = np.repeat(count, more) - nth * LONGEST_PIECE
         first, count = np.repeat(first, more) + nth * LONGEST_PIECE, np.minimum(left, LONGEST_PIECE)
-    return first, count, tb.mix(least[first]), tb.span_hash(run, first, first + count + length - 1)
+    return first, count, tb.mix(least[first])
+
+
+def keys(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash for each span, as two."""
+    return tb.span_hash(tb.prefix_hash(data), first, end), tb.span_hash(tb.prefix_hash(255 - data), first, end)
 
 
 def _minimizers(parts: int):
@@ -91,7 +96,7 @@ def _minimizers(parts: int):
             null = np.asarray(batch.column(0).is_null())
             every, doc = [], []
             for lo, _, data, at in tb.chunks(batch.column(1)):
-                first, _, key, _ = pieces(data, at)
+                first, _, key = pieces(data, at)
                 row = np.searchsorted(at, first, "right") - 1 + lo
                 order = np.lexsort((row, key))
                 key, row = key[order], row[order]
@@ -117,7 +122,10 @@ def _minimizers(parts: int):
 
 
 def _held_twice(common: int):
-    """For each document its minimizers that another document holds, and those that very many hold."""
+    """For each document its minimizers that another document holds: 30 bits of hash and two marks.
+
+    Mark 1: a document of smaller id holds it. Mark 2: very many documents hold it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         values, docs = [], []
@@ -126,57 +134,56 @@ def _held_twice(common: int):
             values.append(np.frombuffer(v, "<u4"))
             docs.append(np.frombuffer(d, "<u4" if len(d) == len(v) else "<i8").astype(np.int64) + least)
         value, doc = np.concatenate(values), np.concatenate(docs)
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value >> 2, kind="stable")
         value, doc = value[order], doc[order]
-        start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        start = np.flatnonzero(np.r_[True, (value[1:] ^ value[:-1]) > 3])
         count = np.diff(np.r_[start, len(value)])
         shared = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
+        least = np.repeat(np.minimum.reduceat(doc, start), count)
         keep, many = np.repeat(shared, count), np.repeat(count >= common, count)
-        value, doc, many = value[keep], doc[keep], many[keep]
-        order = np.lexsort((many, doc))
-        value, doc, many = value[order], doc[order], many[order]
-        start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
-        if not len(start):
-            return pa.table({"id": pa.array([], pa.int64()), "some": pa.array([], pa.binary()), "many": pa.array([], pa.binary())})
-        count = np.diff(np.r_[start, len(doc)])
-        hot = np.add.reduceat(many.astype(np.int64), start)
-        return pa.table({"id": doc[start], "some": packed(value[~many], count - hot), "many": packed(value[many], hot)})
+        kind = (2 * many + (doc > least))[keep]
+        value, doc = value[keep], doc[keep]
+        marks = (value & ~np.uint32(3)) | kind.astype(np.uint32)
+        return pa.table({"id": doc, "mark": marks.view(np.int32)})
 
     return run
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and value of each 32-bit value in a list<binary> column."""
+    """Row and value of each 32-bit value in an array<int> column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lists = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    data, at = tb.utf8(column.flatten())
-    return np.repeat(lists, np.diff(at) // 4), data.view("<u4")
+    rows = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    return rows, column.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+
 
+def _found(batch: pa.RecordBatch, later: bool):
+    """Pieces of a batch (id, text, marks) whose minimizer is marked, or only those that a smaller id holds too.
 
-def _found(batch: pa.RecordBatch):
-    """Pieces of a batch (id, text, some, many) whose minimizer was found: row, first byte in the row, windows, keys, bytes of all texts."""
-    some, many = _flat(batch.column(2)), _flat(batch.column(3))
-    wanted = [np.unique(r.astype(np.uint64) << np.uint64(32) | v) for r, v in (some, many)]
+    Row, first byte in the batch, windows, hash to deal by, bytes of all texts and their offsets.
+    """
     data, at = tb.utf8(batch.column(1))
+    own, mark = _flat(batch.column(2))
+    use = (mark & 1 == 1) | (not later)
+    own = own.astype(np.uint64) << np.uint64(32) | (mark >> 2)
+    wanted = [np.unique(own[use & (mark & 2 == many)]) for many in (0, 2)]
     out = []
     for lo, _, part, part_at in tb.chunks(batch.column(1)):
-        first, count, key, own = pieces(part, part_at)
+        first, count, key = pieces(part, part_at)
         row = np.searchsorted(part_at, first, "right") - 1 + lo
-        ask = row.astype(np.uint64) << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))
+        ask = row.astype(np.uint64) << np.uint64(32) | ((key & np.uint64(0xFFFFFFFF)) >> np.uint64(2))
         hot = _among(ask, wanted[1])
-        use = _among(ask, wanted[0]) | hot
-        row, first, count, key, own, hot = row[use], first[use] + at[lo], count[use], key[use], own[use], hot[use]
-        n = np.where(hot, count, 1)  # a very common minimizer: its windows one by one
-        if hot.any():
+        take = _among(ask, wanted[0]) | hot
+        row, first, count, key, hot = row[take], first[take], count[take], key[take], hot[take]
+        if hot.any():  # a very common minimizer: its windows one by one
+            n = np.where(hot, count, 1)
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row, key, own, hot, first, count = (np.repeat(x, n) for x in (row, key, own, hot, first, count))
+            row, key, hot, first, count = (np.repeat(x, n) for x in (row, key, hot, first, count))
             first, count = first + nth, np.where(hot, 1, count)
-            mine = tb.prefix_hash(part)
-            own = np.where(hot, tb.span_hash(mine, first - at[lo], first - at[lo] + count + LENGTH - 1), own)
-            key = np.where(hot, tb.mix(own + np.uint64(1)), key)
-        out.append((row, first, count, key, own))
-    row, first, count, key, own = (np.concatenate(x) for x in zip(*out, strict=True))
-    return row, first, count, key.view(np.int64), own.view(np.int64), data, at
+            key = np.where(hot, tb.span_hash(tb.prefix_hash(part), first, first + count + LENGTH - 1), key)
+        k1, k2 = keys(part, first, first + count + LENGTH - 1)
+        out.append((row, first + at[lo], count, key, k1, k2))
+    row, first, count, key, k1, k2 = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, first, count, key, k1.view(np.int64), k2.view(np.int64), data, at
 
 
 def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -201,27 +208,19 @@ def _distinct_pieces(parts: int):
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            row, first, count, key, own, data, _ = _found(batch)
+            row, first, count, key, k1, k2, data, _ = _found(batch, later=False)
             if not len(row):
                 continue
             doc = ids[row]
-            order = np.lexsort((doc, own, key))
-            new = np.r_[True, (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])]
+            order = np.lexsort((doc, k2, k1))
+            new = np.r_[True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])]
             start = np.flatnonzero(new)
             last = np.r_[start[1:], len(order)] - 1
-            one = order[start]
-            for lo in range(0, len(one), 20_000):
-                k, top = one[lo : lo + 20_000], order[last[lo : lo + 20_000]]
+            part = (key % np.uint64(parts)).astype(np.int32)
+            for lo in range(0, len(start), 20_000):
+                k, top = order[start[lo : lo + 20_000]], order[last[lo : lo + 20_000]]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((key[k].view(np.uint64) % np.uint64(parts)).astype(np.int32)),
-                        pa.array(key[k]),
-                        pa.array(own[k]),
-                        pa.array(doc[k]),
-                        pa.array(doc[top]),
-                        _cut_out(data, first[k], count[k] + LENGTH - 1),
-                    ],
-                    names=["part", "k1", "k2", "low", "high", "piece"],
+                    [pa.array(part[k]), pa.array(doc[k]), pa.array(doc[top]), _cut_out(data, first[k], count[k] + LENGTH - 1)], names=["part", "low", "high", "piece"]
                 )
 
     return run
@@ -237,25 +236,24 @@ def equal_windows(data: np.ndarray, start: np.ndarray, length: int, folder: str)
     columns = np.memmap(f"{folder}/columns", np.uint8, "w+", shape=(length, m))
     for j in range(length):
         columns[j] = data[start + j]
-    transform = np.memmap(f"{folder}/transform", np.uint8, "w+", shape=(length, m))
     order, prefix = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
     for j in range(length - 1, -1, -1):
-        symbol = columns[j][order]  # this round's segment of the transform
-        transform[j] = symbol
+        symbol = columns[j][order]
+        columns[j] = symbol  # the column is used up: this round's segment of the transform takes its place
         moved = np.argsort(symbol, kind="stable")  # where each suffix goes when its symbol is in front
         order, symbol, before = order[moved], symbol[moved], prefix[moved]
-        parted = np.empty(m, np.int32)
-        parted[0] = 0
+        parted = np.zeros(m, np.int32)
         parted[1:] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
         prefix = np.cumsum(parted, dtype=np.int32)
-    del columns, transform
+    del columns
     return order, prefix
 
 
 def _least_ids(table: pa.Table) -> pa.Table:
     """For each piece that shares a window: runs of windows with the least id that holds them."""
-    k1, k2, low, high = (table[c].to_numpy() for c in ("k1", "k2", "low", "high"))
+    low, high = table["low"].to_numpy(), table["high"].to_numpy()
     data, at = tb.utf8(table["piece"])
+    k1, k2 = (k.view(np.int64) for k in keys(data, at[:-1], at[1:]))
     count = np.diff(at) - LENGTH + 1
     of = np.repeat(np.arange(len(k1)), count)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
@@ -285,10 +283,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        row, first, _, key, own, _, at = _found(batch)
+        row, first, _, _, k1, k2, _, at = _found(batch, later=True)
         for lo in range(0, len(row), 50_000):
             p = slice(lo, lo + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(own[p]), pa.array(ids[row[p]]), pa.array(first[p] - at[row[p]])], names=["k1", "k2", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1[p]), pa.array(k2[p]), pa.array(ids[row[p]]), pa.array(first[p] - at[row[p]])], names=["k1", "k2", "id", "at"])
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,25 +329,38 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lo, hi): spans of bytes that go, each of at least LENGTH bytes; they may overlap."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = own.mapInArrow(_minimizers(2 * parts), "bucket int, least long, value binary, doc binary")
-    flags = blocks.groupBy("bucket").applyInArrow(_held_twice(COMMON), "id long, some binary, many binary")
-    flags = flags.groupBy("id").agg(F.collect_list("some").alias("some"), F.collect_list("many").alias("many"))
-    with_flags = own.join(flags, "id").select("id", "text", "some", "many")
-    distinct = with_flags.mapInArrow(_distinct_pieces(4 * parts), "part int, k1 long, k2 long, low long, high long, piece binary")
+def _ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return own.where("id is not null")
+
+
+def spans(own: DataFrame) -> DataFrame:
+    """(id, lo, hi) from (id, text): spans of bytes that go, each of at least LENGTH bytes; they may overlap.
+
+    Whole copies go at once, and the rest of the work sees one document of each text.
+    """
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    texts = own.select("id", F.octet_length("text").cast("long").alias("hi"), F.sha2("text", 256).alias("sha"))
+    firsts = texts.groupBy("sha").agg(F.min("id").alias("first"))
+    copies = texts.join(firsts, "sha").where((F.col("id") > F.col("first")) & (F.col("hi") >= LENGTH)).select("id", F.lit(0).cast("long").alias("lo"), "hi")
+    once = own.join(firsts.select(F.col("first").alias("id")).distinct(), "id")
+
+    blocks = once.mapInArrow(_minimizers(max(4, parts // 3)), "bucket int, least long, value binary, doc binary")
+    marks = blocks.groupBy("bucket").applyInArrow(_held_twice(COMMON), "id long, mark int").groupBy("id").agg(F.collect_list("mark").alias("marks"))
+    marked = once.join(marks, "id").select("id", "text", "marks")
+    distinct = marked.mapInArrow(_distinct_pieces(16 * parts), "part int, low long, high long, piece binary")
     least = distinct.groupBy("part").applyInArrow(_least_ids, "k1 long, k2 long, runs binary")
-    where = with_flags.mapInArrow(_occurrences, "k1 long, k2 long, id long, at long")
-    return where.join(least, ["k1", "k2"]).select("id", "at", "runs").mapInArrow(_covered, "id long, lo long, hi long")
+    where = marked.mapInArrow(_occurrences, "k1 long, k2 long, id long, at long")
+    covered = where.join(least, ["k1", "k2"]).select("id", "at", "runs").mapInArrow(_covered, "id long, lo long, hi long")
+    return covered.union(copies)
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for each row of docs."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    gone = spans(docs, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = own.join(gone, "id", "left").select("id", "text", "spans")
+    own = _ids_and_texts(docs, id_col, text_col)
+    gone = spans(own).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
+    joined = own.join(gone, "id", "left").select("id", "text", "spans").union(nameless.withColumn("spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(_without, schema).withColumnRenamed("id", id_col)
 
@@ -369,7 +380,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     A character that loses some of its bytes goes whole; a null text becomes empty.
     """
     key, spans_col = unused(docs, "cut_id"), unused(docs, "cut_spans")
-    gone = spans(docs, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias(spans_col)).withColumnRenamed("id", key)
+    gone = spans(_ids_and_texts(docs, id_col, text_col)).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias(spans_col)).withColumnRenamed("id", key)
     joined = docs.join(gone, docs[id_col].cast("long") == gone[key], "left")
     others = [c for c in docs.columns if c != text_col]
     joined = joined.select(*[docs[c] for c in others], docs[text_col], spans_col)
