@@ -12,10 +12,10 @@ Candidates pass a bound on set sizes and a wide cut on the signatures' likeness.
 left is confirmed on the full shingle sets of the texts: first every set with its
 most central candidate, then all candidates that still join different components.
 
-In a region that is larger than sorted neighbours can cover, some sets may still stand outside the component of its
-centre. For these an exact way follows: they are held against every set of those
-regions with which they share one of their rarest shingles, as many as two sets over the threshold must
-share one of (prefix filtering). Their number is small where the region is one group of near copies.
+Where more sets share a tree's whole key than sorted neighbours cover, some may still stand outside the component of
+the centre. For these an exact way follows: they are held against every set of such
+crowds with which they share one of their rarest shingles, as many as two sets over the threshold must
+share one of (prefix filtering). Their number is small where a crowd is one group of near copies.
 
 Edge cases. A null or empty text, or one without words, has an empty set and is
 linked with nothing. A text with fewer words than a shingle is one shingle. Equal
@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import connected_components, unused, written
+from .shared import Scratch, connected_components, unused, written
 
 TREES, DEPTH, SHORTEST, REACH = 16, 8, 2, 3
 _PLACES = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -186,7 +186,7 @@ def _shingle_rows(size: int):
     return run
 
 
-def _sharing_rare(some: DataFrame, text: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _sharing_rare(some: DataFrame, text: DataFrame, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of an id of some(id) and one of text(id, text) that share a rare shingle; holds all pairs over the threshold.
 
     Sets of n shingles over it have more than n - ceil(num * n / den) in common in any order of all shingles, so one
@@ -196,7 +196,7 @@ def _sharing_rare(some: DataFrame, text: DataFrame, size: int, num: int, den: in
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
     order = W.partitionBy("id").orderBy("often", "shingle")
     first = rows.join(often, "shingle").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
-    first = written(first.select("id", "shingle", "n"), "rare")
+    first = scratch.written(first.select("id", "shingle", "n"), "rare")
     mine = first.join(some, "id", "left_semi")
     pair = mine.select(F.col("id").alias("x"), "shingle", F.col("n").alias("nx")).join(first, "shingle").where("id <> x")
     pair = pair.where((den * F.least("n", "nx")) >= (num * F.greatest("n", "nx")))
@@ -219,10 +219,11 @@ def components(
     ``shingle``-word shingles; component_id is the smallest id that links reach.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     places = trees * depth
-    signed = written(own.mapInArrow(_signatures(shingle, trees, depth), "id long, n long, class binary, signature binary"), "signatures")
-    classes = written(
+    signed = scratch.written(own.mapInArrow(_signatures(shingle, trees, depth), "id long, n long, class binary, signature binary"), "signatures")
+    classes = scratch.written(
         signed.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature")),
         "classes",
     )
@@ -231,7 +232,7 @@ def components(
 
     # How central a set is: how common its minima are, over all trees.
     runs = forest.groupBy("tree", "key").agg(F.count("*").alias("c")).where("c > 1")
-    central = written(forest.join(runs, ["tree", "key"]).groupBy("id").agg(F.sum(F.log2("c")).cast("decimal(20,6)").alias("pop")), "central")
+    central = scratch.written(forest.join(runs, ["tree", "key"]).groupBy("id").agg(F.sum(F.log2("c")).cast("decimal(20,6)").alias("pop")), "central")
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = forest.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
@@ -253,10 +254,10 @@ def components(
     pairs = pairs.join(low.select(F.col("id").alias("b"), F.col("low").alias("y"), F.col("n").alias("n_b")), "b")
     pairs = pairs.where((den * F.least("n_a", "n_b")) >= (num * F.greatest("n_a", "n_b"))).select("a", "b", "x", "y")
     wanted = num / den - 5 * (num / den * (1 - num / den) / places) ** 0.5
-    pairs = written(pairs.mapInArrow(_alike(places), "a long, b long, alike double").where(F.col("alike") >= wanted), "pairs")
+    pairs = scratch.written(pairs.mapInArrow(_alike(places), "a long, b long, alike double").where(F.col("alike") >= wanted), "pairs")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    text = scratch.written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
 
     def confirm(some: DataFrame) -> DataFrame:
         with_a = some.select("a", "b").join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -269,40 +270,41 @@ def components(
     reach = F.struct(F.col("c"), (-F.col("id")).alias("minus"))
     ranked = degree.select(F.col("a").alias("b"), F.col("c"), F.col("a").alias("id")).select("b", reach.alias("rank"))
     first = either.join(ranked, "b").groupBy("a").agg(F.max("rank").alias("rank")).select("a", (-F.col("rank.minus")).alias("b"))
-    first = written(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "first")
-    sure = written(confirm(first), "sure")
-    part = written(connected_components(sure), "part")
+    first = scratch.written(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "first")
+    sure = scratch.written(confirm(first), "sure")
+    part = scratch.written(connected_components(sure, scratch=scratch), "part")
     label = F.coalesce
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
     rest = rest.join(part.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
     rest = rest.join(part.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = written(rest.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "rest")
-    more = written(confirm(rest), "more")
+    rest = scratch.written(rest.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "rest")
+    more = scratch.written(confirm(rest), "more")
     links = sure.union(more)
-    found = written(connected_components(links), "components")
+    found = scratch.written(connected_components(links, scratch=scratch), "components")
 
-    # Sets of crowded regions that stand outside the component of the region's centre.
-    middle = 4 * (depth // 2)
-    placed = forest.select("id", "tree", F.substring("key", 1, middle).alias("prefix"))
-    crowds = placed.groupBy("tree", "prefix").agg(F.count("*").alias("c")).where(F.col("c") > 2 * REACH + 1)
+    # Sets that stand outside the component of the centre of a crowd: of more sets with one whole key than neighbours cover.
+    placed = forest.select("id", "tree", F.col("key").alias("prefix"))
+    crowds = placed.groupBy("tree", "prefix").agg(F.count("*").alias("c")).where(F.col("c") > REACH + 1)
     crowds = crowds.join(leaders, ["tree", "prefix"]).join(found.select(F.col("id").alias("leader"), F.col("component").alias("cl")), "leader", "left")
     crowds = crowds.select("tree", "prefix", F.coalesce("cl", "leader").alias("center"))
     inside = placed.join(text.select("id"), "id", "left_semi").join(crowds, ["tree", "prefix"]).join(found, "id", "left")
-    inside = written(inside.select("id", "tree", "prefix", (F.coalesce("component", "id") != F.col("center")).alias("outside")), "crowded")
-    outside = written(inside.where("outside").select("id").distinct(), "outside")
+    inside = scratch.written(inside.select("id", "tree", "prefix", (F.coalesce("component", "id") != F.col("center")).alias("outside")), "crowded")
+    outside = scratch.written(inside.where("outside").select("id").distinct(), "outside")
     if not outside.isEmpty():
         around = inside.where("outside").select("tree", "prefix").distinct()
         around = inside.join(around, ["tree", "prefix"], "left_semi").select("id").distinct()
-        last = _sharing_rare(outside, text.join(around, "id", "left_semi"), shingle, num, den).join(pairs, ["a", "b"], "left_anti")
+        last = _sharing_rare(outside, text.join(around, "id", "left_semi"), shingle, num, den, scratch).join(pairs, ["a", "b"], "left_anti")
         last = last.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
         last = last.join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        last = written(last.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "last")
-        found = written(connected_components(links.union(written(confirm(last), "late"))), "components")
+        last = scratch.written(last.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "last")
+        found = scratch.written(connected_components(links.union(scratch.written(confirm(last), "late")), scratch=scratch), "components")
 
     ids = classes.select("class", F.col("id").alias("first_id")).join(found.withColumnRenamed("id", "first_id"), "first_id", "left")
     ids = ids.select("class", F.coalesce("component", "first_id").alias("component"))
     out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(ids, "class", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    out = written(out, "members")
+    scratch.drop()
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoint import shared_folder, written
+from ..checkpoint import Scratch, shared_folder, written
 
-__all__ = ["connected_components", "shared_folder", "unused", "written"]
+__all__ = ["Scratch", "connected_components", "shared_folder", "unused", "written"]
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -18,7 +18,7 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) for every id in links(a, b): component is the smallest id that can be reached.
 
     Alternating large-star and small-star rounds: every neighbour is re-linked to the
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     aggregates and two-column joins. Each round is written to the shared folder.
     Empty links give an empty table. Raises if max_rounds do not suffice.
     """
-    edges = written(
+    write = scratch.written if scratch else written
+    edges = write(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
 
@@ -41,7 +42,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = written(
+        edges = write(
             large.join(low, "a")
             .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
