@@ -163,16 +163,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     known = known.groupBy("id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     found = rows.orderBy("id").select("label", "text").mapInArrow(_sparse, "label double, dims binary, counts binary").collect()
-    counts = np.zeros((len(found), DIMS), np.float32)
-    for i, r in enumerate(found):
-        counts[i, np.frombuffer(r["dims"], "<u2")] = np.frombuffer(r["counts"], "<f4")
     y = np.array([r["label"] for r in found])
-    if not len(found):
-        return Model(idf, np.zeros((DIMS, RANK), np.float32), np.zeros((0, RANK), np.float32), y, k)
-    x = _weighted(counts, idf)
-    _, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)  # ascending
-    basis = np.ascontiguousarray(vectors[:, ::-1][:, :RANK]).astype(np.float32)
-    return Model(idf, basis, _unit(x @ basis), y, k)
+
+    def blocks() -> Iterator[np.ndarray]:
+        for lo in range(0, len(found), 256):
+            counts = np.zeros((len(found[lo : lo + 256]), DIMS), np.float32)
+            for i, r in enumerate(found[lo : lo + 256]):
+                counts[i, np.frombuffer(r["dims"], "<u2")] = np.frombuffer(r["counts"], "<f4")
+            yield _weighted(counts, idf)
+
+    gram = np.zeros((DIMS, DIMS), np.float32)
+    for x in blocks():
+        gram += x.T @ x
+    # Leading eigenvectors of the terms' products by subspace iteration from a fixed start: the truncated decomposition.
+    basis = np.random.default_rng(0).normal(size=(DIMS, 2 * RANK)).astype(np.float32)
+    for _ in range(12):
+        basis, _ = np.linalg.qr(gram @ basis)
+    turn = np.linalg.eigh(basis.T @ gram @ basis)[1][:, ::-1][:, :RANK]
+    basis = np.ascontiguousarray(basis @ turn).astype(np.float32)
+    vectors = [_unit(x @ basis) for x in blocks()]
+    return Model(idf, basis, np.concatenate(vectors) if vectors else np.zeros((0, RANK), np.float32), y, k)
 
 
 def scores(
