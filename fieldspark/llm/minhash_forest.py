@@ -12,10 +12,12 @@ Candidates pass a bound on set sizes and a wide cut on the signatures' likeness.
 left is confirmed on the full shingle sets of the texts: first every set with its
 most central candidate, then all candidates that still join different components.
 
-Where more sets share a tree's whole key than sorted neighbours cover, some may still stand outside the component of
-the centre. For these an exact way follows: they are held against every set of such
-crowds with which they share one of their rarest shingles, as many as two sets over the threshold must
-share one of (prefix filtering). Their number is small where a crowd is one group of near copies.
+What the forest does not compare follows exactly, by prefix filtering over all sets: two sets over the threshold share
+one of their first shingles in any order of all shingles, so sets that share one, and are not in one component yet, are
+candidates, whatever the trees say. The order is by how often a shingle is in a sample, then by hash: usual ones come last.
+The sample only orders; any order finds all pairs. Shingles that one component alone has are dropped before pairs
+are made, so a large group of near copies makes none. Pairs must also leave enough shingles behind
+the shared one, and agree in the signatures' lowest bits but for a tail of 1e-9.
 
 Edge cases. A null or empty text, or one without words, has an empty set and is
 linked with nothing. A text with fewer words than a shingle is one shingle. Equal
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ from . import textbytes as tb
 from .shared import Scratch, connected_components, unused, written
 
 TREES, DEPTH, SHORTEST, REACH = 16, 8, 2, 3
+#: One document in SAMPLE, and at most USUAL shingles of those, only say in which order shingles are taken.
+SAMPLE, USUAL = 8, 1 << 19
 _PLACES = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -172,35 +177,107 @@ def _confirmed(size: int, num: int, den: int):
     return run
 
 
-def _shingle_rows(size: int):
+def _usual_shingles(own: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the shingles that are most frequent in a sample; at most ``USUAL``, whatever the data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in tb.chunks(batch.column(0)):
+                sets = shingle_hashes(data, at, size)
+                if any(len(x) for x in sets):
+                    every, count = np.unique(np.concatenate(sets), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count.astype(np.int64))], names=["shingle", "c"])
+
+    some = own.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "shingle long, c long")
+    often = some.groupBy("shingle").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "shingle").limit(USUAL).toArrow()
+    key = often.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], often.column("c").to_numpy()[order]
+
+
+def _first_shingles(size: int, num: int, den: int, usual):
+    """The first shingles of each set, rare ones first: as many as a set over the threshold must share one of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = usual.value
         for batch in batches:
             for lo, hi, data, at in tb.chunks(batch.column(1)):
                 sets = shingle_hashes(data, at, size)
-                count = [len(s) for s in sets]
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[lo:hi], count)
-                n = np.repeat(count, count)
-                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(every.view(np.int64)), pa.array(n, pa.int64())], names=["id", "shingle", "n"])
+                first = []
+                for s in sets:
+                    count = np.zeros(len(s), np.int64)
+                    if len(known) and len(s):
+                        place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        count = np.where(known[place] == s, often[place], 0)
+                    n = len(s)
+                    first.append(s[np.lexsort((s, count))][: n + (-n * num) // den + 1].tobytes() if n else None)
+                ids = batch.column(0).slice(lo, hi - lo).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.binary())], names=["id", "n", "first"])
 
     return run
 
 
-def _sharing_rare(some: DataFrame, text: DataFrame, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of an id of some(id) and one of text(id, text) that share a rare shingle; holds all pairs over the threshold.
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (shingle, id, component, n, nth) for each of the first shingles."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 1000):
+            batch = whole.slice(lo, 1000)
+            raw, at = tb.utf8(batch.column(3))
+            count = np.diff(at) // 8
+            shingle = np.frombuffer(raw.tobytes(), np.int64)
+            row = pa.array(np.repeat(np.arange(len(count)), count))
+            nth = np.arange(len(shingle)) - np.repeat(at[:-1] // 8, count)
+            rest = [batch.column(i).take(row) for i in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), *rest, pa.array(nth.astype(np.int32))], names=["shingle", "id", "component", "n", "nth"])
+
+
+def _bits_of_minima(places: int):
+    """The lowest bit of each of a signature's first 128 minima, in two integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = tb.utf8(batch.column(1))[0].reshape(-1, places, 4)[:, :128, 3] & 1
+            bits = np.zeros((len(low), 16), np.uint8)
+            packed = np.packbits(low, axis=1)
+            bits[:, : packed.shape[1]] = packed
+            two = bits.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["id", "u", "v"])
+
+    return run
+
+
+def _most_unequal(places: int, num: int, den: int) -> int:
+    """How many lowest bits of ``places`` minima differ at the threshold but for a tail of 1e-9."""
+    p = (1 - num / den) / 2
+    tail, k = 1.0, -1
+    while tail > 1e-9 and k < places:
+        k += 1
+        tail -= comb(places, k) * p**k * (1 - p) ** (places - k)
+    return k
+
+
+def _sharing_rare(own: DataFrame, sets: DataFrame, signatures: DataFrame, places: int, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components in sets(id, component); holds all those over the threshold, see the module's text.
 
-    Sets of n shingles over it have more than n - ceil(num * n / den) in common in any order of all shingles, so one
-    of that many first ones, and one more, is common; rare ones come first.
+    Sets of n shingles over it have at least ceil(num * n / den) in common, so in any order one of the first
+    n - ceil(num * n / den) + 1 is common. If the first common one is the i-th and j-th, no more than what follows it is common too.
     """
-    rows = text.mapInArrow(_shingle_rows(size), "id long, shingle long, n long")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    order = W.partitionBy("id").orderBy("often", "shingle")
-    first = rows.join(often, "shingle").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
-    first = scratch.written(first.select("id", "shingle", "n"), "rare")
-    mine = first.join(some, "id", "left_semi")
-    pair = mine.select(F.col("id").alias("x"), "shingle", F.col("n").alias("nx")).join(first, "shingle").where("id <> x")
-    pair = pair.where((den * F.least("n", "nx")) >= (num * F.greatest("n", "nx")))
-    return pair.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
+    usual = own.sparkSession.sparkContext.broadcast(_usual_shingles(own, size))
+    first = own.mapInArrow(_first_shingles(size, num, den, usual), "id long, n int, first binary").where("id is not null and first is not null")
+    rows = first.join(sets, "id").select("id", "component", "n", "first").mapInArrow(_unpacked, "shingle long, id long, component long, n int, nth int")
+    alone = W.partitionBy("shingle")
+    rows = rows.withColumn("least", F.min("component").over(alone)).withColumn("most", F.max("component").over(alone)).where("least < most")
+    rows = scratch.written(rows.drop("least", "most"), "shared")
+    bits = signatures.mapInArrow(_bits_of_minima(places), "id long, u long, v long")
+    rows = scratch.written(rows.join(bits, "id"), "rare")
+    other = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "nth", "u", "v")])
+    follow = F.least(F.col("n") - F.col("nth"), F.col("n_b") - F.col("nth_b"))
+    unequal = F.bit_count(F.col("u").bitwiseXOR(F.col("u_b"))) + F.bit_count(F.col("v").bitwiseXOR(F.col("v_b")))
+    near = (F.col("id") > F.col("id_b")) & (F.col("component") != F.col("component_b"))
+    near &= (den * F.least("n", "n_b")) >= (num * F.greatest("n", "n_b"))
+    near &= (num + den) * follow >= num * (F.col("n") + F.col("n_b"))
+    near &= unequal <= _most_unequal(min(places, 128), num, den)
+    return rows.join(other, (rows["shingle"] == other["shingle"]) & near).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def components(
@@ -259,7 +336,7 @@ def components(
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     text = scratch.written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
 
-    def confirm(some: DataFrame) -> DataFrame:
+    def confirm(some: DataFrame, text: DataFrame) -> DataFrame:
         with_a = some.select("a", "b").join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(shingle, num, den), "a long, b long")
@@ -271,33 +348,26 @@ def components(
     ranked = degree.select(F.col("a").alias("b"), F.col("c"), F.col("a").alias("id")).select("b", reach.alias("rank"))
     first = either.join(ranked, "b").groupBy("a").agg(F.max("rank").alias("rank")).select("a", (-F.col("rank.minus")).alias("b"))
     first = scratch.written(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "first")
-    sure = scratch.written(confirm(first), "sure")
+    sure = scratch.written(confirm(first, text), "sure")
     part = scratch.written(connected_components(sure, scratch=scratch), "part")
     label = F.coalesce
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
     rest = rest.join(part.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
     rest = rest.join(part.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     rest = scratch.written(rest.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "rest")
-    more = scratch.written(confirm(rest), "more")
+    more = scratch.written(confirm(rest, text), "more")
     links = sure.union(more)
     found = scratch.written(connected_components(links, scratch=scratch), "components")
 
-    # Sets that stand outside the component of the centre of a crowd: of more sets with one whole key than neighbours cover.
-    placed = forest.select("id", "tree", F.col("key").alias("prefix"))
-    crowds = placed.groupBy("tree", "prefix").agg(F.count("*").alias("c")).where(F.col("c") > REACH + 1)
-    crowds = crowds.join(leaders, ["tree", "prefix"]).join(found.select(F.col("id").alias("leader"), F.col("component").alias("cl")), "leader", "left")
-    crowds = crowds.select("tree", "prefix", F.coalesce("cl", "leader").alias("center"))
-    inside = placed.join(text.select("id"), "id", "left_semi").join(crowds, ["tree", "prefix"]).join(found, "id", "left")
-    inside = scratch.written(inside.select("id", "tree", "prefix", (F.coalesce("component", "id") != F.col("center")).alias("outside")), "crowded")
-    outside = scratch.written(inside.where("outside").select("id").distinct(), "outside")
-    if not outside.isEmpty():
-        around = inside.where("outside").select("tree", "prefix").distinct()
-        around = inside.join(around, ["tree", "prefix"], "left_semi").select("id").distinct()
-        last = _sharing_rare(outside, text.join(around, "id", "left_semi"), shingle, num, den, scratch).join(pairs, ["a", "b"], "left_anti")
-        last = last.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-        last = last.join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        last = scratch.written(last.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "last")
-        found = scratch.written(connected_components(links.union(scratch.written(confirm(last), "late")), scratch=scratch), "components")
+    # What the forest did not compare, or not in time: all sets of different components that share a rare shingle.
+    sets = classes.select("id").distinct().join(found, "id", "left").select("id", label("component", "id").alias("component"))
+    signatures = classes.select("id", "signature")
+    last = _sharing_rare(own, sets, signatures, places, shingle, num, den, scratch).join(pairs, ["a", "b"], "left_anti")
+    last = scratch.written(last, "last")
+    if not last.isEmpty():
+        ends = last.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        text = scratch.written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+        found = scratch.written(connected_components(links.union(scratch.written(confirm(last, text), "late")), scratch=scratch), "components")
 
     ids = classes.select("class", F.col("id").alias("first_id")).join(found.withColumnRenamed("id", "first_id"), "first_id", "left")
     ids = ids.select("class", F.coalesce("component", "first_id").alias("component"))

@@ -160,6 +160,27 @@ def test_a_hub_is_found_among_many(spark):
     assert minhash_forest.components(df.limit(0)).count() == 0
 
 
+def template_rows(seed, n, couples):
+    """Texts that share half their shingles; the last ones are couples over the threshold, and far apart by id."""
+    rng = random.Random(seed)
+    head = sentence(rng, 60)
+    rows = [(i, f"{head} {' '.join(f'w{i}x{j}' for j in range(30))}") for i in range(n)]
+    for k in range(couples):
+        mine = [f"c{k}x{j}" for j in range(32)]
+        rows.append((10_000 + k, f"{head} {' '.join(mine)}"))
+        rows.append((20_000 + 7919 * k % 1000, f"{head} {' '.join(mine[:-4])} y{k} z{k} q{k} r{k}"))
+    return rows
+
+
+def test_pairs_that_meet_in_no_whole_key(spark):
+    """One tree of eight minima: most couples share less than its whole key, and are neither neighbours nor leaders."""
+    rows = template_rows(1, 150, 40)
+    component, _ = brute_components(rows, 3, 85, 100)
+    assert len(component) - len(set(component.values())) == 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in minhash_forest.components(df, shingle=3, num=85, den=100, trees=1).collect()} == component
+
+
 # 3. Repeated passages.
 
 
