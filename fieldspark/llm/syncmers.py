@@ -2,15 +2,13 @@
 
 Method. A k-mer of a text's bytes (k = 24) is a closed syncmer if the least of its s-mers (s = 8),
 by a hash, is its first or its last. Whether a k-mer is chosen depends on its own bytes
-alone, so an edit only changes anchors that it touches. Of all distinct anchors of
-the whole text a fingerprint keeps the ``SIZE`` of least hash, each with the place where it first stands:
-eight hexadecimal digits of hash, eight of place, in order of hash. Such bottom
-sketches of two texts estimate which share of anchors the texts have in common.
+alone, so an edit only changes anchors that it touches. A fingerprint keeps every anchor of the whole text
+with each place where it stands, so it grows with the text: eight hexadecimal digits of hash, eight of
+place, in order of hash, then place.
 
-Likeness. Common anchors of two sketches count if their places agree, that is, if they are moved
-by about the median shift. With j the share of those among the least
-``SIZE`` anchors of both, the likeness is 2j / (1 + j): 1 for equal fingerprints, 0
-without a common anchor.
+Likeness. The shift of two texts is the median over the hashes they share, by their first places. An anchor
+is matched if the other text has one of its hash at its place moved by about that shift. The likeness is the share of
+matched anchors among those of both texts: 1 for equal fingerprints, 0 without a common anchor.
 
 The edited text of a document ends with the beginning of the next document. Documents are
 dealt by ranges of ids in one exchange; the first document of each range is also sent to the
@@ -34,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 
-K, S, SIZE, SLACK = 24, 8, 128, 64
+K, S, SLACK = 24, 8, 64
 
 
 def anchors(data: np.ndarray, at: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +49,8 @@ def anchors(data: np.ndarray, at: np.ndarray, k: int = K, s: int = S) -> tuple[n
     return place, tb.span_hash(run, place, place + k)
 
 
-def sketches(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
-    """For each text an array (hash, place) of its least anchors."""
+def sketches(texts: pa.Array) -> list[np.ndarray]:
+    """For each text an array (hash, place) of all its anchors, sorted."""
     out: list[np.ndarray] = []
     for lo, hi, data, at in tb.chunks(texts):
         place, key = anchors(data, at)
@@ -60,8 +58,8 @@ def sketches(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
         for i in range(hi - lo):
             a, b = bound[i], bound[i + 1]
             if b > a:
-                mine, first = np.unique((key[a:b] >> np.uint64(32)).astype(">u4"), return_index=True)
-                out.append(np.stack([mine[:size], (place[a:b][first[:size]] - at[i]).astype(">u4")], 1).astype(">u4"))
+                both = (key[a:b] >> np.uint64(32)) << np.uint64(32) | (place[a:b] - at[i]).astype(np.uint64)
+                out.append(np.sort(both).astype(">u8").view(">u4").reshape(-1, 2))
             elif at[i + 1] > at[i]:
                 whole = hashlib.sha256(data[at[i] : at[i + 1]].tobytes()).digest()
                 out.append(np.array([[int.from_bytes(whole[:4], "big"), 0xFFFFFFFF]], ">u4"))
@@ -70,22 +68,30 @@ def sketches(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
-def likeness(x: np.ndarray, y: np.ndarray, size: int = SIZE) -> float:
-    """Of two sketches, from 0 to 1."""
+def _matched(x: np.ndarray, y: np.ndarray, moved: int) -> int:
+    """How many rows of x = (number of hash, place) have one of the same hash in y near their place moved."""
+    step = np.int64(1 << 34)
+    have = y[:, 0] * step + y[:, 1]
+    aim = x[:, 1] + moved
+    slack = SLACK + np.maximum(x[:, 1], aim) // 16
+    least = x[:, 0] * step + np.clip(aim - slack, 0, step - 1)
+    most = x[:, 0] * step + np.clip(aim + slack, -1, step - 1)
+    return int((np.searchsorted(have, least) < np.searchsorted(have, most, "right")).sum())
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two fingerprints, from 0 to 1."""
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    every = np.union1d(x[:, 0], y[:, 0])
-    if len(x) >= size or len(y) >= size:  # beyond the greatest hash of a full sketch the other text's anchors can't be known
-        every = every[:size]
-    _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
-    use = x[i, 0] <= every[-1]
-    if not use.any():
+    common, i, j = np.intersect1d(x[:, 0], y[:, 0], return_indices=True)  # first places, as rows are sorted
+    if not len(common):
         return 0.0
-    a, b = x[i[use], 1].astype(np.int64), y[j[use], 1].astype(np.int64)
-    moved = b - a
-    agree = np.abs(moved - np.median(moved)) <= SLACK + np.maximum(a, b) // 16
-    share = agree.sum() / len(every)
-    return float(2 * share / (1 + share))
+    moved = int(np.median(y[j, 1].astype(np.int64) - x[i, 1].astype(np.int64)))
+    rows = []
+    for z in (x, y):
+        z = z[np.isin(z[:, 0], common)]
+        rows.append(np.stack([np.searchsorted(common, z[:, 0]), z[:, 1].astype(np.int64)], 1))
+    return (_matched(*rows, moved) + _matched(*rows[::-1], -moved)) / (len(x) + len(y))
 
 
 def _deal(bounds: np.ndarray):

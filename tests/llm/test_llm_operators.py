@@ -416,6 +416,25 @@ def test_syncmers_by_definition():
     assert set((place[place >= 7] - 7).tolist()) == set(moved.tolist())  # free of context
 
 
+def test_a_long_text_keeps_all_anchors():
+    """A shared passage in texts of 120,000 bytes is found, and repeated anchors keep every place."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    one, two = ("".join(rng.choices("abcdefghij ", k=120_000)) for _ in range(2))
+    passage = "".join(rng.choices("klmnop ", k=400))
+    x, y = one[:50_000] + passage + one[50_000:], two[:90_000] + passage + two[90_000:]
+    data, at = tb.utf8(pa.array([x]))
+    place, _ = syncmers.anchors(data, at)
+    a, b, c = syncmers.sketches(pa.array([x, y, one]))
+    assert sorted(a[:, 1].tolist()) == place.tolist() and len(a) > 10_000
+    assert 10 / len(a) < syncmers.likeness(a, b) < 0.01
+    assert syncmers.likeness(a, b) == pytest.approx(syncmers.likeness(b, a)) and syncmers.likeness(a, a) == 1
+    assert syncmers.likeness(b, c) < 5 / len(b)
+    twice = syncmers.sketches(pa.array([passage + one[:3000] + passage]))[0]
+    assert len(set(twice[:, 0].tolist())) < len(twice)
+
+
 # 9. Pages.
 
 
