@@ -181,6 +181,25 @@ def test_pairs_that_meet_in_no_whole_key(spark):
     assert {r.doc_id: r.component_id for r in minhash_forest.components(df, shingle=3, num=85, den=100, trees=1).collect()} == component
 
 
+def test_sets_without_a_surviving_candidate(spark, monkeypatch):
+    """Every candidate of the forest fails the likeness cut, as in a crowd of one template; couples are found still."""
+
+    def none_alike(places):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([0.0] * batch.num_rows)], names=["a", "b", "alike"])
+
+        return run
+
+    rows = template_rows(2, 60, 10)
+    component, _ = brute_components(rows, 3, 85, 100)
+    monkeypatch.setattr(minhash_forest, "_alike", none_alike)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in minhash_forest.components(df, shingle=3, num=85, den=100, trees=1).collect()} == component
+
+
 # 3. Repeated passages.
 
 
