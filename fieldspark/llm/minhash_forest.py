@@ -1,29 +1,33 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures.
 
 Method. Every distinct shingle set gets one signature of ``trees * depth`` minima.
-Each tree sorts all signatures by its own ``depth`` minima; sets that are neighbours
-there, by longest common prefix, are candidates. Where a region of a tree (the sets
-under one prefix) is larger than its sorted neighbours can cover, its depth
-adapts: at each of a few prefix depths the region's most central set, whose
-minima are the commonest over all trees, is a candidate for every member. So a hub with
-thousands of copies around it is found without listing pairs of a region.
-
-Candidates pass a bound on set sizes and a wide cut on the signatures' likeness. What is
-left is confirmed on the full shingle sets of the texts: first every set with its
-most central candidate, then all candidates that still join different components.
-
-What the forest does not compare follows exactly, by prefix filtering over all sets: two sets over the threshold share
-one of their first shingles in any order of all shingles, so sets that share one, and are not in one component yet, are
-candidates, whatever the trees say. The order is by how often a shingle is in a sample, then by hash: usual ones come last.
-The sample only orders; any order finds all pairs. Shingles that one component alone has are dropped before pairs
-are made, so a large group of near copies makes none. Pairs must also leave enough shingles behind
-the shared one, and agree in the signatures' lowest bits but for a tail of 1e-9.
+Each tree sorts all signatures by its own ``depth`` minima. The depth adapts to the
+region: a set's depth in a tree is the longest prefix that a run of more than ``REACH + 1``
+sorted neighbours shares with it. Sets in sparse regions meet their sorted neighbours, which
+are all sets of the region; sets in dense regions meet the set beside them and the region's most
+central set, whose minima are the commonest over all trees. So a hub with thousands of
+copies around it is found without listing pairs of a region. Candidates that pass a bound
+on set sizes and a cut on 128 bits of their minima, which travel with the sorted
+rows, are confirmed on the full shingle sets of the texts.
+
+What the forest does not bring together follows exactly, for all sets. The space of shingle hashes is
+parted in ``k = 2 * (h + 1)`` ranges, where two sets over the threshold differ in at most ``h``
+shingles (given their sizes). What a set has in a range is one key, so two such sets share at least
+``k - h`` of their ``k`` keys, and among the ``h + 1`` rarest keys of each, in any order of all keys, one
+is common. Keys hold some three shingles each, so sets that merely share usual
+shingles or a template do not meet. The order is by how often a key is in a sample, then by
+hash; the sample only orders, any order finds all pairs. Keys that one component alone
+has are dropped before anything is compared, so a large group of near copies costs nothing; sets under
+a key first meet its most central set, and only keys that still join different components make pairs.
+A tail of 1e-9 (if minima were independent) of the cut on 128 bits is all that can lose a pair.
 
 Edge cases. A null or empty text, or one without words, has an empty set and is
 linked with nothing. A text with fewer words than a shingle is one shingle. Equal
 sets (copies, repeated rows) are one class, so copies are never expanded into pairs.
-A null id is returned with a null component and kept = false. Extra columns of any
-name are ignored by ``components`` and returned as they are by ``keep_one``.
+A null id is returned with a null component and kept = false. Rows that repeat an id are one document; if
+their texts differ, it has the links of the greatest. Extra columns of any
+name are ignored by ``components`` and returned as they are by ``keep_one``. The call runs Spark jobs: its
+intermediate tables are written to the shared folder and deleted before it returns.
 """
 
 from __future__ import annotations
@@ -35,14 +39,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .shared import Scratch, connected_components, unused, written
 
 TREES, DEPTH, SHORTEST, REACH = 16, 8, 2, 3
-#: One document in SAMPLE, and at most USUAL shingles of those, only say in which order shingles are taken.
+#: One document in SAMPLE, and at most USUAL keys of those, only say in which order keys are taken.
 SAMPLE, USUAL = 8, 1 << 19
 _PLACES = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -71,7 +74,61 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarr
     return out
 
 
-def _signatures(size: int, trees: int, depth: int):
+def bounds_of_sizes(num: int, den: int, top: int) -> np.ndarray:
+    """Greatest sizes of the size classes up to top; sets over the threshold are in one class or in two that follow each other."""
+    found = [1]
+    while found[-1] < top:
+        found.append(max(found[-1] + 1, -(-found[-1] * den // num)))
+    return np.array(found, np.int64)
+
+
+def _ranges(sets: list[np.ndarray], num: int, den: int):
+    """Keys of the ranges of each set, for its own size class and the next: (row, class, key, keys that must be taken)."""
+    n = np.array([len(s) for s in sets], np.int64)
+    if not n.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    full = np.flatnonzero(n)
+    every, row = np.concatenate(sets), np.repeat(np.arange(len(full)), n[full])
+    top = bounds_of_sizes(num, den, int(n.max()) + 1)
+    own = np.searchsorted(top, n[full])
+    top = np.r_[top, max(top[-1] + 1, -(-top[-1] * den // num))]
+    out = []
+    for more in (0, 1):
+        size_class = own + more
+        differ = (den - num) * 2 * top[size_class] // (den + num)
+        k = 2 * (differ + 1)
+        before = np.r_[0, np.cumsum(k)]
+        place = before[row] + ((every >> np.uint64(32)) * k[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        total = np.zeros(before[-1], np.uint64)
+        total[place[start]] = np.add.reduceat(tb.mix(every ^ np.uint64(0x5DEECE66D)), start)
+        of = np.repeat(np.arange(len(full)), k)
+        nth = np.arange(len(of)) - before[of]
+        salt = tb.mix((size_class[of] * 1_000_003 + nth).astype(np.uint64))
+        out.append((full[of], size_class[of], tb.mix(total ^ salt), np.where(differ > 0, differ + 1, 0)[of]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _rarest(sets: list[np.ndarray], num: int, den: int, usual: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """For each set the keys that one of its partners must share, as an array<long>."""
+    row, size_class, key, take = _ranges(sets, num, den)
+    known, often = usual
+    count = np.zeros(len(key), np.int64)
+    if len(known) and len(key):
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        count = np.where(known[place] == key, often[place], 0)
+    order = np.lexsort((key, count, size_class, row))
+    row, size_class, key, take = row[order], size_class[order], key[order], take[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (size_class[1:] != size_class[:-1])][: len(row)]
+    first = np.flatnonzero(new)
+    nth = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    use = nth < take
+    ends = np.r_[0, np.cumsum(np.bincount(row[use], minlength=len(sets)))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(key[use].view(np.int64)))
+
+
+def _signed(size: int, num: int, den: int, trees: int, depth: int, usual):
+    """Of each text: size of its set, class of equal sets, the low 16 bits of its minima, one bit of 128 of them, and its rarest keys."""
     rng = np.random.default_rng(5)
     times = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
     plus = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
@@ -84,70 +141,112 @@ def _signatures(size: int, trees: int, depth: int):
                 full = np.flatnonzero(count)
                 every = np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64)
                 start = np.r_[0, np.cumsum(count[full])[:-1]].astype(np.int64)
-                minima = np.zeros((len(sets), trees * depth), np.uint32)
+                minima = np.zeros((len(sets), trees * depth), np.uint16)
                 key = np.zeros((len(sets), 2), np.uint64)
                 if len(full):
                     short = (every >> np.uint64(32)).astype(np.uint32)
                     for p in range(trees * depth):
-                        minima[full, p] = np.minimum.reduceat((short ^ plus[p]) * times[p], start)
+                        least = np.minimum.reduceat((short ^ plus[p]) * times[p], start)
+                        minima[full, p] = (least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)
                     key[full, 0] = np.add.reduceat(tb.mix(every ^ np.uint64(0x1234567)), start)
                     key[full, 1] = np.bitwise_xor.reduceat(tb.mix(every + np.uint64(0x7654321)), start) + count[full].astype(np.uint64)
-                big = minima.astype(">u4")
+                bits = np.zeros((len(sets), 16), np.uint8)
+                packed = np.packbits((minima[:, :128] & 1).astype(np.uint8), axis=1)
+                bits[:, : packed.shape[1]] = packed
+                two = bits.view(np.int64)
+                big = minima.astype(">u2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
                         pa.array(count),
                         pa.array([k.tobytes() for k in key], pa.binary()),
                         pa.array([r.tobytes() for r in big], pa.binary()),
+                        pa.array(two[:, 0].copy()),
+                        pa.array(two[:, 1].copy()),
+                        _rarest(sets, num, den, usual.value),
                     ],
-                    names=["id", "n", "class", "signature"],
+                    names=["id", "n", "class", "signature", "u", "v", "keys"],
                 )
 
     return run
 
 
-def _neighbours(reach: int, shortest: int, depth: int):
-    """Candidate pairs among rows that are sorted by (tree, key); runs of a partition's rows, never pairs of a region."""
+def _neighbours(reach: int, shortest: int, depth: int, num: int, den: int, unequal: int):
+    """Rows (tree, key, id, n, u, v), sorted by tree and key: candidate pairs, and the region of each set that has a dense one.
+
+    A pair is (a, b) with region null, the larger id first; a set of a dense region is (id, null, region, n, u, v). Only rows of one
+    partition that stand near each other are compared; where a partition ends a region may look sparser than it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            tree = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, _ = tb.utf8(batch.column(1))
-            key = raw.reshape(-1, depth, 4).view(np.uint32)[:, :, 0]
-            ids = batch.column(2).to_numpy(zero_copy_only=False)
-            if kept is not None:  # the last rows of the batch before
-                tree, key, ids = (np.concatenate(x) for x in zip(kept, (tree, key, ids), strict=True))
-            kept = tree[-reach:], key[-reach:], ids[-reach:]
+        edge = reach + 1
+        bits = lambda z: np.bitwise_count(z.view(np.uint64)).astype(np.int64)
+        held: tuple | None = None
+        context = 0
+
+        def look(rows: tuple, begin: int, end: int) -> pa.RecordBatch:
+            """What rows[begin:end] give, with all that stands around them."""
+            tree, key, ids, n, u, v = rows
+            m = len(ids)
+            same = np.zeros(m, np.int64)  # common prefix with the row before
+            if m > 1:
+                alike = np.logical_and.accumulate(key[1:] == key[:-1], axis=1).sum(1)
+                same[1:] = np.where(tree[1:] == tree[:-1], alike, 0)
+            deep = np.zeros(m, np.int64)
+            span = np.lib.stride_tricks.sliding_window_view(same[1:], edge).min(1) if m > edge else np.zeros(0, np.int64)
+            for j in range(edge + 1):  # the run of edge + 1 rows that begins j rows before
+                deep[j : j + len(span)] = np.maximum(deep[j : j + len(span)], span)
+            dense = deep >= shortest
+            a, b = [], []
             for step in range(1, reach + 1):
-                if len(ids) <= step:
+                if m <= step:
                     break
-                near = (tree[step:] == tree[:-step]) & (key[step:, :shortest] == key[:-step, :shortest]).all(1)
-                a, b = ids[step:][near], ids[:-step][near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    return run
-
-
-def _alike(places: int):
-    """Share of equal minima, by one byte of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (tb.utf8(batch.column(i))[0].reshape(-1, places) for i in (2, 3))
-            same = (x == y).mean(1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.float64())], names=["a", "b", "alike"])
-
-    return run
-
-
-def _bytes_of_minima(places: int):
-    """The least byte of each of a signature's minima."""
+                prefix = np.lib.stride_tricks.sliding_window_view(same[1:], step).min(1)
+                x, y = np.arange(step, m), np.arange(m - step)
+                near = (prefix >= shortest) & (x >= begin) & (x < end)
+                near &= (step == 1) | ~(dense[x] & dense[y])
+                x, y = x[near], y[near]
+                near = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+                near &= bits(u[x] ^ u[y]) + bits(v[x] ^ v[y]) <= unequal
+                a.append(ids[x[near]])
+                b.append(ids[y[near]])
+            p, q = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+            own = np.flatnonzero(dense[begin:end]) + begin
+            level = deep[own]
+            region = tree[own].astype(np.uint64) * np.uint64(64) + level.astype(np.uint64)
+            for j in range(depth):
+                region = np.where(j < level, tb.mix(region ^ (key[own, j].astype(np.uint64) << np.uint64(20)) ^ np.uint64(j + 1)), region)
+            blank, zero = np.ones(len(p), bool), np.zeros(len(p), np.int64)
+            has = np.r_[~blank, np.ones(len(own), bool)]
+            one = lambda z, w, gone: pa.array(np.r_[z, w].astype(np.int64), mask=gone)
+            return pa.RecordBatch.from_arrays(
+                [
+                    one(np.maximum(p, q), ids[own], None),
+                    one(np.minimum(p, q), np.zeros(len(own), np.int64), has),
+                    one(zero, region.view(np.int64), ~has),
+                    one(zero, n[own], ~has),
+                    one(zero, u[own], ~has),
+                    one(zero, v[own], ~has),
+                ],
+                names=["a", "b", "region", "n", "u", "v"],
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = np.ascontiguousarray(tb.utf8(batch.column(1))[0].reshape(-1, places, 4)[:, :, 3])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in low], pa.binary())], names=["id", "low"])
+            if not batch.num_rows:
+                continue
+            tree = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, _ = tb.utf8(batch.column(1))
+            key = raw.reshape(-1, depth, 2).view(np.uint16)[:, :, 0]
+            rest = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)]
+            rows = (tree, key, *rest)
+            if held is not None:  # rows whose surroundings were not complete, and those before them
+                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            end = max(context, len(rows[0]) - edge)
+            yield look(rows, context, end)
+            keep = max(0, end - 2 * edge)
+            held, context = tuple(x[keep:] for x in rows), end - keep
+        if held is not None:
+            yield look(held, context, len(held[0]))
 
     return run
 
@@ -177,75 +276,23 @@ def _confirmed(size: int, num: int, den: int):
     return run
 
 
-def _usual_shingles(own: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the shingles that are most frequent in a sample; at most ``USUAL``, whatever the data."""
+def _usual_keys(own: DataFrame, size: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts of those that are most frequent in a sample; at most ``USUAL``, whatever the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, at in tb.chunks(batch.column(0)):
-                sets = shingle_hashes(data, at, size)
-                if any(len(x) for x in sets):
-                    every, count = np.unique(np.concatenate(sets), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count.astype(np.int64))], names=["shingle", "c"])
+                _, _, key, _ = _ranges(shingle_hashes(data, at, size), num, den)
+                every, count = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count.astype(np.int64))], names=["key", "c"])
 
-    some = own.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "shingle long, c long")
-    often = some.groupBy("shingle").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "shingle").limit(USUAL).toArrow()
-    key = often.column("shingle").to_numpy().view(np.uint64)
+    some = own.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long, c long")
+    often = some.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "key").limit(USUAL).toArrow()
+    key = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     return key[order], often.column("c").to_numpy()[order]
 
 
-def _first_shingles(size: int, num: int, den: int, usual):
-    """The first shingles of each set, rare ones first: as many as a set over the threshold must share one of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = usual.value
-        for batch in batches:
-            for lo, hi, data, at in tb.chunks(batch.column(1)):
-                sets = shingle_hashes(data, at, size)
-                first = []
-                for s in sets:
-                    count = np.zeros(len(s), np.int64)
-                    if len(known) and len(s):
-                        place = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        count = np.where(known[place] == s, often[place], 0)
-                    n = len(s)
-                    first.append(s[np.lexsort((s, count))][: n + (-n * num) // den + 1].tobytes() if n else None)
-                ids = batch.column(0).slice(lo, hi - lo).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.binary())], names=["id", "n", "first"])
-
-    return run
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (shingle, id, component, n, nth) for each of the first shingles."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 1000):
-            batch = whole.slice(lo, 1000)
-            raw, at = tb.utf8(batch.column(3))
-            count = np.diff(at) // 8
-            shingle = np.frombuffer(raw.tobytes(), np.int64)
-            row = pa.array(np.repeat(np.arange(len(count)), count))
-            nth = np.arange(len(shingle)) - np.repeat(at[:-1] // 8, count)
-            rest = [batch.column(i).take(row) for i in (0, 1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(shingle), *rest, pa.array(nth.astype(np.int32))], names=["shingle", "id", "component", "n", "nth"])
-
-
-def _bits_of_minima(places: int):
-    """The lowest bit of each of a signature's first 128 minima, in two integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = tb.utf8(batch.column(1))[0].reshape(-1, places, 4)[:, :128, 3] & 1
-            bits = np.zeros((len(low), 16), np.uint8)
-            packed = np.packbits(low, axis=1)
-            bits[:, : packed.shape[1]] = packed
-            two = bits.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["id", "u", "v"])
-
-    return run
-
-
 def _most_unequal(places: int, num: int, den: int) -> int:
     """How many lowest bits of ``places`` minima differ at the threshold but for a tail of 1e-9."""
     p = (1 - num / den) / 2
@@ -256,28 +303,14 @@ def _most_unequal(places: int, num: int, den: int) -> int:
     return k
 
 
-def _sharing_rare(own: DataFrame, sets: DataFrame, signatures: DataFrame, places: int, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of different components in sets(id, component); holds all those over the threshold, see the module's text.
+def _likely(num: int, den: int, places: int, n: str = "n", m: str = "m"):
+    """Whether sizes and 128 bits of minima of (n, u, v) and (m, x, y) allow a pair over the threshold."""
+    unequal = F.bit_count(F.col("u").bitwiseXOR(F.col("x"))) + F.bit_count(F.col("v").bitwiseXOR(F.col("y")))
+    return (den * F.least(n, m) >= num * F.greatest(n, m)) & (unequal <= _most_unequal(min(places, 128), num, den))
 
-    Sets of n shingles over it have at least ceil(num * n / den) in common, so in any order one of the first
-    n - ceil(num * n / den) + 1 is common. If the first common one is the i-th and j-th, no more than what follows it is common too.
-    """
-    usual = own.sparkSession.sparkContext.broadcast(_usual_shingles(own, size))
-    first = own.mapInArrow(_first_shingles(size, num, den, usual), "id long, n int, first binary").where("id is not null and first is not null")
-    rows = first.join(sets, "id").select("id", "component", "n", "first").mapInArrow(_unpacked, "shingle long, id long, component long, n int, nth int")
-    alone = W.partitionBy("shingle")
-    rows = rows.withColumn("least", F.min("component").over(alone)).withColumn("most", F.max("component").over(alone)).where("least < most")
-    rows = scratch.written(rows.drop("least", "most"), "shared")
-    bits = signatures.mapInArrow(_bits_of_minima(places), "id long, u long, v long")
-    rows = scratch.written(rows.join(bits, "id"), "rare")
-    other = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "nth", "u", "v")])
-    follow = F.least(F.col("n") - F.col("nth"), F.col("n_b") - F.col("nth_b"))
-    unequal = F.bit_count(F.col("u").bitwiseXOR(F.col("u_b"))) + F.bit_count(F.col("v").bitwiseXOR(F.col("v_b")))
-    near = (F.col("id") > F.col("id_b")) & (F.col("component") != F.col("component_b"))
-    near &= (den * F.least("n", "n_b")) >= (num * F.greatest("n", "n_b"))
-    near &= (num + den) * follow >= num * (F.col("n") + F.col("n_b"))
-    near &= unequal <= _most_unequal(min(places, 128), num, den)
-    return rows.join(other, (rows["shingle"] == other["shingle"]) & near).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+
+def _pair(x: str, y: str):
+    return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
 
 def components(
@@ -299,82 +332,96 @@ def components(
     scratch = Scratch(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     places = trees * depth
-    signed = scratch.written(own.mapInArrow(_signatures(shingle, trees, depth), "id long, n long, class binary, signature binary"), "signatures")
-    classes = scratch.written(
-        signed.where("n > 0 and id is not null").groupBy("class").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature")),
-        "classes",
-    )
-    wide = 4 * depth
-    forest = classes.select("id", F.posexplode(F.array(*[F.substring("signature", t * wide + 1, wide) for t in range(trees)])).alias("tree", "key"))
-
-    # How central a set is: how common its minima are, over all trees.
-    runs = forest.groupBy("tree", "key").agg(F.count("*").alias("c")).where("c > 1")
-    central = scratch.written(forest.join(runs, ["tree", "key"]).groupBy("id").agg(F.sum(F.log2("c")).cast("decimal(20,6)").alias("pop")), "central")
-
+    likely = _likely(num, den, places)
+    usual = spark.sparkContext.broadcast(_usual_keys(own, shingle, num, den))
+    schema = "id long, n long, class binary, signature binary, u long, v long, keys array<long>"
+    signed = scratch.written(own.mapInArrow(_signed(shingle, num, den, trees, depth, usual), schema), "signed")
+    full = signed.where("n > 0 and id is not null")
+    classes = full.groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "u", "v", "signature")])
+    classes = scratch.written(classes, "classes")
+
+    # The forest: sorted orders, their neighbours and dense regions.
+    wide = 2 * depth
+    forest = classes.select("id", "n", "u", "v", F.posexplode(F.array(*[F.substring("signature", t * wide + 1, wide) for t in range(trees)])).alias("tree", "key"))
+    runs = forest.select(F.xxhash64("tree", "key").alias("run"), "id")
+    often = runs.groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
+    central = scratch.written(runs.join(often, "run").groupBy("id").agg(F.sum(F.log2("c")).cast("decimal(20,6)").alias("pop")), "central")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = forest.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    beside = order.select("tree", "key", "id").mapInArrow(_neighbours(REACH, SHORTEST, depth), "a long, b long")
-
-    regions = forest.groupBy("tree", F.substring("key", 1, 4 * SHORTEST).alias("prefix")).agg(F.count("*").alias("c")).where("c > 4").drop("c")
-    dense = forest.withColumn("prefix", F.substring("key", 1, 4 * SHORTEST)).join(regions, ["tree", "prefix"], "left_semi")
-    levels = sorted({SHORTEST, depth // 2, depth})
-    dense = dense.select("id", "tree", F.explode(F.array(*[F.substring("key", 1, 4 * d) for d in levels])).alias("prefix"))
-    dense = dense.join(central, "id", "left").withColumn("pop", F.coalesce("pop", F.lit(0)))
-    leaders = dense.groupBy("tree", "prefix").agg(F.max(F.struct("pop", (-F.col("id")).alias("minus"))).alias("top"), F.count("*").alias("c"))
-    leaders = leaders.where("c > 1").select("tree", "prefix", (-F.col("top.minus")).alias("leader"))
-    led = dense.join(leaders, ["tree", "prefix"]).where("id <> leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
-
-    pairs = beside.union(led).distinct()
-    sizes = classes.select("id", "n")
-    low = classes.select("id", "signature").mapInArrow(_bytes_of_minima(places), "id long, low binary").join(sizes, "id")
-    pairs = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("x"), F.col("n").alias("n_a")), "a")
-    pairs = pairs.join(low.select(F.col("id").alias("b"), F.col("low").alias("y"), F.col("n").alias("n_b")), "b")
-    pairs = pairs.where((den * F.least("n_a", "n_b")) >= (num * F.greatest("n_a", "n_b"))).select("a", "b", "x", "y")
-    wanted = num / den - 5 * (num / den * (1 - num / den) / places) ** 0.5
-    pairs = scratch.written(pairs.mapInArrow(_alike(places), "a long, b long, alike double").where(F.col("alike") >= wanted), "pairs")
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = scratch.written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
-
-    def confirm(some: DataFrame, text: DataFrame) -> DataFrame:
+    order = forest.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("tree", "key", "id", "n", "u", "v")
+    walk = _neighbours(REACH, SHORTEST, depth, num, den, _most_unequal(min(places, 128), num, den))
+    walked = scratch.written(order.mapInArrow(walk, "a long, b long, region long, n long, u long, v long"), "walked")
+    dense = walked.where("region is not null").select(F.col("a").alias("id"), "region", "n", "u", "v").join(central, "id", "left")
+    dense = dense.withColumn("pop", F.coalesce("pop", F.lit(0)))
+    top = F.max(F.struct("pop", (-F.col("id")).alias("minus"), "n", "u", "v")).alias("top")
+    leaders = dense.groupBy("region").agg(top)
+    leaders = leaders.select("region", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("m"), F.col("top.u").alias("x"), F.col("top.v").alias("y"))
+    led = dense.join(leaders, "region").where((F.col("id") != F.col("leader")) & likely).select(*_pair("id", "leader"))
+    pairs = scratch.written(walked.where("region is null and a <> b").select("a", "b").union(led).distinct(), "pairs")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        ends = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return scratch.written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+
+    def confirm(some: DataFrame, text: DataFrame, name: str) -> DataFrame:
         with_a = some.select("a", "b").join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(shingle, num, den), "a long, b long")
+        return scratch.written(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(shingle, num, den), "a long, b long"), name)
+
+    def joined(links: DataFrame) -> DataFrame:
+        return scratch.written(connected_components(links, scratch=scratch), "part")
+
+    def across(some: DataFrame, part: DataFrame) -> DataFrame:
+        """Of the pairs those of different components."""
+        some = some.join(part.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+        some = some.join(part.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+        return some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     # First each set with the most central of its candidates, then what still joins different components.
+    text = texts_of(pairs)
     either = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = either.groupBy("a").agg(F.count("*").alias("c"))
-    reach = F.struct(F.col("c"), (-F.col("id")).alias("minus"))
-    ranked = degree.select(F.col("a").alias("b"), F.col("c"), F.col("a").alias("id")).select("b", reach.alias("rank"))
+    ranked = degree.select(F.col("a").alias("b"), F.struct(F.col("c"), (-F.col("a")).alias("minus")).alias("rank"))
     first = either.join(ranked, "b").groupBy("a").agg(F.max("rank").alias("rank")).select("a", (-F.col("rank.minus")).alias("b"))
-    first = scratch.written(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "first")
-    sure = scratch.written(confirm(first, text), "sure")
-    part = scratch.written(connected_components(sure, scratch=scratch), "part")
-    label = F.coalesce
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    rest = rest.join(part.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-    rest = rest.join(part.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = scratch.written(rest.where(label("ca", "a") != label("cb", "b")).select("a", "b"), "rest")
-    more = scratch.written(confirm(rest, text), "more")
-    links = sure.union(more)
-    found = scratch.written(connected_components(links, scratch=scratch), "components")
-
-    # What the forest did not compare, or not in time: all sets of different components that share a rare shingle.
-    sets = classes.select("id").distinct().join(found, "id", "left").select("id", label("component", "id").alias("component"))
-    signatures = classes.select("id", "signature")
-    last = _sharing_rare(own, sets, signatures, places, shingle, num, den, scratch).join(pairs, ["a", "b"], "left_anti")
-    last = scratch.written(last, "last")
-    if not last.isEmpty():
-        ends = last.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        text = scratch.written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
-        found = scratch.written(connected_components(links.union(scratch.written(confirm(last, text), "late")), scratch=scratch), "components")
-
-    ids = classes.select("class", F.col("id").alias("first_id")).join(found.withColumnRenamed("id", "first_id"), "first_id", "left")
+    first = scratch.written(first.select(*_pair("a", "b")).distinct(), "first")
+    links = confirm(first, text, "sure")
+    part = joined(links)
+    rest = scratch.written(across(pairs.join(first, ["a", "b"], "left_anti"), part), "rest")
+    links = links.union(confirm(rest, text, "more"))
+    part = joined(links)
+
+    # The exact way for all sets: keys that sets of different components have.
+    keyed = full.select("class", F.explode("keys").alias("key"))
+    by_class = keyed.select("key", F.xxhash64("class").alias("c")).groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    shared = scratch.written(by_class.where("least < most").select("key"), "keys")
+    few = keyed.join(shared, "key", "left_semi").distinct()
+    held = few.join(classes.select("class", "id", "n", "u", "v"), "class").drop("class").join(part, "id", "left")
+    held = scratch.written(held.withColumn("component", F.coalesce("component", "id")), "held")
+    apart = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    held = scratch.written(held.join(apart, "key", "left_semi"), "apart")
+    if not held.isEmpty():
+        # Under each key first its most central set: the one with most keys that others have too.
+        weight = held.groupBy("id").agg(F.count("*").alias("pop"))
+        mine = held.join(weight, "id")
+        leaders = mine.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("minus"), "n", "u", "v", "component")).alias("top"))
+        leaders = leaders.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.component").alias("other"), F.col("top.n").alias("m"), F.col("top.u").alias("x"), F.col("top.v").alias("y"))
+        led = held.join(leaders, "key").where((F.col("component") != F.col("other")) & likely).select(*_pair("id", "leader")).distinct()
+        led = scratch.written(led.join(pairs, ["a", "b"], "left_anti"), "led")
+        links = links.union(confirm(led, texts_of(led), "late"))
+        part = joined(links)
+        held = held.drop("component").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        other = held.select("key", F.col("id").alias("id_b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("u").alias("x"), F.col("v").alias("y"))
+        last = held.join(other, "key").where((F.col("id") > F.col("id_b")) & (F.col("component") != F.col("other")) & likely).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+        last = scratch.written(last.distinct().join(pairs, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti"), "last")
+        links = links.union(confirm(last, texts_of(last), "latest"))
+        part = joined(links)
+
+    ids = classes.select("class", F.col("id").alias("first_id")).join(part.withColumnRenamed("id", "first_id"), "first_id", "left")
     ids = ids.select("class", F.coalesce("component", "first_id").alias("component"))
     out = signed.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(ids, "class", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     out = written(out, "members")
     scratch.drop()
+    usual.unpersist()
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 

@@ -32,7 +32,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60, scratch: Scratc
     )
 
     def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
     before = mark(edges)
     for _ in range(max_rounds):

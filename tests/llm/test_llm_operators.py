@@ -181,23 +181,73 @@ def test_pairs_that_meet_in_no_whole_key(spark):
     assert {r.doc_id: r.component_id for r in minhash_forest.components(df, shingle=3, num=85, den=100, trees=1).collect()} == component
 
 
-def test_sets_without_a_surviving_candidate(spark, monkeypatch):
-    """Every candidate of the forest fails the likeness cut, as in a crowd of one template; couples are found still."""
+def test_sets_that_the_forest_never_pairs(spark, monkeypatch):
+    """The forest gives no candidate at all; the exact way finds every link by itself."""
 
-    def none_alike(places):
-        def run(batches):
-            import pyarrow as pa
+    def nothing(*_):
+        return lambda batches: iter(())
 
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([0.0] * batch.num_rows)], names=["a", "b", "alike"])
+    monkeypatch.setattr(minhash_forest, "_neighbours", nothing)
+    for size, rows in ((3, template_rows(2, 60, 10)), (3, centres(4, 3, 40)), (5, short_sets(6, 300))):
+        num = 85 if size == 3 else 80
+        component, _ = brute_components(rows, size, num, 100)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r.doc_id: r.component_id for r in minhash_forest.components(df, shingle=size, num=num, den=100).collect()} == component
 
-        return run
 
-    rows = template_rows(2, 60, 10)
+def centres(seed, n, copies):
+    """n texts that are alike but under the threshold, each with so many copies of its own that are linked with it alone."""
+    rng = random.Random(seed)
+    base = sentence(rng, 102).split()
+    rows = []
+    for c in range(n):
+        middle = list(base)
+        for j in rng.sample(range(1, 100), 4):
+            middle[j] = f"centre{c}x{j}"
+        rows.append((90_000 + c, " ".join(middle)))
+        for k in range(copies):
+            words = list(middle)
+            for j in rng.sample(range(1, 100), 2):
+                words[j] = f"new{c}x{k}x{j}"
+            rows.append((1000 * k + c, " ".join(words)))
+    return rows
+
+
+def short_sets(seed, n):
+    """Texts of 5 to 24 words with a few of them changed, so that sets of every small size meet the threshold from both sides."""
+    rng = random.Random(seed)
+    bases = [[f"b{k}x{j}" for j in range(24)] for k in range(12)]
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(bases)[: rng.randint(5, 24)])
+        for _ in range(rng.randint(0, 2)):
+            words[rng.choice((0, len(words) - 1))] = f"n{rng.randint(0, 3)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_large_groups_with_several_centres(spark):
+    rows = centres(5, 3, 200) + [(10**6 + i, t) for i, t in short_sets(7, 200)]
     component, _ = brute_components(rows, 3, 85, 100)
-    monkeypatch.setattr(minhash_forest, "_alike", none_alike)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r.component_id for r in minhash_forest.components(df, shingle=3, num=85, den=100, trees=1).collect()} == component
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in minhash_forest.components(df, shingle=3, num=85, den=100).collect()} == component
+
+
+def test_size_classes_and_keys_hold_every_pair():
+    rng = random.Random(3)
+    for num in (80, 85):
+        top = minhash_forest.bounds_of_sizes(num, 100, 3000)
+        for _ in range(300):
+            m = rng.randint(1, 2000)
+            n = rng.randint(m, m * 100 // num)
+            assert 0 <= np.searchsorted(top, n) - np.searchsorted(top, m) <= 1
+            both = -(-num * (m + n) // (100 + num))
+            if both > m:
+                continue
+            pool = np.array([rng.getrandbits(64) for _ in range(m + n - both)], np.uint64)
+            sets = [np.sort(pool[:m]), np.sort(np.r_[pool[:both], pool[m:]])]
+            keys = minhash_forest._rarest(sets, num, 100, (np.zeros(0, np.uint64), np.zeros(0, np.int64))).to_pylist()
+            assert set(keys[0]) & set(keys[1]) or (sets[0].tolist() == sets[1].tolist())
 
 
 # 3. Repeated passages.
