@@ -10,7 +10,8 @@ copies around it is found without listing pairs of a region. Candidates that pas
 on set sizes and a cut on 128 bits of their minima, which travel with the sorted
 rows, are confirmed on the full shingle sets of the texts.
 
-What the forest does not bring together follows exactly, for all sets. The space of shingle hashes is
+What the forest does not bring together follows exactly, for all sets that share two minima of a tree with another
+(a linked pair does in some tree but for (1 - J^2)^trees: 1e-9 at J = 0.85, 8e-8 at 0.8). The space of shingle hashes is
 parted in ``k = 2 * (h + 1)`` ranges, where two sets over the threshold differ in at most ``h``
 shingles (given their sizes). What a set has in a range is one key, so two such sets share at least
 ``k - h`` of their ``k`` keys, and among the ``h + 1`` rarest keys of each, in any order of all keys, one
@@ -19,7 +20,10 @@ shingles or a template do not meet. The order is by how often a key is in a samp
 hash; the sample only orders, any order finds all pairs. Keys that one component alone
 has are dropped before anything is compared, so a large group of near copies costs nothing; sets under
 a key first meet its most central set, and only keys that still join different components make pairs.
-A tail of 1e-9 (if minima were independent) of the cut on 128 bits is all that can lose a pair.
+
+Two cuts spare the full comparison. The lowest bits of 128 minima may differ by a tail of 1e-9 (if minima were
+independent). The parities of the shingles in 512 ranges differ in no more places than the sets differ in
+shingles, which is a bound without a tail.
 
 Edge cases. A null or empty text, or one without words, has an empty set and is
 linked with nothing. A text with fewer words than a shingle is one shingle. Equal
@@ -45,6 +49,10 @@ from . import textbytes as tb
 from .shared import Scratch, connected_components, unused, written
 
 TREES, DEPTH, SHORTEST, REACH = 16, 8, 2, 3
+#: Ranges whose parities bound how much two sets differ; a power of two.
+PARITIES = 512
+#: Ids that are broadcast at most; beyond, tables are joined by an exchange.
+FEW = 1 << 20
 #: One document in SAMPLE, and at most USUAL keys of those, only say in which order keys are taken.
 SAMPLE, USUAL = 8, 1 << 19
 _PLACES = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -127,8 +135,8 @@ def _rarest(sets: list[np.ndarray], num: int, den: int, usual: tuple[np.ndarray,
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(key[use].view(np.int64)))
 
 
-def _signed(size: int, num: int, den: int, trees: int, depth: int, usual):
-    """Of each text: size of its set, class of equal sets, the low 16 bits of its minima, one bit of 128 of them, and its rarest keys."""
+def _signed(size: int, trees: int, depth: int):
+    """Of each text: size of its set, class of equal sets, the low 16 bits of its minima, one bit of 128 of them, and parities of 512 ranges."""
     rng = np.random.default_rng(5)
     times = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
     plus = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
@@ -150,6 +158,11 @@ def _signed(size: int, num: int, den: int, trees: int, depth: int, usual):
                         minima[full, p] = (least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)
                     key[full, 0] = np.add.reduceat(tb.mix(every ^ np.uint64(0x1234567)), start)
                     key[full, 1] = np.bitwise_xor.reduceat(tb.mix(every + np.uint64(0x7654321)), start) + count[full].astype(np.uint64)
+                odd = np.zeros((len(sets), PARITIES), np.uint8)
+                if len(full):
+                    place = np.repeat(full, count[full]) * PARITIES + (every & np.uint64(PARITIES - 1)).astype(np.int64)
+                    odd = (np.bincount(place, minlength=odd.size) & 1).astype(np.uint8).reshape(odd.shape)
+                odd = np.packbits(odd, axis=1)
                 bits = np.zeros((len(sets), 16), np.uint8)
                 packed = np.packbits((minima[:, :128] & 1).astype(np.uint8), axis=1)
                 bits[:, : packed.shape[1]] = packed
@@ -163,9 +176,9 @@ def _signed(size: int, num: int, den: int, trees: int, depth: int, usual):
                         pa.array([r.tobytes() for r in big], pa.binary()),
                         pa.array(two[:, 0].copy()),
                         pa.array(two[:, 1].copy()),
-                        _rarest(sets, num, den, usual.value),
+                        pa.array([r.tobytes() for r in odd], pa.binary()),
                     ],
-                    names=["id", "n", "class", "signature", "u", "v", "keys"],
+                    names=["id", "n", "class", "signature", "u", "v", "odd"],
                 )
 
     return run
@@ -174,7 +187,8 @@ def _signed(size: int, num: int, den: int, trees: int, depth: int, usual):
 def _neighbours(reach: int, shortest: int, depth: int, num: int, den: int, unequal: int):
     """Rows (tree, key, id, n, u, v), sorted by tree and key: candidate pairs, and the region of each set that has a dense one.
 
-    A pair is (a, b) with region null, the larger id first; a set of a dense region is (id, null, region, n, u, v). Only rows of one
+    A pair is (a, b) with region null, the larger id first; a set of a dense region is (id, null, region, n, u, v), and one
+    that shares the shortest prefix with a row beside it, in a sparse region, is (id, null, null). Only rows of one
     partition that stand near each other are compared; where a partition ends a region may look sparser than it is.
     """
 
@@ -211,22 +225,27 @@ def _neighbours(reach: int, shortest: int, depth: int, num: int, den: int, unequ
                 a.append(ids[x[near]])
                 b.append(ids[y[near]])
             p, q = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+            beside = same >= shortest
+            beside[:-1] |= same[1:] >= shortest
             own = np.flatnonzero(dense[begin:end]) + begin
+            thin = ids[begin:end][(beside & ~dense)[begin:end]]
             level = deep[own]
             region = tree[own].astype(np.uint64) * np.uint64(64) + level.astype(np.uint64)
             for j in range(depth):
                 region = np.where(j < level, tb.mix(region ^ (key[own, j].astype(np.uint64) << np.uint64(20)) ^ np.uint64(j + 1)), region)
-            blank, zero = np.ones(len(p), bool), np.zeros(len(p), np.int64)
-            has = np.r_[~blank, np.ones(len(own), bool)]
-            one = lambda z, w, gone: pa.array(np.r_[z, w].astype(np.int64), mask=gone)
+            kind = np.repeat([0, 1, 2], [len(p), len(own), len(thin)])
+
+            def column(values: list, has: np.ndarray) -> pa.Array:
+                full = np.zeros(len(kind), np.int64)
+                full[has] = np.concatenate(values)
+                return pa.array(full, mask=~has)
+
+            has = kind == 1
             return pa.RecordBatch.from_arrays(
                 [
-                    one(np.maximum(p, q), ids[own], None),
-                    one(np.minimum(p, q), np.zeros(len(own), np.int64), has),
-                    one(zero, region.view(np.int64), ~has),
-                    one(zero, n[own], ~has),
-                    one(zero, u[own], ~has),
-                    one(zero, v[own], ~has),
+                    column([np.maximum(p, q), ids[own], thin], kind >= 0),
+                    column([np.minimum(p, q)], kind == 0),
+                    *(column([x], has) for x in (region.view(np.int64), n[own], u[own], v[own])),
                 ],
                 names=["a", "b", "region", "n", "u", "v"],
             )
@@ -276,6 +295,29 @@ def _confirmed(size: int, num: int, den: int):
     return run
 
 
+def _keys(size: int, num: int, den: int, usual):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in tb.chunks(batch.column(1)):
+                keys = _rarest(shingle_hashes(data, at, size), num, den, usual.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), keys], names=["id", "keys"])
+
+    return run
+
+
+def _near_enough(num: int, den: int):
+    """Candidates (a, b, n_a, n_b, x, y) whose parities differ in no more places than sets over the threshold can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+            x, y = (tb.utf8(batch.column(i))[0].reshape(batch.num_rows, -1) for i in (4, 5))
+            good = pa.array((num + den) * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (den - num) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    return run
+
+
 def _usual_keys(own: DataFrame, size: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and counts of those that are most frequent in a sample; at most ``USUAL``, whatever the data."""
 
@@ -309,6 +351,12 @@ def _likely(num: int, den: int, places: int, n: str = "n", m: str = "m"):
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (unequal <= _most_unequal(min(places, 128), num, den))
 
 
+def _within(num: int, den: int, x: str = "odd", y: str = "odd_b", n: str = "n", m: str = "m"):
+    """The bound of _near_enough() on parities as longs in arrays."""
+    unequal = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(PARITIES // 64))
+    return (num + den) * unequal <= (den - num) * (F.col(n) + F.col(m))
+
+
 def _pair(x: str, y: str):
     return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
@@ -333,11 +381,10 @@ def components(
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     places = trees * depth
     likely = _likely(num, den, places)
-    usual = spark.sparkContext.broadcast(_usual_keys(own, shingle, num, den))
-    schema = "id long, n long, class binary, signature binary, u long, v long, keys array<long>"
-    signed = scratch.written(own.mapInArrow(_signed(shingle, num, den, trees, depth, usual), schema), "signed")
+    schema = "id long, n long, class binary, signature binary, u long, v long, odd binary"
+    signed = scratch.written(own.mapInArrow(_signed(shingle, trees, depth), schema), "signed")
     full = signed.where("n > 0 and id is not null")
-    classes = full.groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "u", "v", "signature")])
+    classes = full.groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "u", "v", "signature", "odd")])
     classes = scratch.written(classes, "classes")
 
     # The forest: sorted orders, their neighbours and dense regions.
@@ -356,7 +403,11 @@ def components(
     leaders = dense.groupBy("region").agg(top)
     leaders = leaders.select("region", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("m"), F.col("top.u").alias("x"), F.col("top.v").alias("y"))
     led = dense.join(leaders, "region").where((F.col("id") != F.col("leader")) & likely).select(*_pair("id", "leader"))
-    pairs = scratch.written(walked.where("region is null and a <> b").select("a", "b").union(led).distinct(), "pairs")
+    pairs = walked.where("a <> b").select("a", "b").union(led).distinct()
+    odd = classes.select("id", "n", "odd")
+    pairs = pairs.join(odd.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("x")), "a")
+    pairs = pairs.join(odd.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("y")), "b")
+    pairs = scratch.written(pairs.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_near_enough(num, den), "a long, b long"), "pairs")
 
     def texts_of(some: DataFrame) -> DataFrame:
         ends = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -389,31 +440,41 @@ def components(
     links = links.union(confirm(rest, text, "more"))
     part = joined(links)
 
-    # The exact way for all sets: keys that sets of different components have.
-    keyed = full.select("class", F.explode("keys").alias("key"))
-    by_class = keyed.select("key", F.xxhash64("class").alias("c")).groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"))
-    shared = scratch.written(by_class.where("least < most").select("key"), "keys")
-    few = keyed.join(shared, "key", "left_semi").distinct()
-    held = few.join(classes.select("class", "id", "n", "u", "v"), "class").drop("class").join(part, "id", "left")
-    held = scratch.written(held.withColumn("component", F.coalesce("component", "id")), "held")
+    # The exact way: keys that sets of different components have.
+    active = scratch.written(walked.select("a").union(walked.select("b")).where("a is not null").distinct().withColumnRenamed("a", "id"), "active")
+    active = F.broadcast(active) if active.count() <= FEW else active
+    these = own.join(active, "id", "left_semi")
+    usual = spark.sparkContext.broadcast(_usual_keys(these, shingle, num, den))
+    keys = scratch.written(these.mapInArrow(_keys(shingle, num, den, usual), "id long, keys array<long>"), "keys")
+    keyed = keys.select("id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key")
+    few = keyed.join(scratch.written(shared, "shared"), "key", "left_semi").distinct()
+    held = scratch.written(few.join(part, "id", "left").withColumn("component", F.coalesce("component", "id")), "held")
     apart = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    held = scratch.written(held.join(apart, "key", "left_semi"), "apart")
+    words = F.array(*[F.conv(F.hex(F.substring("odd", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(PARITIES // 64)])
+    held = held.join(apart, "key", "left_semi").join(classes.select("id", "n", "u", "v", words.alias("odd")), "id")
+    held = scratch.written(held, "apart")
     if not held.isEmpty():
         # Under each key first its most central set: the one with most keys that others have too.
-        weight = held.groupBy("id").agg(F.count("*").alias("pop"))
-        mine = held.join(weight, "id")
-        leaders = mine.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("minus"), "n", "u", "v", "component")).alias("top"))
-        leaders = leaders.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.component").alias("other"), F.col("top.n").alias("m"), F.col("top.u").alias("x"), F.col("top.v").alias("y"))
-        led = held.join(leaders, "key").where((F.col("component") != F.col("other")) & likely).select(*_pair("id", "leader")).distinct()
+        mine = held.join(held.groupBy("id").agg(F.count("*").alias("pop")), "id")
+        theirs = ("component", "n", "u", "v", "odd")
+        leaders = mine.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("minus"), *theirs)).alias("top"))
+        named = [F.col(f"top.{c}").alias(d) for c, d in zip(theirs, ("other", "m", "x", "y", "odd_b"), strict=True)]
+        leaders = leaders.select("key", (-F.col("top.minus")).alias("id_b"), *named)
+        could = (F.col("component") != F.col("other")) & likely & _within(num, den)
+        led = held.join(leaders, "key").where(could).select(*_pair("id", "id_b")).distinct()
         led = scratch.written(led.join(pairs, ["a", "b"], "left_anti"), "led")
-        links = links.union(confirm(led, texts_of(led), "late"))
-        part = joined(links)
-        held = held.drop("component").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        other = held.select("key", F.col("id").alias("id_b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("u").alias("x"), F.col("v").alias("y"))
-        last = held.join(other, "key").where((F.col("id") > F.col("id_b")) & (F.col("component") != F.col("other")) & likely).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+        late = confirm(led, texts_of(led), "late")
+        if not late.isEmpty():
+            links = links.union(late)
+            part = joined(links)
+            held = held.drop("component").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        other = held.select("key", F.col("id").alias("id_b"), *[F.col(c).alias(d) for c, d in zip(theirs, ("other", "m", "x", "y", "odd_b"), strict=True)])
+        last = held.join(other, "key").where((F.col("id") > F.col("id_b")) & could).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
         last = scratch.written(last.distinct().join(pairs, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti"), "last")
-        links = links.union(confirm(last, texts_of(last), "latest"))
-        part = joined(links)
+        latest = confirm(last, texts_of(last), "latest")
+        if not latest.isEmpty():
+            part = joined(links.union(latest))
 
     ids = classes.select("class", F.col("id").alias("first_id")).join(part.withColumnRenamed("id", "first_id"), "first_id", "left")
     ids = ids.select("class", F.coalesce("component", "first_id").alias("component"))
