@@ -11,7 +11,8 @@ on set sizes and a cut on 128 bits of their minima, which travel with the sorted
 rows, are confirmed on the full shingle sets of the texts.
 
 What the forest does not bring together follows exactly, for all sets that share two minima of a tree with another
-(a linked pair does in some tree but for (1 - J^2)^trees: 1e-9 at J = 0.85, 8e-8 at 0.8). The space of shingle hashes is
+(a linked pair does in some tree but for (1 - J^2)^trees: 1e-9 at J = 0.85, 8e-8 at 0.8; with too few trees for that, for
+all sets). The space of shingle hashes is
 parted in ``k = 2 * (h + 1)`` ranges, where two sets over the threshold differ in at most ``h``
 shingles (given their sizes). What a set has in a range is one key, so two such sets share at least
 ``k - h`` of their ``k`` keys, and among the ``h + 1`` rarest keys of each, in any order of all keys, one
@@ -441,7 +442,10 @@ def components(
     part = joined(links)
 
     # The exact way: keys that sets of different components have.
-    active = scratch.written(walked.select("a").union(walked.select("b")).where("a is not null").distinct().withColumnRenamed("a", "id"), "active")
+    active = walked.select("a").union(walked.select("b")).where("a is not null").distinct().withColumnRenamed("a", "id")
+    if (1 - (num / den) ** SHORTEST) ** trees > 1e-7:
+        active = classes.select("id").distinct()
+    active = scratch.written(active, "active")
     active = F.broadcast(active) if active.count() <= FEW else active
     these = own.join(active, "id", "left_semi")
     usual = spark.sparkContext.broadcast(_usual_keys(these, shingle, num, den))
