@@ -4,20 +4,23 @@ Method. Each text gets a vector of transformed statistics: mean word length, sym
 and repeated words, as logarithms of shares. For each language and source the minimum
 covariance determinant is estimated: from two fixed starts (medians with median deviations, and the
 classical mean and covariance) concentration steps keep the 75 % of rows that are nearest by Mahalanobis
-distance and estimate again; of the two starts the one with the smaller determinant
-stays. It is made consistent, reweighted once, and a document is rejected if its squared distance is
-over ``CUT``. Sources with fewer than ``MIN_ROWS`` rows are pooled by language; a pool that is still
-smaller rejects nothing. A floor on every variance keeps determinants positive where a statistic is constant, as
+distance and estimate again, until no group's determinant moves (``STEPS`` at most); of the two starts the one with
+the smaller determinant stays. It is made consistent, reweighted once, and a document is rejected if its squared distance is
+over ``CUT``, the 99.99 % point of chi-square. Documents of sources with fewer than ``MIN_ROWS`` rows that pass the
+base rules are judged by all such rows of their language, and where these are too few by those of the whole table; a table
+that is smaller still rejects nothing by distance. ``FLOORS`` are the least standard deviations: what differs by less than such a
+scale is no outlier, and determinants stay positive where a statistic is constant, as
 the count of symbols is in clean text.
 
 Scale. The texts are read once; what follows works on four numbers a row. Steps are partial
-aggregations (counts of logarithmic distance bins for the 75 %, then sums and products), so a source
+aggregations (counts of logarithmic distance bins, 1/``BINS`` wide, for the 75 %, then sums and products), so a source
 with a third of all rows is no task of its own. Statistics are whole thousandths and sums are exact,
-so results do not depend on the order of rows.
+so results do not depend on the order of rows. Spark jobs run when the function is called; intermediate tables
+are in the shared folder, and all but the last are deleted.
 
 Edge cases. A null or empty text has no words and fails the base rules. Null languages and sources are
-groups of their own. Ties at the 75 % are all inside. Repeated rows are counted each. An empty
-table gives an empty table. Extra columns are ignored by ``verdicts``.
+groups of their own. Ties at the 75 % (within a bin) are all inside. Repeated rows are counted each. Windows of words are compared by
+64-bit hashes. An empty table gives an empty table. Extra columns are ignored by ``verdicts``.
 """
 
 from __future__ import annotations
@@ -26,14 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch, written
 
 WORD, SPACES, SYMBOLS = r"[^\x20\x09-\x0D]+", " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Least standard deviations of the statistics, in their own unit.
-FLOORS = (0.10, 0.60, 0.80, 0.60)
-P, SHARE, CUT, MIN_ROWS, STEPS, UNIT = 4, 0.75, 60.0, 40, 4, 1000
-#: Fixed values for four dimensions: the consistency factor at 75 %, and the 97.5 % point of chi-square.
-CONSISTENT, REWEIGHT = 1.486, 11.143
+#: Least standard deviations of the statistics, in their own unit. With them the extremes of the last two (every line repeated,
+#: log 101, and half of the words, log 51) are just beyond the cut by themselves.
+FLOORS = (0.10, 0.60, 0.95, 0.80)
+P, SHARE, MIN_ROWS, STEPS, UNIT, BINS = 4, 0.75, 40, 8, 1000, 1024
+#: A determinant has settled if its logarithm moves by no more.
+SETTLED = 1e-3
+#: Fixed values for four dimensions: the consistency factor at 75 %, and the 97.5 % and 99.99 % points of chi-square.
+CONSISTENT, REWEIGHT, CUT = 1.486, 11.143, 23.513
 
 
 def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -49,27 +55,24 @@ def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
-    n = F.size("w")
-    rows = rows.withColumn("n", n).withColumn("bits", F.length(F.bin(n.cast("long"))).cast("int"))
-    # Every window of three words as a hash with its place in the low bits, sorted: equal windows become neighbours.
-    window = F.transform(
+    rows = rows.withColumn("n", F.size("w"))
+    windows = F.transform(
         F.when(F.col("n") >= 3, F.sequence(F.lit(0), F.col("n") - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.call_function("shiftleft", F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)), F.col("bits")).bitwiseOR(i.cast("long")),
+        lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)),
     )
     counts = [F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines")]
-    rows = rows.select("own", "n", "bits", "word_chars", "n_symbols", *counts, F.sort_array(window).alias("s"))
+    rows = rows.select("own", "n", "word_chars", "n_symbols", *counts, windows.alias("h"))
+    # Only where a window repeats: windows with their places, sorted, so that equal ones become neighbours.
+    repeats = F.size(F.array_distinct("h")) < F.size("h")
+    rows = rows.withColumn("s", F.when(repeats, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
 
-    def like(x: Column, y: Column) -> Column:
-        return F.coalesce(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("bits")) == 0, F.lit(False))
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce(x["h"] == y["h"], F.lit(False))
 
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    places = F.transform(F.col("s"), lambda x, i: F.when(like(x, F.get("s", i - 1)) | like(x, F.get("s", i + 1)), x.bitwiseAND(low)))
+    places = F.transform("s", lambda x, i: F.when(same(x, F.get("s", i - 1)) | same(x, F.get("s", i + 1)), x["i"]))
     rows = rows.withColumn("p", F.sort_array(F.filter(places, lambda x: x.isNotNull())))
-    covered = F.aggregate(
-        F.transform(F.col("p"), lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(x - F.get("p", i - 1), F.lit(3).cast("long")))),
-        F.lit(0).cast("long"),
-        lambda a, x: a + x,
-    )
+    covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(x - F.get("p", i - 1), F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    covered = F.coalesce(covered, F.lit(0).cast("long"))
     failed = (F.col("n") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n"))
     rows = rows.select("own", F.col("n").cast("long").alias("n_words"), "n", "n_lines", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
     return rows.withColumn("base_failed", failed).drop("n")
@@ -122,7 +125,7 @@ def _estimate(rows: DataFrame, keys: list[str], factor: float = 1.0) -> DataFram
     for i in range(P):
         for j in range(i + 1):
             c = (F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("rows")) / F.greatest(F.col("rows") - 1, F.lit(1)) * factor
-            cov.append((F.greatest(c, F.lit(0.0)) + (FLOORS[i] * UNIT) ** 2 if i == j else c).alias(f"c{i}{j}"))
+            cov.append((F.greatest(c, F.lit((FLOORS[i] * UNIT) ** 2)) if i == j else c).alias(f"c{i}{j}"))
     return _factored(got.select(*keys, "rows", *means, *cov), keys)
 
 
@@ -148,51 +151,67 @@ def _median(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return hist.where(2 * F.col("upto") >= F.col("all")).groupBy("grp", "j").agg((F.min("bin") * 10 + 5).cast("double").alias(name))
 
 
-def _near(df: DataFrame, stats: DataFrame, on: list[str]) -> DataFrame:
-    """Joins the small table of estimates; broadcast while it has few rows, else dealt like any join."""
-    few = stats.limit(5001).count() <= 5000  # two hundred bytes a row at most
-    return df.join(F.broadcast(stats) if few else stats, on)
+def _few(groups: DataFrame) -> bool:
+    """Whether a table of a row a group, two hundred bytes each at most, may be broadcast."""
+    return groups.limit(5001).count() <= 5000
 
 
-def minimum_covariance(rows: DataFrame) -> DataFrame:
+def minimum_covariance(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Robust estimates (grp, rows, m0.., l00.., det) from rows (grp, x0..)."""
+    write = scratch.written if scratch else written
     each = rows.select("grp", F.posexplode(F.array(*[f"x{j}" for j in range(P)])).alias("j", "x"))
-    middle = written(_median(each, F.col("x"), "med"), "median")
-    spread = _median(_near(each, middle, ["grp", "j"]), F.abs(F.col("x") - F.col("med")), "mad")
+    middle = write(_median(each, F.col("x"), "med"), "median")
+    small = _few(middle)
+
+    def near(df: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+        return df.join(F.broadcast(groups) if small else groups, on)
+
+    spread = _median(near(each, middle, ["grp", "j"]), F.abs(F.col("x") - F.col("med")), "mad")
     start = middle.join(spread, ["grp", "j"]).groupBy("grp")
     start = start.agg(*[F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(P) for c in ("med", "mad")])
-    cov = [((1.4826 * F.col(f"mad{i}")) ** 2 + (FLOORS[i] * UNIT) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
+    floors = [F.lit((x * UNIT) ** 2) for x in FLOORS]
+    cov = [(F.greatest((1.4826 * F.col(f"mad{i}")) ** 2, floors[i]) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
     start = start.select("grp", F.lit("median").alias("start"), F.lit(0).cast("long").alias("rows"), *[F.col(f"med{j}").alias(f"m{j}") for j in range(P)], *cov)
-    stats = _factored(start, ["grp", "start"]).unionByName(_estimate(rows.withColumn("start", F.lit("mean")), ["grp", "start"]))
+    both = _factored(start, ["grp", "start"]).unionByName(_estimate(rows.withColumn("start", F.lit("mean")), ["grp", "start"]))
+    stats = write(both, "estimates")
     for _ in range(STEPS):
-        stats = written(stats, "estimates")
-        far = _near(rows, stats.drop("rows"), ["grp"]).withColumn("bin", F.floor(F.log(_distance() + 1e-9) * 16).cast("int"))
+        far = near(rows, stats.drop("rows"), ["grp"]).withColumn("bin", F.floor(F.log(_distance() + 1e-9) * BINS).cast("int"))
         far = far.select("grp", "start", "bin", *[f"x{j}" for j in range(P)])
         hist = far.groupBy("grp", "start", "bin").agg(F.count("*").alias("c"))
         hist = hist.withColumn("upto", F.sum("c").over(W.partitionBy("grp", "start").orderBy("bin"))).withColumn("all", F.sum("c").over(W.partitionBy("grp", "start")))
         limit = hist.where(F.col("upto") >= SHARE * F.col("all")).groupBy("grp", "start").agg(F.min("bin").alias("limit"))
-        nearest = _near(far, written(limit, "limits"), ["grp", "start"]).where("bin <= limit")
-        stats = _estimate(nearest, ["grp", "start"], CONSISTENT)
-    stats = written(stats, "estimates")
+        nearest = near(far, limit, ["grp", "start"]).where("bin <= limit")
+        before, stats = stats, write(_estimate(nearest, ["grp", "start"], CONSISTENT), "estimates")
+        moved = stats.join(before.select("grp", "start", F.col("det").alias("old")), ["grp", "start"]).where(F.abs(F.col("det") - F.col("old")) > SETTLED)
+        if moved.isEmpty():
+            break
     best = stats.withColumn("nth", F.row_number().over(W.partitionBy("grp").orderBy("det", "start"))).where("nth = 1").drop("nth", "start")
-    inside = _near(rows, written(best, "best").drop("rows"), ["grp"]).where(_distance() <= REWEIGHT)
-    return written(_estimate(inside, ["grp"]), "reweighted")
+    inside = near(rows, best.drop("rows"), ["grp"]).where(_distance() <= REWEIGHT)
+    return write(_estimate(inside, ["grp"]), "reweighted")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) for each row of docs."""
+    scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     rows = base(own).select("own.*", "n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    rows = rows.withColumn("of", F.array(F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang")), F.lit("all")))
     rows = written(rows.select("*", *_vector()), "statistics")
+    # Each document's group: its source, language or the table, the first that has enough rows.
     fit = rows.where(~F.col("base_failed"))
-    group, pool = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
-    counts = written(fit.groupBy(group.alias("of")).agg(F.count("*").alias("c")), "counts")
-    large = counts.where(F.col("c") >= MIN_ROWS).select("of")
-    large = F.broadcast(large) if counts.limit(5001).count() <= 5000 else large
-    rows = rows.withColumn("of", group).join(large.withColumn("enough", F.lit(True)), "of", "left")
-    rows = rows.withColumn("grp", F.when(F.col("enough"), F.col("of")).otherwise(pool)).drop("of", "enough")
-    estimates = minimum_covariance(rows.where(~F.col("base_failed")).select("grp", *[f"x{j}" for j in range(P)])).where(F.col("rows") >= SHARE * MIN_ROWS)
-    few = estimates.limit(5001).count() <= 5000
-    far = rows.join(F.broadcast(estimates) if few else estimates, "grp", "left").withColumn("distance", _distance())
+    counts = fit.groupBy("of").agg(F.count("*").alias("c"))
+    sizes = scratch.written(counts.select(F.explode("of").alias("grp"), "c").groupBy("grp").agg(F.sum("c").alias("c")), "counts")
+    enough = sizes.where(F.col("c") >= MIN_ROWS).select("grp")
+    sources = rows.select("of").distinct()
+    choice = sources.select("of", F.posexplode("of").alias("level", "grp")).join(enough, "grp").groupBy("of").agg(F.min_by("grp", "level").alias("grp"))
+    choice = scratch.written(choice, "choice")
+    small = _few(choice)
+    hint = F.broadcast if small else (lambda x: x)
+    used = hint(choice.select("grp").distinct())
+    fitted = fit.select(F.explode("of").alias("grp"), *[f"x{j}" for j in range(P)]).join(used, "grp", "left_semi")
+    estimates = minimum_covariance(fitted, scratch).where(F.col("rows") > P).drop("rows")
+    judged = written(estimates.join(choice, "grp"), "estimates")
+    scratch.drop()
+    far = rows.join(hint(judged), "of", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUT))
     return far.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
