@@ -9,7 +9,10 @@ separates the two sides; blocks on the source side are the main text. Blocks who
 own costs outweigh all their edges are settled first (their label is the same in
 every minimum cut), so flows run over what is left, mostly a few blocks.
 
-Scripts, styles, comments in the markup, forms and the head never become blocks. Character references are
+Names of classes are bounded evidence: a state ("comments-open") or a topic ("tag-news") says nothing, a name for content
+outweighs a weak name against it in the same element, and long text outweighs weak names ("notice", "social"). A form hides its
+controls, and the rest of it has a bounded cost, as some sites wrap whole pages in one. Scripts, styles, comments
+in the markup, controls and the head never become blocks; a block of nothing but buttons is a control too. Character references are
 decoded, white space inside a block is one space, blocks are joined by an empty line.
 
 Edge cases. A null or empty page, or one without content, gives an empty text. Tags
@@ -32,16 +35,18 @@ from pyspark.sql import functions as F
 
 # Tags of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
-HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas form button select textarea datalist dialog audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br button math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded semantics".split())
+HIDDEN = frozenset("head title script style noscript template svg annotation iframe object canvas select textarea datalist dialog audio video".split())
 ASIDE = frozenset("nav footer aside header menu".split())
 CLOSES_P = frozenset("p div ul ol dl li table h1 h2 h3 h4 h5 h6 section article header footer nav aside main pre blockquote form hr figure address fieldset".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-HINTS_AGAINST = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?|sidebar|aside|footer|"
-    r"comments?|respond|replies|disqus|share|social|related|recommend\w*|widget|login|signup|search|pagination|pager|tags?|toolbar|skip|legal|copyright|outbrain|taboola)(?=$|[\s_-])",
+STRONG = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?|sidebar|aside|footer|"
+    r"comments?|respond|replies|disqus|login|signup|search|pagination|pager|toolbar|skip|copyright|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+WEAK = re.compile(r"(?:^|[\s_-])(?:banner|promo\w*|sponsor\w*|notices?|share|social|related|recommend\w*|widget|tags?|legal)(?=$|[\s_-])", re.I)
+SILENT = re.compile(r"(?:^|\s)(?:\S*[_-](?:open|opened|closed|enabled|disabled|on|off|allowed|active|hidden)|(?:tag|category|topic)-\S+)(?=$|\s)", re.I)
 SITE_HINTS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.I)  # inside an article they name its own heading
 HINTS_FOR = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
 
@@ -56,7 +61,7 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 class Node:
     """An open element: its tag, number, and what it and its parents say about its text."""
 
-    __slots__ = ("against", "favour", "number", "parent", "hidden", "tag")
+    __slots__ = ("against", "favour", "form", "number", "parent", "hidden", "tag", "weak")
 
     def __init__(self, tag: str, number: int, parent: Node | None, names: str):
         self.tag, self.number, self.parent = tag, number, parent
@@ -64,13 +69,19 @@ class Node:
         self.hidden = tag in HIDDEN or (parent is not None and parent.hidden)
         self.favour = max(parent.favour if parent else 0.0, 2.5 if tag == "article" else 2.0 if tag == "main" else 0.0)
         self.against = parent.against if parent else 0
+        self.weak = parent.weak if parent else 0
+        self.form = tag == "form" or (parent is not None and parent.form)
         if tag in ASIDE and not (tag == "header" and inside):
             self.against += 1
         if names and tag not in ("html", "body", "article", "main"):
-            if HINTS_AGAINST.search(names) or not inside and SITE_HINTS.search(names):
+            names = SILENT.sub(" ", names)
+            content = HINTS_FOR.search(names)
+            if STRONG.search(names) or not inside and SITE_HINTS.search(names):
                 self.against += 1
-            elif HINTS_FOR.search(names):
+            elif content:
                 self.favour = max(self.favour, 1.5)
+            elif WEAK.search(names):
+                self.weak = 1
 
 
 def blocks(page: str) -> list[tuple[str, Node, int]]:
@@ -80,22 +91,26 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
     stack, made = [root], 0
     parts: list[str] = []
     linked, link_depth, at = 0, 0, 0
+    pressed, inside_button = 0, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, pressed
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
-            if text:
+            if text and pressed < len(text):
                 out.append((text, stack[-1], min(linked, len(text))))
-        linked = 0
+        linked = pressed = 0
 
     for token in TOKEN.finditer(page):
         if token.start() > at and not stack[-1].hidden:
             piece = entities.unescape(page[at : token.start()])
-            parts.append(piece)
+            if not inside_button or not stack[-1].form:
+                parts.append(piece)
             if link_depth:
                 linked += len(piece)
+            if inside_button:
+                pressed += len(piece)
         at = token.end()
         end, tag, rest = token[2] or token[5], token[3] or token[6], token[4] or token[7] or ""
         if tag is None:
@@ -106,9 +121,11 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
                 link_depth = max(0, link_depth + (-1 if end else 1))
             elif tag == "br":
                 parts.append(" ")
+            elif tag == "button":
+                inside_button = not end
             continue
         flush()
-        link_depth = 0
+        link_depth, inside_button = 0, False
         if end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -133,7 +150,9 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
 
 def leaning(text: str, node: Node, linked: int) -> float:
     """Log odds of content: over zero for it."""
-    score = -0.8 + node.favour - 5.0 * node.against - 4.0 * linked / len(text)
+    stop = text[-1] in ".!?:;\"”»)…"
+    prose = stop and node.tag == "p" and len(text) > 120  # a paragraph may be a link as a whole
+    score = -0.8 + node.favour - 5.0 * node.against - (2.0 if node.weak else 0.0) - (1.0 if node.form else 0.0) - (1.5 if prose else 4.0) * linked / len(text)
     length = max(-1.5, min(2.0, math.log(len(text) / 40) * 0.8))
     score += length if length > 0 or node.favour < 1.5 else 0.3 * length  # short blocks are usual inside an article
     if node.tag in ("p", "blockquote", "pre"):
@@ -142,7 +161,7 @@ def leaning(text: str, node: Node, linked: int) -> float:
         score += 0.8
     elif node.tag in ("li", "td", "th"):
         score -= 0.3
-    if text[-1] in ".!?:;\"”»)…":
+    if stop:
         score += 0.7
     return score
 
@@ -153,7 +172,7 @@ def _pairs(found: list[tuple[str, Node, int]]) -> dict[tuple[int, int], float]:
     last: dict[tuple[int, int], int] = {}
     for i, (_, node, _) in enumerate(found):
         if i:
-            edges[i - 1, i] = edges.get((i - 1, i), 0.0) + (0.5 if found[i - 1][1].against == node.against else 0.1)
+            edges[i - 1, i] = edges.get((i - 1, i), 0.0) + (0.5 if found[i - 1][1].against == node.against and found[i - 1][1].weak == node.weak else 0.1)
         up = node
         for height, weight in ((1, 0.8), (2, 0.4)):
             up = up.parent or up
