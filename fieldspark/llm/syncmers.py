@@ -6,6 +6,9 @@ alone, so an edit only changes anchors that it touches. A fingerprint keeps ever
 with each place where it stands, so it grows with the text: eight hexadecimal digits of hash, eight of
 place, in order of hash, then place.
 
+Short texts hold few such k-mers, so texts under 256 bytes also have anchors of k = 6, s = 2, and those under 32 bytes of
+k = 2, s = 1, in levels of their own (the two highest bits of a place); a likeness is that of the finest level both texts have.
+
 Likeness. The shift of two texts is the median over the hashes they share, by their first places. An anchor
 is matched if the other text has one of its hash at its place moved by about that shift. The likeness is the share of
 matched anchors among those of both texts: 1 for equal fingerprints, 0 without a common anchor.
@@ -14,7 +17,7 @@ The edited text of a document ends with the beginning of the next document. Docu
 dealt by ranges of ids in one exchange; the first document of each range is also sent to the
 range before, so no task sees more than its range and nothing is joined.
 
-Edge cases. A null or empty text has an empty fingerprint; a text without a syncmer has one mark for its
+Edge cases. A null or empty text has an empty fingerprint; a text without an anchor (one byte) has one mark for its
 whole content, so equal texts have equal fingerprints. Order is by id (nulls first), then text,
 so rows that repeat an id have a defined next row; the row after the last is the first, which for a
 table of one row is itself. Extra columns are ignored.
@@ -33,6 +36,9 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 K, S, SLACK = 24, 8, 64
+#: k, s and the bytes under which a text has anchors of the level.
+LEVELS = ((K, S, 1 << 62), (6, 2, 256), (2, 1, 32))
+PLACE = np.uint64((1 << 30) - 1)
 
 
 def anchors(data: np.ndarray, at: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +59,23 @@ def sketches(texts: pa.Array) -> list[np.ndarray]:
     """For each text an array (hash, place) of all its anchors, sorted."""
     out: list[np.ndarray] = []
     for lo, hi, data, at in tb.chunks(texts):
-        place, key = anchors(data, at)
-        bound = np.searchsorted(place, at)
+        levels = []
+        for level, (k, inner, most) in enumerate(LEVELS):
+            if level and not (np.diff(at) < most).any():
+                break
+            place, key = anchors(data, at, k, inner)
+            levels.append((level, most, place, key, np.searchsorted(place, at)))
         for i in range(hi - lo):
-            a, b = bound[i], bound[i + 1]
-            if b > a:
-                both = (key[a:b] >> np.uint64(32)) << np.uint64(32) | (place[a:b] - at[i]).astype(np.uint64)
-                out.append(np.sort(both).astype(">u8").view(">u4").reshape(-1, 2))
-            elif at[i + 1] > at[i]:
+            size = at[i + 1] - at[i]
+            rows = []
+            for level, most, place, key, bound in levels:
+                a, b = bound[i], bound[i + 1]
+                if b > a and size < most:
+                    where = (place[a:b] - at[i]).astype(np.uint64) & PLACE
+                    rows.append((key[a:b] >> np.uint64(32)) << np.uint64(32) | np.uint64(level << 30) | where)
+            if rows:
+                out.append(np.sort(np.concatenate(rows)).astype(">u8").view(">u4").reshape(-1, 2))
+            elif size:
                 whole = hashlib.sha256(data[at[i] : at[i + 1]].tobytes()).digest()
                 out.append(np.array([[int.from_bytes(whole[:4], "big"), 0xFFFFFFFF]], ">u4"))
             else:
@@ -83,6 +98,11 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
     """Of two fingerprints, from 0 to 1."""
     if not len(x) or not len(y):
         return float(len(x) == len(y))
+    of_x, of_y = x[:, 1] >> 30, y[:, 1] >> 30
+    level = next((v for v in (2, 1, 0, 3) if (of_x == v).any() and (of_y == v).any()), None)
+    if level is None:
+        return 0.0
+    x, y = x[of_x == level], y[of_y == level]
     common, i, j = np.intersect1d(x[:, 0], y[:, 0], return_indices=True)  # first places, as rows are sorted
     if not len(common):
         return 0.0
