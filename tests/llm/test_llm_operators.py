@@ -182,12 +182,19 @@ def test_pairs_that_meet_in_no_whole_key(spark):
 
 
 def test_sets_that_the_forest_never_pairs(spark, monkeypatch):
-    """The forest gives no candidate at all; the exact way finds every link by itself."""
+    """The forest gives no candidate and no region, only which sets it saw; the exact way finds every link by itself."""
 
-    def nothing(*_):
-        return lambda batches: iter(())
+    def only_seen(*_):
+        def run(batches):
+            import pyarrow as pa
 
-    monkeypatch.setattr(minhash_forest, "_neighbours", nothing)
+            for batch in batches:
+                gone = [pa.nulls(batch.num_rows, pa.int64())] * 5
+                yield pa.RecordBatch.from_arrays([batch.column(2), *gone], names=["a", "b", "region", "n", "u", "v"])
+
+        return run
+
+    monkeypatch.setattr(minhash_forest, "_neighbours", only_seen)
     for size, rows in ((3, template_rows(2, 60, 10)), (3, centres(4, 3, 40)), (5, short_sets(6, 300))):
         num = 85 if size == 3 else 80
         component, _ = brute_components(rows, size, num, 100)
@@ -345,32 +352,55 @@ def test_rules_base_against_brute_force(docs, spark):
     assert robust_rules.verdicts(docs.limit(0)).count() == 0
 
 
+def test_repeated_words_of_a_very_long_text(spark):
+    """Half a million different words, a repeated window at both ends: 64-bit hashes must not lose bits to places."""
+    words = [f"w{i}" for i in range(500_000)]
+    text = " ".join([*words, *words[:3], "x", *words[-4:]])
+    got = robust_rules.verdicts(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert (got.n_words, got.n_repeat_words) == (500_008, 14)
+
+
 def test_determinant_estimates_against_numpy(spark):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(300, 4)) * 900 + 3000).astype(int)
     x[:60] += 20_000  # a fifth lies far away
     df = spark.createDataFrame([("g", *map(int, r)) for r in x] + [("flat", 5, 5, 5, 5)] * 50, "grp string, x0 long, x1 long, x2 long, x3 long")
     got = {r.grp: r for r in robust_rules.minimum_covariance(df).collect()}
-    floors = np.diag((np.array(robust_rules.FLOORS) * robust_rules.UNIT) ** 2)
+    least = (np.array(robust_rules.FLOORS) * robust_rules.UNIT) ** 2
+
+    def floored(c):
+        return c + np.diag(np.maximum(least - np.diag(c), 0))
 
     def estimate(rows, factor=1.0):
-        return rows.mean(0), np.cov(rows.T) * factor + floors
+        return rows.mean(0), floored(np.cov(rows.T) * factor)
+
+    def distances(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
 
     best = None
-    for start in ((np.median(x, 0), np.diag((1.4826 * np.median(np.abs(x - np.median(x, 0)), 0)) ** 2) + floors), estimate(x)):
+    for start in ((np.median(x, 0), floored(np.diag((1.4826 * np.median(np.abs(x - np.median(x, 0)), 0)) ** 2))), estimate(x)):
         m, c = start
-        for _ in range(robust_rules.STEPS):
-            far = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-            bins = np.floor(np.log(far + 1e-9) * 16)
+        for _ in range(robust_rules.STEPS):  # more steps than the operator may need do not move it any further
+            bins = np.floor(np.log(distances(m, c) + 1e-9) * robust_rules.BINS)
             m, c = estimate(x[bins <= np.sort(bins)[int(np.ceil(0.75 * len(x))) - 1]], robust_rules.CONSISTENT)
         if best is None or np.linalg.slogdet(c)[1] < best[0]:
             best = np.linalg.slogdet(c)[1], m, c
-    far = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
-    m, _ = estimate(x[far <= robust_rules.REWEIGHT])
-    assert [got["g"][f"m{j}"] for j in range(4)] == pytest.approx(m.tolist(), abs=60)
+    m, c = estimate(x[distances(*best[1:]) <= robust_rules.REWEIGHT])
+    low = np.array([[got["g"][f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    assert [got["g"][f"m{j}"] for j in range(4)] == pytest.approx(m.tolist(), abs=0.5)
+    assert (low @ low.T).ravel().tolist() == pytest.approx(c.ravel().tolist(), rel=1e-3, abs=20)
     assert abs(got["g"].m0 - 3000) < 300 and got["flat"].m0 == 5
 
 
+def test_small_sources_are_judged_by_their_language(spark):
+    """Three junk texts of a source of their own are compared with all texts of the language, not with each other."""
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 80), "en", "large") for i in range(80)] + [(1000 + i, sentence(rng, 60) + " #$%&|<>" * 60, "en", "small") for i in range(3)]
+    out = robust_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    kept = {r.doc_id: r.kept for r in out}
+    assert not any(kept[1000 + i] for i in range(3)) and sum(kept[i] for i in range(80)) >= 78
+
+
 def test_rules_keep_good_and_reject_bad(spark):
     docs = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/../sf0.01/labels.parquet")
@@ -379,6 +409,33 @@ def test_rules_keep_good_and_reject_bad(spark):
     assert kept[1] > 0.98 and kept[0] < 0.3
 
 
+PROSE = "<p>" + "The quick brown fox jumps over the lazy dog and runs on through the wide green fields of the valley. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "count"),
+    [
+        (f"<form action=x><div>{PROSE * 3}<input name=q><select><option>A</option></select><button>Send</button></div></form>", 3),
+        (f'<div class="post comments-open">{PROSE * 3}</div>', 3),
+        (f'<div class="post tag-news social">{PROSE * 3}</div>', 3),
+        (f'<div id="main-notice">{PROSE * 3}</div>', 3),
+        (PROSE.replace("<p>", "<p><a href=x>").replace("</p>", "</a></p>"), 1),
+        (f"<article>{PROSE * 400}</article>", 400),
+        (f'<div class="comments">{PROSE}</div><article>{PROSE}</article><nav>{PROSE}</nav>', 1),
+    ],
+)
+def test_no_text_of_an_article_is_lost(page, count):
+    text = mincut_html.main_text(page)
+    assert text.count("jumps over") == 3 * count and "Send" not in text
+
+
+def test_formulas_and_buttons_inside_a_sentence(spark):
+    page = f"<article>{PROSE}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and press <button>Go</button> now, please.</p><button>Share</button></article>"
+    assert mincut_html.main_text(page).split("\n\n")[1:] == ["Let x=2 and press Go now, please."]
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert mincut_html.extract(empty).count() == 0
+
+
 # 6. Mixing.
 
 
@@ -485,6 +542,55 @@ def test_syncmers_by_definition():
     assert set((place[place >= 7] - 7).tolist()) == set(moved.tolist())  # free of context
 
 
+def test_fingerprints_of_short_texts():
+    """Levels by definition, and edits of texts of 8 to 40 bytes are near, not all or nothing."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefghijklmnop ", k=n)) for n in (1, 5, 8, 15, 23, 31, 40, 120, 255, 256, 400)]
+    for text, sketch in zip(texts, syncmers.sketches(pa.array(texts)), strict=True):
+        data = np.frombuffer(text.encode(), np.uint8)
+        for level, (k, s, most) in enumerate(syncmers.LEVELS):
+            inner = [int(tb.span_hash(tb.prefix_hash(data), np.array([i]), np.array([i + s]))[0]) for i in range(len(data) - s + 1)]
+            hashes = [int(tb.window_hash(tb.prefix_hash(data), s)[i]) for i in range(len(inner))]
+            expected = [i for i in range(len(data) - k + 1) if min(hashes[i : i + k - s + 1]) in (hashes[i], hashes[i + k - s])] if len(data) < most else []
+            assert sorted(int(p) & 0x3FFFFFFF for p in sketch[:, 1] if int(p) >> 30 == level) == expected
+    for n in (8, 12, 20, 24, 30, 40, 100):
+        text = "".join(rng.choices("abcdefghijklmnop ", k=n))
+        x, y = syncmers.sketches(pa.array([text, syncmers.edited(text, "zyxwvu" * 10)]))
+        assert 0.3 < syncmers.likeness(x, y) < 1 and syncmers.likeness(x, x) == 1
+
+
+def brute_likeness(x, y):
+    """Share of anchors that have a partner of equal hash at the place moved by the median shift, by plain loops."""
+    x, y = ([(int(h), int(p)) for h, p in z] for z in (x, y))
+    first = [{}, {}]
+    for z, f in zip((x, y), first, strict=True):
+        for h, p in z:
+            f[h] = min(p, f.get(h, p))
+    shifts = [first[1][h] - first[0][h] for h in first[0] if h in first[1]]
+    if not shifts:
+        return 0.0
+    moved, good = int(np.median(shifts)), 0
+    for one, two, shift in ((x, y, moved), (y, x, -moved)):
+        for h, p in one:
+            slack = syncmers.SLACK + max(p, p + shift) // 16
+            good += any(h == g and abs(q - p - shift) <= slack for g, q in two)
+    return good / (len(x) + len(y))
+
+
+def test_likeness_against_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    for _ in range(12):
+        text = sentence(rng, rng.randint(120, 300))
+        a, b = rng.randint(0, len(text) // 2), rng.randint(1, 200)
+        other = rng.choice((text[:a] + sentence(rng, b) + text[a:], text[a:] + text[: a // 2], syncmers.edited(text, sentence(rng, 100))))
+        x, y = syncmers.sketches(pa.array([text, other]))
+        assert syncmers.likeness(x, y) == pytest.approx(brute_likeness(x, y))
+
+
 def test_a_long_text_keeps_all_anchors():
     """A shared passage in texts of 120,000 bytes is found, and repeated anchors keep every place."""
     import pyarrow as pa
