@@ -358,6 +358,11 @@ def _within(num: int, den: int, x: str = "odd", y: str = "odd_b", n: str = "n",
     return (num + den) * unequal <= (den - num) * (F.col(n) + F.col(m))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most ``FEW`` rows, so that texts are not exchanged for it."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def _pair(x: str, y: str):
     return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
@@ -411,7 +416,7 @@ def components(
     pairs = scratch.written(pairs.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_near_enough(num, den), "a long, b long"), "pairs")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        ends = some.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ends = _small(scratch.written(some.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends"))
         return scratch.written(own.join(ends, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
 
     def confirm(some: DataFrame, text: DataFrame, name: str) -> DataFrame:
@@ -446,8 +451,7 @@ def components(
     if (1 - (num / den) ** SHORTEST) ** trees > 1e-7:
         active = classes.select("id").distinct()
     active = scratch.written(active, "active")
-    active = F.broadcast(active) if active.count() <= FEW else active
-    these = own.join(active, "id", "left_semi")
+    these = own.join(_small(active), "id", "left_semi")
     usual = spark.sparkContext.broadcast(_usual_keys(these, shingle, num, den))
     keys = scratch.written(these.mapInArrow(_keys(shingle, num, den, usual), "id long, keys array<long>"), "keys")
     keyed = keys.select("id", F.explode("keys").alias("key"))
@@ -498,5 +502,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     spare = unused(docs, "near_id")
     gone = components(docs, id_col, text_col, **how).where(F.col(id_col).isNotNull() & ~F.col("kept"))
-    gone = gone.select(F.col(id_col).alias(spare)).distinct()
+    gone = _small(written(gone.select(F.col(id_col).alias(spare)).distinct(), "gone"))
     return docs.join(gone, docs[id_col] == gone[spare], "left_anti")
