@@ -162,3 +162,13 @@ def axis_unit(unit_name: Column) -> Column:
     """Label of a system's axis unit."""
     name = F.lower(unit_name)
     return F.when(unit_name.isNull(), "unit").when(name.isin("metre", "meter"), "m").when(name == "degree", "deg").otherwise(unit_name)
+
+
+#: Axis units of the systems with a closed form.
+UNITS = {"EPSG:4326": "degree", "EPSG:3857": "metre"}
+
+
+def unit_of_crs(crs: Column) -> Column:
+    """Label of the axis unit of a system, by lookup; systems that are not known have "unit"."""
+    known = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    return axis_unit(F.try_element_at(known, F.upper(crs)))

@@ -82,6 +82,13 @@ def merge_paths(old: DataFrame, new: DataFrame) -> DataFrame:
     return first.select("path", F.col("at._from").alias("source"), F.col("at.nth").alias("nth"))
 
 
+def compare_names(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, side) of each distinct name: "old" or "new" if only one table has it, else "both"."""
+    rows = old.select("name", F.lit(1).alias("_s")).unionByName(new.select("name", F.lit(2).alias("_s")))
+    sides = rows.groupBy("name").agg(F.sum_distinct("_s").alias("_s"))
+    return sides.select("name", F.when(F.col("_s") == 1, "old").when(F.col("_s") == 2, "new").otherwise("both").alias("side"))
+
+
 def active_raster(layers: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by.., raster_id) of the last visible layer."""
     return layers.where("visible").groupBy(*(by or BY)).agg(F.max_by("raster_id", F.struct("layer_order", "raster_id")).alias("raster_id"))

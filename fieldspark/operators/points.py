@@ -110,3 +110,8 @@ def prepare_points(points: DataFrame, boundaries: DataFrame | None = None, order
 
 
 POINTS = T.StructType([T.StructField("field_id", T.LongType()), T.StructField("fid", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("crs", T.StringType())])
+
+
+def sorted_by_fid(points: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """points with nth: the place of each by fid in its key, from 0, ties by coordinates."""
+    return points.withColumn("nth", F.row_number().over(W.partitionBy(*(by or BY)).orderBy("fid", "x", "y")).cast("long") - 1)

@@ -21,8 +21,16 @@ RECTANGLE = "ox double, oy double, ux double, uy double, vx double, vy double, w
 def effective_mask(points: DataFrame, boundaries: DataFrame, by: list[str] | None = None, key: str = "fid") -> DataFrame:
     """points with effective: in or on some part of its key's boundaries; true for keys without a boundary."""
     by = by or BY
-    parts = boundaries.select(*by, pr.all_edges(F.col("rings")).alias("edges"), *[c.alias(n) for c, n in zip(_bounds(F.flatten("rings")), ("bx0", "by0", "bx1", "by1"), strict=True)])
-    near = points.select(*by, key, "x", "y").join(parts, by)
+    bounds = dict(zip(("bx0", "by0", "bx1", "by1"), _bounds(F.flatten("rings")), strict=True))
+    parts = boundaries.select(*by, pr.all_edges(F.col("rings")).alias("edges"), *[c.alias(n) for n, c in bounds.items()]).where("bx0 is not null")
+    # A part stands in the cells of a grid of its own size, four at most; points look into the grids of their key.
+    side = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.lit(1e-9))
+    parts = parts.withColumn("level", F.ceil(F.log2(side)).cast("int"))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    dealt = parts.withColumn("cx", F.explode(F.sequence(cell("bx0"), cell("bx1")))).withColumn("cy", F.explode(F.sequence(cell("by0"), cell("by1"))))
+    levels = parts.groupBy(*by).agg(F.collect_set("level").alias("levels"))
+    near = points.select(*by, key, "x", "y").join(levels, by).withColumn("level", F.explode("levels")).drop("levels")
+    near = near.withColumns({"cx": cell("x"), "cy": cell("y")}).join(dealt, [*by, "level", "cx", "cy"])
     near = near.where(F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1")))
     inside = near.where(pr.covers(F.col("edges"), F.col("x"), F.col("y"))).select(*by, key).distinct().withColumn("covered", F.lit(True))
     have = boundaries.select(*by).distinct().withColumn("bounded", F.lit(True))
@@ -210,8 +218,8 @@ def subplots(
     """
     by = by or BY
     r = rotated_rectangles(vertices_of(boundaries, by), by)
-    n_c = F.lit(cols) if width is None else F.floor((F.col("width") + x_spacing) / (width + x_spacing)).cast("int")
-    n_r = F.lit(rows) if height is None else F.floor((F.col("height") + y_spacing) / (height + y_spacing)).cast("int")
+    n_c = F.lit(cols) if width is None else F.floor(F.try_divide(F.col("width") + x_spacing, F.lit(float(width + x_spacing)))).cast("int")
+    n_r = F.lit(rows) if height is None else F.floor(F.try_divide(F.col("height") + y_spacing, F.lit(float(height + y_spacing)))).cast("int")
     w = (F.col("width") - (n_c - 1) * x_spacing) / n_c if width is None else F.lit(float(width))
     h = (F.col("height") - (n_r - 1) * y_spacing) / n_r if height is None else F.lit(float(height))
     grid = r.withColumns({"n_c": n_c, "n_r": n_r, "w": w, "h": h}).where("w > 0 and h > 0 and n_c > 0 and n_r > 0")
@@ -225,3 +233,10 @@ def subplots(
     cells = keep_cells(grid.select(*by, "row", "col", ring.alias("ring")), boundaries, keep, by=by)
     number = F.row_number().over(W.partitionBy(*by).orderBy("row", "col")).cast("long")
     return cells.select(*by, number.alias("id"), "row", "col", "ring")
+
+
+def write_subplots(cells: DataFrame, path: str, fmt: str = "parquet", by: list[str] | None = None, mode: str = "errorifexists") -> str:
+    """Writes subplots (by.., id, row, col, ring) partitioned by key, with closed rings; the path gets the format's suffix once."""
+    path = path if path.lower().endswith(f".{fmt}") else f"{path}.{fmt}"
+    cells.withColumn("ring", geom.close_ring(F.col("ring"))).write.mode(mode).partitionBy(*(by or BY)).format(fmt).save(path)
+    return path

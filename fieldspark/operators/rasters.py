@@ -52,13 +52,15 @@ def read_windows(tiles: DataFrame, windows: DataFrame, keys: list[str] | None =
     """Windows with pixels array<double> row by row for each of the first three bands; what no tile has is 0.
 
     A window is joined to the keys of the tiles that it overlaps, and each tile gives only its rows inside the
-    window, so pixels are never exploded one by one. Windows may reach over the raster.
+    window, so pixels are never exploded one by one. Windows may reach over the raster or lie outside it; one of a raster without tiles
+    has one band of zeros. If windows have their raster's affine a..f, the result has each window's own. Windows without area go.
     """
     keys = keys or ["raster_id", "row", "col"]
-    size = tiles.groupBy("raster_id").agg(F.max("tile_w").alias("tw"), F.max("tile_h").alias("th"))
-    rows = windows.select(*keys, "x0", "y0", "x1", "y1").join(size, "raster_id")
+    own = [c for c in geom.AFFINE if c in windows.columns]
+    size = tiles.where("band <= 3").groupBy("raster_id").agg(F.max("tile_w").alias("tw"), F.max("tile_h").alias("th"), F.collect_set("band").alias("bands"))
+    every = windows.select(*keys, "x0", "y0", "x1", "y1", *own).where("x1 > x0 and y1 > y0").join(size, "raster_id", "left")
+    rows = every.select(*keys, "x0", "y0", "x1", "y1", "tw", "th").where("tw is not null")
     lo, hi = (lambda c, t: F.floor(F.col(c) / F.col(t)).cast("int")), (lambda c, t: F.floor((F.col(c) - 1) / F.col(t)).cast("int"))
-    rows = rows.where("x1 > x0 and y1 > y0")
     rows = rows.withColumn("tile_col", F.explode(F.sequence(lo("x0", "tw"), hi("x1", "tw")))).withColumn("tile_row", F.explode(F.sequence(lo("y0", "th"), hi("y1", "th"))))
     some = tiles.where("band <= 3").select("raster_id", "tile_row", "tile_col", "tile_w", "tile_h", "band", "pixels")
     hit = rows.join(some, ["raster_id", "tile_row", "tile_col"])
@@ -76,10 +78,42 @@ def read_windows(tiles: DataFrame, windows: DataFrame, keys: list[str] | None =
         lambda s, p: F.struct(p["cx1"].alias("at"), F.concat(s["v"], zeros(p["cx0"] - s["at"]), p["part"]).alias("v")),
     )
     line = line.withColumn("s", state).withColumn("line", F.concat(F.col("s.v"), zeros(F.col("x1") - F.col("s.at"))))
-    whole = line.groupBy(*keys, "band", "x0", "y0", "x1", "y1").agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    whole = line.groupBy(*keys, "band").agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    every = every.withColumn("band", F.explode(F.coalesce("bands", F.array(F.lit(1))))).drop("tw", "th", "bands")
+    every = every.join(whole, [*keys, "band"], "left")
     empty = zeros(F.col("x1") - F.col("x0"))
     pixels = F.flatten(F.transform(F.sequence("y0", F.col("y1") - 1), lambda y: F.coalesce(F.try_element_at("lines", y), empty)))
-    return whole.select(*keys, "band", "x0", "y0", "x1", "y1", pixels.alias("pixels"))
+    moved = {}
+    if len(own) == len(geom.AFFINE):
+        moved = dict(zip(("c", "f"), geom.pixel_to_geo(F.col("x0"), F.col("y0")), strict=True))
+    return every.select(*keys, "band", "x0", "y0", "x1", "y1", *[moved.get(c, F.col(c)).alias(c) for c in own], pixels.alias("pixels"))
+
+
+def bounds_windows(patches: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Pixel windows x0..y1 of geo bounds (raster_id, .., left, bottom, right, top); offsets and lengths are rounded, empty windows go."""
+    rows = patches.join(rasters.select("raster_id", *geom.AFFINE), "raster_id")
+    (c0, r0), (c1, r1) = geom.geo_to_pixel(F.col("left"), F.col("top")), geom.geo_to_pixel(F.col("right"), F.col("bottom"))
+    whole = lambda v: F.round(v).cast("int")
+    rows = rows.withColumns({"x0": whole(F.least(c0, c1)), "y0": whole(F.least(r0, r1)), "x1": whole(F.abs(c1 - c0)), "y1": whole(F.abs(r1 - r0))})
+    return rows.where("x1 > 0 and y1 > 0").withColumns({"x1": F.col("x0") + F.col("x1"), "y1": F.col("y0") + F.col("y1")})
+
+
+def crop_pixels(tiles: DataFrame, patches: DataFrame, rasters: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels 0..255 of patches given by geo bounds, with each patch's own affine; keys (with raster_id) name a patch."""
+    return normalize_images(read_windows(tiles, bounds_windows(patches, rasters), keys), keys)
+
+
+def detect_patches(tiles: DataFrame, centers: DataFrame, rasters: DataFrame, size: int, predictor_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """A user's predictor on the square of so many pixels (clamped) around each geo centre (raster_id, center_id, x, y)."""
+    keys = ["raster_id", "center_id"]
+    return detect(normalize_images(read_windows(tiles, geo_windows(centers, rasters, size), keys), keys), predictor_factory, schema)
+
+
+def three_bands(windows: DataFrame) -> DataFrame:
+    """Images of one band (without a column band, as 2-D arrays are) as three equal bands; more than three are cut to the first three."""
+    if "band" in windows.columns:
+        return windows.where("band <= 3")
+    return windows.withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(3))))
 
 
 def geo_windows(centers: DataFrame, rasters: DataFrame, size: int = 640) -> DataFrame:

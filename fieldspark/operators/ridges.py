@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoint import written
 from ..functions import geom
 from .suppress import spaced_peaks
 
@@ -95,8 +98,15 @@ def profile_range(density: DataFrame, peaks: DataFrame, height: float, by: list[
     return span.select(*by, (F.col("lo") - pad).alias("y_min"), (F.col("hi") + pad).alias("y_max"))
 
 
-def detect_ridges(points: DataFrame, directions: DataFrame, width: float = 1.0, distance: int = 1, height: float = 20, by: list[str] | None = None) -> dict[str, DataFrame]:
-    """density, peaks and lines of the effective points (all, if there is no column effective)."""
+def detect_ridges(
+    points: DataFrame, directions: DataFrame, width: float = 1.0, distance: int = 1, height: float = 20, by: list[str] | None = None, metres: float | None = None
+) -> dict[str, DataFrame]:
+    """density, peaks and lines of the effective points (all, if there is no column effective).
+
+    Peaks are distance bins apart, or metres, which are rounded up to whole bins.
+    """
+    if metres is not None:
+        distance = max(1, math.ceil(metres / width)) if metres > 0 and width > 0 else 1
     points = points.where("effective") if "effective" in points.columns else points
     values = projected(points, directions, by=by)
     density = density_histogram(values, width, by=by)
@@ -131,42 +141,71 @@ def assign_ridges(values: DataFrame, intervals: DataFrame, by: list[str] | None
     return rows.withColumns({"ridge_id": F.coalesce("ridge_id", F.lit(-1).cast("long")), "is_inlier": F.col("ridge_id").isNotNull()}).drop("ridges")
 
 
-def _ransac(residual: float, max_trials: int):
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("fid", ignore_index=True)
-        n = len(rows)
-        if n < 2:
-            return rows
-        x, y = rows["along"].to_numpy(float), rows["perp"].to_numpy(float)
-        if n * (n - 1) // 2 <= max_trials:
-            i, j = np.triu_indices(n, 1)
-        else:
-            # The first pairs by a fixed scramble of their places, found without listing all: rows of pairs are ranked in turn.
-            best: list[tuple[int, int, int]] = []
-            for a in range(n - 1):
-                b = np.arange(a + 1, n)
-                key = (a * 7919 + b * 104729) % 1000003
-                top = np.argsort(key, kind="stable")[:max_trials]
-                best += [(int(key[t]), a, int(b[t])) for t in top]
-                if len(best) > 4 * max_trials:
-                    best = sorted(best)[:max_trials]
-            best = sorted(best)[:max_trials]
-            i, j = np.array([p[1] for p in best]), np.array([p[2] for p in best])
-        dx = x[j] - x[i]
-        slope = np.where(dx == 0, 0.0, (y[j] - y[i]) / np.where(dx == 0, 1.0, dx))
-        shift = np.where(dx == 0, (y[i] + y[j]) / 2, y[i] - slope * x[i])
-        winner: tuple | None = None
-        for lo in range(0, len(i), 256):
-            error = np.abs(y[None, :] - slope[lo : lo + 256, None] * x[None, :] - shift[lo : lo + 256, None])
+#: Points of a ridge that one task compares with the ridge's lines.
+SHARE = 50_000
+# Pairs of places (i, j) are tried in order of (i * 7919 + j * 104729) modulo 1000003, then i, then j.
+_I, _J, _MODULUS = 7919, 104729, 1000003
+
+
+def trial_pairs(n: int, trials: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first so many pairs i < j of n places in the scrambled order; all pairs in plain order if there are no more."""
+    every = n * (n - 1) // 2
+    if every <= trials:
+        return np.triu_indices(n, 1)
+    if every <= 2_000_000:
+        i, j = np.triu_indices(n, 1)
+        first = np.lexsort((j, i, (i * _I + j * _J) % _MODULUS))[:trials]
+        return i[first], j[first]
+    # For one value of the scramble each i has a single class of partners, so pairs are listed value by value.
+    inverse, i = pow(_J, -1, _MODULUS), np.arange(n, dtype=np.int64)
+    found_i, found_j, have, value = [], [], 0, 0
+    while have < trials:
+        least = (value - i * _I) % _MODULUS * inverse % _MODULUS
+        row, col = [], []
+        for step in range(-(-n // _MODULUS)):
+            j = least + step * _MODULUS
+            good = (j > i) & (j < n)
+            row.append(i[good])
+            col.append(j[good])
+        r, c = np.concatenate(row), np.concatenate(col)
+        order = np.lexsort((c, r))
+        found_i.append(r[order])
+        found_j.append(c[order])
+        have, value = have + len(r), value + 1
+    return np.concatenate(found_i)[:trials], np.concatenate(found_j)[:trials]
+
+
+def _listed(by: list[str], trials: int):
+    def run(batches):
+        for rows in batches:
+            out = []
+            for row in rows.itertuples(index=False):
+                i, j = trial_pairs(int(row[-1]), trials)
+                part = pd.DataFrame({"nr": np.arange(len(i)), "i": i.astype(np.int64), "j": j.astype(np.int64)})
+                for at, name in enumerate([*by, "ridge_id"]):
+                    part.insert(at, name, row[at])
+                out.append(part)
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def _counted(by: list[str], residual: float):
+    """How many points of a share of a ridge lie near each line, and their squared errors."""
+
+    def run(points: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        x, y = points["along"].to_numpy(float), points["perp"].to_numpy(float)
+        slope, shift = lines["slope"].to_numpy(float), lines["shift"].to_numpy(float)
+        count, square = np.zeros(len(lines), np.int64), np.zeros(len(lines))
+        wide = max(1, 2_000_000 // max(1, len(x)))
+        for lo in range(0, len(lines), wide):
+            error = np.abs(y[None, :] - slope[lo : lo + wide, None] * x[None, :] - shift[lo : lo + wide, None])
             good = error <= residual
-            count, square = good.sum(1), np.where(good, error**2, 0).sum(1)
-            k = np.lexsort((np.arange(len(count)), square, -count))[0]
-            if winner is None or (-count[k], square[k]) < winner[:2]:
-                winner = (-count[k], square[k], good[k])
-        rows["is_inlier"] = winner[2]
-        return rows
+            count[lo : lo + wide], square[lo : lo + wide] = good.sum(1), np.where(good, error**2, 0).sum(1)
+        return lines[[*by, "ridge_id", "nr"]].assign(c=count, sq=square)
 
-    return fit
+    return run
 
 
 def ransac_inliers(assigned: DataFrame, residual: float = 50.0, max_trials: int = 1000, by: list[str] | None = None) -> DataFrame:
@@ -174,12 +213,30 @@ def ransac_inliers(assigned: DataFrame, residual: float = 50.0, max_trials: int
 
     All pairs are tried if there are at most max_trials, else that many in a fixed scrambled order; the best has most
     points within residual, then least squared error. ridge_id never changes; ridges with fewer than two points keep their flags.
+    Pairs are listed from a ridge's number of points, lines meet its points in shares of ``SHARE``, and counts of the shares are added up.
     """
     by = _by(by)
-    columns = [*by, "fid", "ridge_id", "is_inlier", "along", "perp"]
-    rows = assigned.select(*columns)
-    fitted = rows.where("ridge_id >= 0").groupBy(*by, "ridge_id").applyInPandas(_ransac(residual, max_trials), rows.schema)
-    return fitted.unionByName(rows.where("ridge_id < 0")).drop("along", "perp")
+    ridge = [*by, "ridge_id"]
+    rows = assigned.select(*ridge, "fid", "is_inlier", "along", "perp")
+    on = rows.where("ridge_id >= 0").withColumn("i", F.row_number().over(W.partitionBy(*ridge).orderBy("fid")).cast("long") - 1)
+    on = written(on, "ridge-points")
+    counts = on.groupBy(*ridge).agg(F.count("*").alias("n")).where("n >= 2")
+    kinds = {f.name: f.dataType.simpleString() for f in on.schema}
+    keys = ", ".join(f"`{k}` {kinds[k]}" for k in ridge)
+    pairs = counts.mapInPandas(_listed(by, max_trials), f"{keys}, nr long, i long, j long")
+    pairs = pairs.join(on.select(*ridge, "i", F.col("along").alias("x0"), F.col("perp").alias("y0")), [*ridge, "i"])
+    pairs = pairs.join(on.select(*ridge, F.col("i").alias("j"), F.col("along").alias("x1"), F.col("perp").alias("y1")), [*ridge, "j"])
+    slope = F.when(F.col("x0") == F.col("x1"), 0.0).otherwise(F.try_divide(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")))
+    shift = F.when(F.col("x0") == F.col("x1"), (F.col("y0") + F.col("y1")) / 2).otherwise(F.col("y0") - F.col("slope") * F.col("x0"))
+    lines = written(pairs.withColumn("slope", slope).withColumn("shift", shift).select(*ridge, "nr", "slope", "shift"), "ridge-lines")
+    share = (F.col("i") / SHARE).cast("long")
+    shares = counts.select(*ridge, F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("n") - 1) / SHARE).cast("long"))).alias("share"))
+    met = on.withColumn("share", share).groupBy(*ridge, "share").cogroup(lines.join(shares, ridge).groupBy(*ridge, "share"))
+    tried = met.applyInPandas(_counted(by, residual), f"{keys}, nr long, c long, sq double").groupBy(*ridge, "nr").agg(F.sum("c").alias("c"), F.sum("sq").alias("sq"))
+    best = tried.groupBy(*ridge).agg(F.min_by("nr", F.struct((-F.col("c")).alias("c"), "sq", "nr")).alias("nr")).join(lines, [*ridge, "nr"]).drop("nr")
+    near = F.abs(F.col("perp") - F.col("slope") * F.col("along") - F.col("shift")) <= residual
+    fitted = on.join(best, ridge, "left").select(*by, "fid", "ridge_id", F.coalesce(near, "is_inlier").alias("is_inlier"))
+    return fitted.unionByName(rows.where("ridge_id < 0").select(*by, "fid", "ridge_id", "is_inlier"))
 
 
 def order_points(

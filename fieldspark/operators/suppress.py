@@ -1,45 +1,91 @@
-"""Greedy suppression in rounds of DataFrame steps, and what is built on it: box merging and peak spacing.
+"""Greedy suppression, and what is built on it: box merging and peak spacing.
 
-A row is kept if no kept row of better rank conflicts with it. Each round keeps every undecided row without an
-undecided better neighbour and drops the neighbours of what was kept, so the number of rounds is the length
-of the longest chain of conflicts by rank, not the number of rows. Rounds are written to the shared folder.
+A row is kept if no kept row of better rank conflicts with it. Conflicts never cross keys, so a key with at most ``AT_ONCE`` of
+them is walked by rank in one task. Keys with more are parted into connected components of conflicts, which are walked
+alike; only a component that is itself larger is decided in rounds of joins: each keeps every undecided row without an undecided
+better neighbour and drops the neighbours of what was kept. Intermediate tables are written to the shared folder.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..checkpoint import written
+from ..checkpoint import Scratch, written
+from ..components import connected_components
 from ..functions import geom
 
 BOX = ("gx0", "gy0", "gx1", "gy1")
+#: Conflicts that one task walks at most; a few dozen bytes each.
+AT_ONCE = 1_000_000
 
 
-def greedy_suppress(nodes: DataFrame, conflicts: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
-    """Kept rows of nodes(*keys, rank) (a smaller rank is better; ranks differ inside conflicts).
+def _walk(keys: list[str]):
+    """Dropped rows among the conflicts of one group, by ascending rank; the last key is the rank."""
+    better, worse = [f"{k}_a" for k in keys], [f"{k}_b" for k in keys]
 
-    conflicts(*keys with suffix _a, *keys with suffix _b): pairs where a has the better rank. Raises RuntimeError after max_rounds.
-    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(better[-1], kind="stable")
+        gone, at = set(), []
+        for k, (a, b) in enumerate(zip(rows[better].itertuples(index=False, name=None), rows[worse].itertuples(index=False, name=None), strict=True)):
+            if a not in gone and b not in gone:
+                gone.add(b)
+                at.append(k)
+        return rows.iloc[at][worse].set_axis(keys, axis=1)
+
+    return run
+
+
+def _rounds(edges: DataFrame, keys: list[str], scratch: Scratch, max_rounds: int) -> DataFrame | None:
+    """Dropped rows among conflicts, in as many rounds as the longest chain by rank."""
     better, worse = [f"{k}_a" for k in keys], [f"{k}_b" for k in keys]
-    edges = written(conflicts.select(*better, *worse).distinct(), "conflicts")
-    out: DataFrame | None = None  # rows that are dropped so far
+    out: DataFrame | None = None
     for _ in range(max_rounds):
         # Among what is left, a row that is no one's worse neighbour is kept; its neighbours go.
         if edges.isEmpty():
-            break
+            return out
         loses = edges.select(*[F.col(w).alias(k) for w, k in zip(worse, keys, strict=True)]).distinct()
         kept = edges.select(*[F.col(b).alias(k) for b, k in zip(better, keys, strict=True)]).distinct().join(loses, keys, "left_anti")
         gone = edges.join(kept.select(*[F.col(k).alias(b) for k, b in zip(keys, better, strict=True)]), better, "left_semi")
-        gone = written(gone.select(*[F.col(w).alias(k) for w, k in zip(worse, keys, strict=True)]).distinct(), "suppressed")
+        gone = scratch.written(gone.select(*[F.col(w).alias(k) for w, k in zip(worse, keys, strict=True)]).distinct(), "suppressed")
         for side in (better, worse):
             edges = edges.join(gone.select(*[F.col(k).alias(s) for k, s in zip(keys, side, strict=True)]), side, "left_anti")
-        edges = written(edges, "conflicts")
+        edges = scratch.written(edges, "conflicts")
         out = gone if out is None else out.unionByName(gone)
-    else:
-        raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
-    return nodes if out is None else nodes.join(out, keys, "left_anti")
+    raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
+
+
+def greedy_suppress(nodes: DataFrame, conflicts: DataFrame, keys: list[str], max_rounds: int = 10_000, at_once: int = AT_ONCE) -> DataFrame:
+    """Kept rows of nodes(*keys), where the last key is the rank (smaller is better; ranks differ inside conflicts).
+
+    conflicts(*keys with suffix _a, *keys with suffix _b): pairs of one key where a has the better rank. Raises RuntimeError after max_rounds.
+    """
+    scratch = Scratch(nodes.sparkSession)
+    better, worse = [f"{k}_a" for k in keys], [f"{k}_b" for k in keys]
+    by = better[:-1]
+    edges = scratch.written(conflicts.select(*better, *worse).distinct(), "conflicts")
+    schema = ", ".join(f"`{k}` {edges.schema[b].dataType.simpleString()}" for k, b in zip(keys, better, strict=True))
+    large = edges.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > at_once).select(*by)
+    small = edges.join(large, by, "left_anti")
+    found = [small.groupBy(*by).applyInPandas(_walk(keys), schema)]
+    if not large.isEmpty():
+        rest = edges.join(large, by, "left_semi").withColumns({"a": F.xxhash64(*better), "b": F.xxhash64(*worse)})
+        rest = scratch.written(rest, "rest")  # where two rows share a hash their components are one, which changes nothing
+        part = connected_components(rest.select("a", "b"), scratch=scratch).withColumnRenamed("id", "a")
+        rest = scratch.written(rest.join(part, "a"), "parted")
+        huge = rest.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > at_once).select("component")
+        found.append(rest.join(huge, "component", "left_anti").groupBy("component").applyInPandas(_walk(keys), schema))
+        more = _rounds(scratch.written(rest.join(huge, "component", "left_semi").select(*better, *worse), "conflicts"), keys, scratch, max_rounds)
+        if more is not None:
+            found.append(more)
+    gone = found[0]
+    for more in found[1:]:
+        gone = gone.unionByName(more)
+    gone = written(gone, "gone")
+    scratch.drop()
+    return nodes.join(gone, keys, "left_anti")
 
 
 def ranked(detections: DataFrame, by: list[str]) -> DataFrame:

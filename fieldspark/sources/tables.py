@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,3 +81,20 @@ def slice_report(detections: DataFrame, windows: DataFrame) -> DataFrame:
     box = F.struct((-F.col("score")).alias("order"), "idx", *suppress.BOX, *[c.alias(n) for c, n in zip(geom.box_center(*[F.col(c) for c in suppress.BOX]), ("cx", "cy"), strict=True)])
     got = detections.groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.array_sort(F.collect_list(box)).alias("boxes"))
     return windows.join(got, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def concat_runs(*runs: DataFrame) -> DataFrame:
+    """Detections of several runs as one table; idx is numbered anew in each raster by run, slice and old idx."""
+    rows = None
+    for nth, run in enumerate(runs):
+        part = run.withColumn("_run", F.lit(nth))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        raise ValueError("no run is given")
+    order = W.partitionBy("raster_id").orderBy("_run", "row", "col", "idx")
+    return rows.withColumn("idx", F.row_number().over(order).cast("long") - 1).drop("_run")
+
+
+def detection_counts(detections: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by.., n): detections of each raster or run."""
+    return detections.groupBy(*(by or ["raster_id"])).agg(F.count("*").alias("n"))
