@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geom
 
-POINTS_SQL = """
-  SELECT (o_custkey % 4)::BIGINT AS field_id, o_orderkey::BIGINT AS fid, o_totalprice::DOUBLE / 1000 AS x,
-         (4 * (o_orderkey % 12))::DOUBLE + ((o_custkey * 37) % 101 - 50)::DOUBLE / 100 AS y FROM orders"""
+#: Direction of the ridges of fields 0 to 3.
+TURNS = ((1.0, 0.0), (0.6, 0.8), (0.8, -0.6), (0.0, 1.0))
+
+DIRECTIONS_SQL = "SELECT * FROM (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE), (1, 0.6, 0.8), (2, 0.8, -0.6), (3, 0.0, 1.0)) AS t(field_id, ux, uy)"
+
+POINTS_SQL = f"""
+  SELECT field_id, fid, l * ux - m * uy AS x, l * uy + m * ux AS y FROM (
+    SELECT (o_custkey % 4)::BIGINT AS field_id, o_orderkey::BIGINT AS fid, o_totalprice::DOUBLE / 1000 AS l,
+           (4 * (o_orderkey % 12))::DOUBLE + ((o_custkey * 37) % 101 - 50)::DOUBLE / 100 AS m FROM orders) JOIN ({DIRECTIONS_SQL}) USING (field_id)"""
 
 SCATTER_SQL = """
   SELECT label::BIGINT AS field_id, vec_id::BIGINT AS fid, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings"""
@@ -49,10 +55,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _turn(at: int) -> Column:
+    return F.element_at(F.array(*[F.lit(t[at]) for t in TURNS]), (F.col("field_id") + 1).cast("int"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plants on twelve planted ridges for each of four fields."""
-    y = (4 * (F.col("o_orderkey") % 12)).cast("double") + ((F.col("o_custkey") * 37) % 101 - 50).cast("double") / 100
-    return _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).cast("long").alias("field_id"), F.col("o_orderkey").cast("long").alias("fid"), (F.col("o_totalprice").cast("double") / 1000).alias("x"), y.alias("y"))
+    """Plants on twelve planted ridges for each of four fields, along the field's direction."""
+    across = (4 * (F.col("o_orderkey") % 12)).cast("double") + ((F.col("o_custkey") * 37) % 101 - 50).cast("double") / 100
+    rows = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).cast("long").alias("field_id"), F.col("o_orderkey").cast("long").alias("fid"), (F.col("o_totalprice").cast("double") / 1000).alias("l"), across.alias("m"))
+    ux, uy = _turn(0), _turn(1)
+    return rows.select("field_id", "fid", (F.col("l") * ux - F.col("m") * uy).alias("x"), (F.col("l") * uy + F.col("m") * ux).alias("y"))
 
 
 def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +73,8 @@ def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(1, 0) for every field of points."""
-    return points(spark, sf_dir).select("field_id").distinct().select("field_id", F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy"))
+    """The direction of every field of points."""
+    return points(spark, sf_dir).select("field_id").distinct().select("field_id", _turn(0).alias("ux"), _turn(1).alias("uy"))
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:

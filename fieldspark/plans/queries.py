@@ -48,7 +48,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 _PROJECTED = f"""
   p AS ({d.POINTS_SQL}), o AS (SELECT field_id, avg(x) AS ox, avg(y) AS oy FROM p GROUP BY field_id),
-  v AS (SELECT p.*, x - ox AS along, y - oy AS perp, ox, oy FROM p JOIN o USING (field_id))"""
+  dir AS ({d.DIRECTIONS_SQL}), v AS (SELECT p.*, (x - ox) * ux + (y - oy) * uy AS along, (y - oy) * ux - (x - ox) * uy AS perp, ox, oy, ux, uy FROM p JOIN o USING (field_id) JOIN dir USING (field_id))"""
 _DENSITY = f"""{_PROJECTED},
   c AS (SELECT field_id, floor(perp / {WIDTH})::BIGINT AS bin, count(*) AS n FROM v GROUP BY ALL),
   g AS (SELECT field_id, unnest(generate_series(min(bin), max(bin))) AS bin FROM c GROUP BY field_id),
@@ -100,19 +100,19 @@ def points_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_values(spark, sf_dir).select("field_id", "fid", "along", "perp"), "along", "perp")
 
 
-@query(f"WITH p AS ({d.POINTS_SQL}) SELECT field_id, min(x) AS \"left\", min(y) AS bottom, max(x) AS \"right\", max(y) AS top, count(*) AS n FROM p GROUP BY field_id")
+@query(f"WITH p AS ({d.POINTS_SQL}) SELECT field_id, round(min(x), 6) + 0 AS \"left\", round(min(y), 6) + 0 AS bottom, round(max(x), 6) + 0 AS \"right\", round(max(y), 6) + 0 AS top, count(*) AS n FROM p GROUP BY field_id")
 def points_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pt.bounds(d.points(spark, sf_dir))
+    return _rounded(pt.bounds(d.points(spark, sf_dir)), "left", "bottom", "right", "top")
 
 
 @query(
     f"""WITH p AS ({d.POINTS_SQL}), q AS (SELECT field_id, CASE WHEN field_id = 1 AND fid % 97 = 0 THEN NULL ELSE fid END AS fid, x, y, fid AS own FROM p)
-    SELECT field_id, CASE WHEN bool_or(fid IS NULL) OVER (PARTITION BY field_id) THEN row_number() OVER (PARTITION BY field_id ORDER BY own) - 1 ELSE fid END AS fid, own, x, y FROM q"""
+    SELECT field_id, CASE WHEN bool_or(fid IS NULL) OVER (PARTITION BY field_id) THEN row_number() OVER (PARTITION BY field_id ORDER BY own) - 1 ELSE fid END AS fid, own, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y FROM q"""
 )
 def points_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.points(spark, sf_dir).withColumn("own", F.col("fid"))
     rows = rows.withColumn("fid", F.when((F.col("field_id") == 1) & (F.col("fid") % 97 == 0), None).otherwise(F.col("fid")))
-    return pt.normalize_points(rows, ["own"])
+    return _rounded(pt.normalize_points(rows, ["own"]), "x", "y")
 
 
 @query(f"WITH RECURSIVE {_PEAKS} SELECT * FROM peaks")
@@ -121,8 +121,8 @@ def ridge_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_PEAKS}, e AS (SELECT field_id, min(along) AS lo, max(along) AS hi, min(ox) AS ox, min(oy) AS oy FROM v GROUP BY field_id)
-    SELECT field_id, ridge_index, round(ox + lo, 6) AS x0, round(oy + peak_x, 6) AS y0, round(ox + hi, 6) AS x1, round(oy + peak_x, 6) AS y1 FROM peaks JOIN e USING (field_id)"""
+    f"""WITH RECURSIVE {_PEAKS}, e AS (SELECT field_id, min(along) AS lo, max(along) AS hi, min(ox) AS ox, min(oy) AS oy, min(ux) AS ux, min(uy) AS uy FROM v GROUP BY field_id)
+    SELECT field_id, ridge_index, round(ox - uy * peak_x + ux * lo, 6) + 0 AS x0, round(oy + ux * peak_x + uy * lo, 6) + 0 AS y0, round(ox - uy * peak_x + ux * hi, 6) + 0 AS x1, round(oy + ux * peak_x + uy * hi, 6) + 0 AS y1 FROM peaks JOIN e USING (field_id)"""
 )
 def ridge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ridges.ridge_lines(_values(spark, sf_dir), _peaks(spark, sf_dir)), "x0", "y0", "x1", "y1")
@@ -142,9 +142,9 @@ def ridge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ridges.ridge_intervals(_peaks(spark, sf_dir), BUFFER)
 
 
-@query(f"WITH RECURSIVE {_ASSIGNED} SELECT field_id, fid, x, y, ridge_id, is_inlier FROM ordered")
+@query(f"WITH RECURSIVE {_ASSIGNED} SELECT field_id, fid, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, ridge_id, is_inlier FROM ordered")
 def ridge_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ridges.order_points(d.points(spark, sf_dir), d.directions(spark, sf_dir), _peaks(spark, sf_dir), BUFFER)
+    return _rounded(ridges.order_points(d.points(spark, sf_dir), d.directions(spark, sf_dir), _peaks(spark, sf_dir), BUFFER), "x", "y")
 
 
 @query(
@@ -158,23 +158,23 @@ def ordering_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ridges.ordering_stats(ordered, d.points(spark, sf_dir), peaks)
 
 
-# The first 200 pairs of a ridge in a fixed scrambled order (all, if there are no more); most points within 0.4, then least squared error.
+# The first 2000 pairs of a ridge in a fixed scrambled order (all, if there are no more); most points within 0.4037, then least squared error.
 _FITTED = f"""{_ASSIGNED},
   r AS (SELECT o.field_id, o.fid, o.ridge_id, v.along, v.perp, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o.field_id, o.ridge_id) AS n
         FROM ordered o JOIN v USING (field_id, fid) WHERE o.ridge_id >= 0 WINDOW w AS (PARTITION BY o.field_id, o.ridge_id ORDER BY o.fid)),
   pairs AS (SELECT a.field_id, a.ridge_id, CASE WHEN a.along = b.along THEN 0 ELSE (b.perp - a.perp) / (b.along - a.along) END AS slope, a.along AS x0, a.perp AS y0, b.along AS x1, b.perp AS y1,
-            row_number() OVER (PARTITION BY a.field_id, a.ridge_id ORDER BY CASE WHEN a.n * (a.n - 1) / 2 <= 200 THEN 0 ELSE (a.i * 7919 + b.i * 104729) % 1000003 END, a.i, b.i) AS nr
-            FROM r a JOIN r b ON a.field_id = b.field_id AND a.ridge_id = b.ridge_id AND a.i < b.i QUALIFY nr <= 200),
+            row_number() OVER (PARTITION BY a.field_id, a.ridge_id ORDER BY CASE WHEN a.n * (a.n - 1) / 2 <= 2000 THEN 0 ELSE (a.i * 7919 + b.i * 104729) % 1000003 END, a.i, b.i) AS nr
+            FROM r a JOIN r b ON a.field_id = b.field_id AND a.ridge_id = b.ridge_id AND a.i < b.i QUALIFY nr <= 2000),
   lines AS (SELECT *, CASE WHEN x0 = x1 THEN (y0 + y1) / 2 ELSE y0 - slope * x0 END AS shift FROM pairs),
-  fits AS (SELECT l.field_id, l.ridge_id, l.nr, count(*) FILTER (abs(perp - slope * along - shift) <= 0.4) AS c, coalesce(sum((perp - slope * along - shift) ** 2) FILTER (abs(perp - slope * along - shift) <= 0.4), 0) AS sq
+  fits AS (SELECT l.field_id, l.ridge_id, l.nr, count(*) FILTER (abs(perp - slope * along - shift) <= 0.4037) AS c, coalesce(sum((perp - slope * along - shift) ** 2) FILTER (abs(perp - slope * along - shift) <= 0.4037), 0) AS sq
            FROM lines l JOIN r ON r.field_id = l.field_id AND r.ridge_id = l.ridge_id GROUP BY ALL),
   best AS (SELECT field_id, ridge_id, arg_min(nr, struct_pack(c := -c, sq := sq, nr := nr)) AS nr FROM fits GROUP BY ALL),
-  flags AS (SELECT r.field_id, r.fid, abs(perp - slope * along - shift) <= 0.4 AS good FROM r JOIN best USING (field_id, ridge_id) JOIN lines l ON l.field_id = r.field_id AND l.ridge_id = r.ridge_id AND l.nr = best.nr)"""
+  flags AS (SELECT r.field_id, r.fid, abs(perp - slope * along - shift) <= 0.4037 AS good FROM r JOIN best USING (field_id, ridge_id) JOIN lines l ON l.field_id = r.field_id AND l.ridge_id = r.ridge_id AND l.nr = best.nr)"""
 
 
-@query(f"WITH RECURSIVE {_FITTED} SELECT field_id, fid, x, y, ridge_id, coalesce(good, is_inlier) AS is_inlier FROM ordered LEFT JOIN flags USING (field_id, fid)")
+@query(f"WITH RECURSIVE {_FITTED} SELECT field_id, fid, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, ridge_id, coalesce(good, is_inlier) AS is_inlier FROM ordered LEFT JOIN flags USING (field_id, fid)")
 def ransac_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ridges.order_points(d.points(spark, sf_dir), d.directions(spark, sf_dir), _peaks(spark, sf_dir), BUFFER, residual=0.4, max_trials=200)
+    return _rounded(ridges.order_points(d.points(spark, sf_dir), d.directions(spark, sf_dir), _peaks(spark, sf_dir), BUFFER, residual=0.4037), "x", "y")
 
 
 @query(
@@ -246,7 +246,7 @@ def slice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH det AS ({d.DETECTIONS_SQL}) SELECT raster_id, count(*) AS n FROM det GROUP BY raster_id")
 def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.detections(spark, sf_dir).groupBy("raster_id").agg(F.count("*").alias("n"))
+    return tables.detection_counts(d.detections(spark, sf_dir))
 
 
 # Boundaries and grids.
@@ -435,7 +435,7 @@ def _pixel_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_PIXELS} SELECT raster_id, row, col, len(pixels)::INT AS n, round(list_sum(pixels), 4) + 0 AS total, round(pixels[130], 6) + 0 AS one, round(pixels[384], 6) + 0 AS last
-    FROM full_ WHERE hit > 0"""
+    FROM full_"""
 )
 def window_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.round(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v), 4) + F.lit(0.0)
@@ -443,7 +443,7 @@ def window_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PIXELS}, s AS (SELECT raster_id, row, col, list_max(pixels) AS top, pixels FROM full_ WHERE hit > 0)
+    f"""WITH {_PIXELS}, s AS (SELECT raster_id, row, col, list_max(pixels) AS top, pixels FROM full_)
     SELECT raster_id, row, col, list_sum(list_transform(pixels, lambda v: CASE WHEN top > 0 THEN trunc(v / top * 255) ELSE 0 END))::BIGINT AS total FROM s"""
 )
 def image_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +460,7 @@ def bright_pixels() -> Callable[[pd.DataFrame], pd.DataFrame]:
     return predict
 
 
-@query(f"WITH {_PIXELS} SELECT raster_id, row, col, len(list_filter(pixels, lambda v: v > 0.2)) AS n FROM full_ WHERE hit > 0")
+@query(f"WITH {_PIXELS} SELECT raster_id, row, col, len(list_filter(pixels, lambda v: v > 0.2)) AS n FROM full_")
 def tile_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.detect(_pixel_windows(spark, sf_dir), bright_pixels, "raster_id long, row int, col int, n long")
 

@@ -147,3 +147,21 @@ def test_results_do_not_depend_on_partitions(spark):
         found.add(tuple(sorted(r.idx for r in suppress.nms(df.repartition(int(n)), 0.2, 0.9).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(found) == 1
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 40, 3])
+def test_chains_are_decided_alike_at_once_and_in_rounds(spark, at_once):
+    """Ten chains in one key and one in another: walked whole, by component, and in rounds."""
+    rows = [(1 + (c == 10), 0, 0, 100 * c + i, 5.0 * i, 50.0 * c, 5.0 * i + 9, 50.0 * c + 9, 1 - (100 * c + i) / 5000) for c in range(11) for i in range(12)]
+    df = suppress.ranked(spark.createDataFrame(rows, BOXES), ["raster_id"])
+    kept = suppress.greedy_suppress(df, suppress.box_conflicts(df, geom.iou, 0.2, ["raster_id"]), ["raster_id", "rank"], at_once=at_once)
+    assert sorted(r.idx for r in kept.collect()) == [100 * c + i for c in range(11) for i in range(0, 12, 2)]
+
+
+def test_windows_off_the_tiles_are_zeros(spark):
+    tiles = spark.createDataFrame([(1, 0, 0, 2, 2, b, [float(b)] * 4) for b in (1, 2, 4)], "raster_id long, tile_row int, tile_col int, tile_w int, tile_h int, band int, pixels array<double>")
+    windows = [(1, 0, 0, 1, -1, 3, 1), (1, 0, 1, 90, 90, 92, 91), (2, 0, 0, 0, 0, 2, 1), (1, 9, 9, 5, 5, 5, 8)]
+    affine = {n: F.lit(v) for n, v in zip("abcdef", (0.5, 0.0, 10.0, 0.0, -0.5, 90.0), strict=True)}
+    w = spark.createDataFrame(windows, "raster_id long, row int, col int, x0 int, y0 int, x1 int, y1 int").withColumns(affine)
+    got = {(r.raster_id, r.col, r.band): (r.pixels, r.c, r.f) for r in rasters.read_windows(tiles, w).collect()}
+    assert got == {(1, 0, b): ([0.0, 0.0, float(b), 0.0], 10.5, 90.5) for b in (1, 2)} | {(1, 1, b): ([0.0, 0.0], 55.0, 45.0) for b in (1, 2)} | {(2, 0, 1): ([0.0, 0.0], 10.0, 90.0)}

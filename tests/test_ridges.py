@@ -93,3 +93,22 @@ def test_end_to_end_invariants(spark):
     assert s.assigned + s.ignored == s.total == 6
     none = ridges.order_points(points, directions.limit(0), found["peaks"])
     assert none.where("ridge_id = -1 and not is_inlier").count() == 6
+
+
+def test_trial_pairs_are_the_first_of_the_scramble():
+    import numpy as np
+
+    for n, trials in ((3, 10), (100, 50), (2200, 300)):
+        i, j = np.triu_indices(n, 1)
+        order = np.lexsort((j, i, (i * 7919 + j * 104729) % 1000003))[:trials] if n * (n - 1) // 2 > trials else np.arange(len(i))
+        got = ridges.trial_pairs(n, trials)
+        assert (got[0] == i[order]).all() and (got[1] == j[order]).all()
+
+
+def test_ransac_in_shares(spark, monkeypatch):
+    """A ridge of four thousand plants, every tenth of them astray, compared in shares."""
+    monkeypatch.setattr(ridges, "SHARE", 700)
+    rows = [(1, i, 0, True, float(i), 9.0 if i % 10 == 0 else 0.1 * (i % 3)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "field_id long, fid long, ridge_id long, is_inlier boolean, along double, perp double")
+    out = ridges.ransac_inliers(df, 0.35, 400).collect()
+    assert len(out) == 4000 and all(r.is_inlier == (r.fid % 10 != 0) for r in out)
