@@ -162,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     known = known.where("id is not null and label is not null").where(F.crc32(F.col("id").cast("string")) % 5 != 0)
     known = known.groupBy("id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    rows = rows.groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))  # an id counts once, with its greatest text
     found = rows.orderBy("id").select("label", "text").mapInArrow(_sparse, "label double, dims binary, counts binary").collect()
     y = np.array([r["label"] for r in found])
 

@@ -10,9 +10,11 @@ suffixes so far, are that round's segment of the collection's Burrows-Wheeler tr
 stable distribution of the order by symbol (its LF mapping) is the next order, and
 neighbours still share a common prefix of the round's depth if symbol and earlier prefix are both
 shared. After the last round neighbours that share a prefix of full depth are equal
-windows, and the least id among them decides. Columns, order and prefixes stand in external
-files that each round reads and rewrites once; all windows end in the last round, so
-the transform needs no merge of suffixes of different lengths.
+windows, and the least id among them decides. All windows end in the last round, so
+the transform needs no merge of suffixes of different lengths. What stands of the method and what does not: columns are one
+external file of the task, read a column a round, and each round's segment takes its column's place; order and prefixes are arrays in
+memory, as a task holds one bucket of pieces only; a segment is not read again, as the next order follows from the symbols at
+hand. Which windows meet in a task is settled by minimizers, before the method begins.
 
 Spark deals the work out and keeps it small. Consecutive windows with one minimizer (the least hash
 of their 24-byte strings) are one piece. (1) Minimizers are exchanged in packed blocks
