@@ -1,38 +1,43 @@
 """Scoring of documents by cross-entropy difference between two matched word models.
 
 Method. A target model is counted from documents that are labelled good, a background model from all
-documents. Both are bigram models of the same form over one vocabulary: the ``WORDS`` most
-frequent words of the corpus, a mark for the beginning of a text, and ``CLASSES`` classes into
-which all other words fall by hash, so every word has a place. Background counts are
-scaled to the size of the target, then both are smoothed alike, towards their own
-unigrams. Each token has a loss in bits under either; a document's score is the mean of the
-differences, target less background: the lower, the more it is like the target.
-
-Scale. Counts cover every token of every document. Tasks send sums: word counts by hash for the vocabulary, and packed
-counts of word pairs dealt by first word, never tokens. The two tables of a model are VOCABULARY squared floats
-(16 MB each, whatever the data), which is what the driver gathers and broadcasts; scoring is
-one pass without an exchange.
+documents. Both are bigram models of the same form over one vocabulary, which is every word of the
+corpus, and both are counted on all tokens. Background counts are scaled to the size of the target, then
+both are smoothed alike: a word's own frequency by ``BASE`` parts of its frequency in the corpus, a pair's by
+``PRIOR`` tokens of the word's own frequency (what a context lacks to 1 is the end of the text).
+Each token has a loss in bits under either; a document's score is the mean of the differences, target less
+background: the lower, the more it is like the target. No document is scored by what it has itself
+counted: its own counts are taken from both models first.
+
+Scale. Texts are dealt into slices of about ``SLICE`` bytes. A slice sends each of its distinct words and pairs once,
+with its counts, to blocks of the hash range, packed; a block adds up and answers each slice in the order it
+asked; the slice, met again with its texts, scores them. What is gathered grows with the
+corpus, as many blocks as slices, and nothing but a number of bytes reaches the driver. A very
+frequent word or pair is one entry of each slice. Rows that repeat an id and text are spread by the partition they are
+read in. The more slices, the smaller the cells they send; at worst a cell is one entry.
 
 Edge cases. Words are runs of [^\\x20\\x09-\\x0D], with A-Z lowered. A null or empty text has 0 tokens
-and null losses and score. Without any target document its model is uniform. Labels that
-repeat an id count once; null ids and labels are no target. Ties in frequency go by hash. Repeated rows are counted and
+and null losses and score. Without any target token both models are the corpus' frequencies and
+every score is 0. Labels that repeat an id count once; null ids and labels are no target. Repeated rows are counted and
 scored each. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textbytes as tb
 
-WORDS, CLASSES = 1535, 512
-VOCABULARY = 1 + WORDS + CLASSES
-BITS, PRIOR, BLOCKS = 11, 100.0, 64
+PRIOR, BASE, SLICE = 100.0, 0.1, 16 << 20
+CELLS = 256
+BEGIN, TOTAL = np.uint64(1), np.uint64(2)
+PAIR, SINGLE = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,127 +47,161 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tb.span_hash(tb.prefix_hash(data), begin, end), bounds
 
 
-def token_ids(word: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each word in the vocabulary: 1.. in order of known hashes, then the classes; 0 begins a text."""
-    out = 1 + WORDS + (word % np.uint64(CLASSES)).astype(np.int64)
-    if len(known):
-        place = np.minimum(np.searchsorted(known, word), len(known) - 1)
-        out = np.where(known[place] == word, 1 + place, out)
-    return out
+def entries(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all pairs, then of all words, then of the beginnings of texts; and the first word of each text that has one."""
+    first = bounds[:-1][bounds[:-1] < bounds[1:]]
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[first] = BEGIN
+    return np.concatenate([tb.mix(before * PAIR + word), tb.mix(word ^ SINGLE), np.full(len(first), tb.mix(np.array([BEGIN ^ SINGLE]))[0])]), first
 
 
-def pairs(word: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Code of each word and the word before it."""
-    ids = token_ids(word, known)
-    before = np.zeros(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[bounds[:-1][bounds[:-1] < bounds[1:]]] = 0
-    return before << BITS | ids
+def added(code: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct codes in order, with each of the counts added up."""
+    every, where = np.unique(code, return_inverse=True)
+    return every, *(np.bincount(where, n, len(every)).astype(np.int64) for n in counts)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        some = [np.unique(word_hashes(data, at)[0], return_counts=True) for _, _, data, at in tb.chunks(batch.column(0))]
-        if some:
-            every, where = np.unique(np.concatenate([w for w, _ in some]), return_inverse=True)
-            count = np.bincount(where, np.concatenate([c for _, c in some]), len(every)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count)], names=["word", "n"])
-
-
-def _pair_counts(known: np.ndarray):
-    """Packed counts (code, in all, in target), a row for each block of first words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            target = np.asarray(batch.column(1).fill_null(False))
-            codes, marks = [], []
-            for lo, hi, data, at in tb.chunks(batch.column(0)):
-                word, bounds = word_hashes(data, at)
-                codes.append(pairs(word, bounds, known))
-                marks.append(np.repeat(target[lo:hi], np.diff(bounds)))
-            code, mark = np.concatenate(codes or [np.zeros(0, np.int64)]), np.concatenate(marks or [np.zeros(0, bool)])
-            every, where = np.unique(code, return_inverse=True)
-            packed = np.empty(len(every), [("code", "<u4"), ("all", "<u4"), ("target", "<u4")])
-            packed["code"], packed["all"] = every, np.bincount(where, minlength=len(every))
-            packed["target"] = np.bincount(where[mark], minlength=len(every))
-            cut = np.searchsorted(every, np.arange(BLOCKS + 1) * (VOCABULARY // BLOCKS) << BITS)
-            rows = [b for b in range(BLOCKS) if cut[b] < cut[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int32()), pa.array([packed[cut[b] : cut[b + 1]].tobytes() for b in rows], pa.binary())], names=["block", "counts"]
-            )
+def slice_counts(text: pa.Array, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct codes of some texts, how often they occur, and how often in texts of the target; TOTAL's are the tokens."""
+    parts = [(np.array([TOTAL]), np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    for lo, hi, data, at in tb.chunks(text):
+        word, bounds = word_hashes(data, at)
+        code, first = entries(word, bounds)
+        mark = np.repeat(target[lo:hi], np.diff(bounds)).astype(np.int64)
+        parts.append((np.array([TOTAL]), np.array([len(word)]), np.array([mark.sum()])))
+        parts.append(added(code, np.ones(len(code)), np.concatenate([mark, mark, mark[first]])))
+    return added(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second bytes and so on, so that bytes that are mostly 0 lie together."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes | memoryview, kind: str) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
+def _cells(blocks: int):
+    """A slice's counts, a row for each block of the hash range: steps from code to code, counts, target counts."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [slice_counts(b.column("text"), np.asarray(b.column("target"))) for b in batches]
+        every, n, t = added(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        block = ((every >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(block, prepend=-1, append=blocks))
+        for some in range(0, len(cut) - 1, CELLS):
+            spans = list(zip(cut[some : some + CELLS], cut[some + 1 : some + CELLS + 1]))
+            cells = [planes(np.diff(every[i:j], prepend=np.uint64(0))) + planes(n[i:j].astype("<u4")) + planes(t[i:j].astype("<u4")) for i, j in spans]
+            arrays = [pa.array([key[0].as_py()] * len(spans), pa.int32()), pa.array([block[i] for i, _ in spans], pa.int32()), pa.array(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["slice", "block", "counts"])
 
     return run
 
 
-def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a block of first words as two dense tables; what is read at a time is one batch."""
-    wide = VOCABULARY // BLOCKS << BITS
-    both = np.zeros((2, wide))
-    first = key[0].as_py() * wide
+def _totals(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers each cell of a block with the corpus' counts of its codes, in their order."""
+    slices, codes, ns, ts = [], [], [], []
     for batch in batches:
+        slices += batch.column("slice").to_pylist()
         for x in batch.column("counts"):
-            got = np.frombuffer(x.as_buffer(), [("code", "<u4"), ("all", "<u4"), ("target", "<u4")])
-            for k, name in enumerate(("all", "target")):
-                both[k, got["code"] - first] += got[name]
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *[pa.array([t.astype("<f4").tobytes()], pa.binary()) for t in both]], names=["block", "all", "target"])
-
-
-class Models:
-    """Vocabulary and the losses in bits of every pair under the target and the background."""
-
-    def __init__(self, known: np.ndarray, every: np.ndarray, target: np.ndarray):
-        self.known = known
-        scale = target.sum() / max(every.sum(), 1.0)
-        self.target, self.background = self.losses(target), self.losses(every * scale if scale else every)
-
-    @staticmethod
-    def losses(count: np.ndarray) -> np.ndarray:
-        count = count.reshape(VOCABULARY, VOCABULARY)
-        single = (count.sum(0, dtype=np.float64) + 1) / (count.sum(dtype=np.float64) + VOCABULARY)
-        out = (count + PRIOR * single).astype(np.float32)
-        out /= (count.sum(1, keepdims=True, dtype=np.float64) + PRIOR).astype(np.float32)
-        np.log2(out, out=out)
-        return np.negative(out, out=out).ravel()
-
-
-def fit(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> Models:
-    """Counts over all docs and over those whose id is in good(id)."""
-    words = docs.select(F.col(text_col).alias("text")).mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(WORDS).collect()  # at most WORDS rows
-    known = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    ids = good.select(F.col("id").cast("long").alias("good_id")).where("good_id is not null").distinct().withColumn("target", F.lit(True))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # Dealt by id at every size: labels grow with the corpus, so a broadcast would only suit small ones.
-    marked = own.join(ids.hint("merge"), F.col("id") == F.col("good_id"), "left").select("text", "target")
-    blocks = marked.mapInArrow(_pair_counts(known), "block int, counts binary").groupBy("block").applyInArrow(_summed, "block int, all binary, target binary")
-    every, target = (np.zeros(VOCABULARY * VOCABULARY, np.float32) for _ in range(2))
-    wide = VOCABULARY // BLOCKS << BITS
-    for r in blocks.collect():  # two tables of VOCABULARY squared floats in all
-        every[r["block"] * wide : (r["block"] + 1) * wide] = np.frombuffer(r["all"], "<f4")
-        target[r["block"] * wide : (r["block"] + 1) * wide] = np.frombuffer(r["target"], "<f4")
-    return Models(known, every, target)
+            data = memoryview(x.as_buffer())
+            m = len(data) // 16
+            codes.append(np.cumsum(from_planes(data[: 8 * m], "<u8"), dtype=np.uint64))
+            ns.append(from_planes(data[8 * m : 12 * m], "<u4"))
+            ts.append(from_planes(data[12 * m :], "<u4"))
+    cut = np.cumsum([0, *map(len, codes)])
+    _, where = np.unique(np.concatenate(codes), return_inverse=True)
+    n, t = (np.bincount(where, np.concatenate(x)).astype("<u8") for x in (ns, ts))
+    for some in range(0, len(slices), CELLS):
+        rows = range(some, min(some + CELLS, len(slices)))
+        answers = [planes(n[where[cut[r] : cut[r + 1]]]) + planes(t[where[cut[r] : cut[r + 1]]]) for r in rows]
+        arrays = [pa.array([slices[r] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(answers, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["slice", "block", "totals"])
+
+
+def losses(pair: np.ndarray, single: np.ndarray, context: np.ndarray, share: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bits of tokens under a model: counts of the pair, the word and the context, the word's share of the corpus, the model's tokens."""
+    own = np.where(size > 0, (single + BASE * size * share) / np.maximum(size * (1 + BASE), 1e-300), share)
+    return -np.log2((pair + PRIOR * own) / (context + PRIOR))
+
+
+def token_losses(word: np.ndarray, bounds: np.ndarray, target: np.ndarray, every: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Losses of each word of some texts under both models, less what its own text has counted."""
+    code, first = entries(word, bounds)
+    length, k = np.diff(bounds), len(word)
+    text = np.repeat(np.arange(len(length)), length)
+    seen, where = np.unique(code, return_inverse=True)
+    of = np.concatenate([text, text, text[first]])
+    _, again, times = np.unique(of * len(seen) + where, return_inverse=True, return_counts=True)
+    own = times[again]
+    place = np.searchsorted(every, seen)[where]
+    total = np.searchsorted(every, TOTAL)
+    both, good = (n[place] - own).astype(np.float64), (t[place] - own * target[of]).astype(np.float64)
+    # The context of a word is the word before it, or the beginning of the text.
+    context = k + np.arange(k) - 1
+    context[first] = 2 * k + np.arange(len(first))
+    size = (t[total] - length * target)[text].astype(np.float64)
+    scale = size / np.maximum((n[total] - length)[text], 1)
+    share = n[place[k : 2 * k]] / n[total]
+    return (
+        losses(good[:k], good[k : 2 * k], good[context], share, size),
+        losses(both[:k] * scale, both[k : 2 * k] * scale, both[context] * scale, share, size),
+    )
+
+
+def _scores(id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = ["id", "n_tokens", "target_loss", "background_loss", "score"]
+    kinds = pa.schema(list(zip(names, [id_type, pa.int64(), *[pa.float64()] * 3])))
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(texts):
+            return kinds.empty_table()
+        target = np.asarray(texts.column("target").combine_chunks()).astype(np.int64)
+        every = slice_counts(texts.column("text"), target)[0]
+        n, t = [], []
+        for x in answers.sort_by("block").column("totals"):
+            both = memoryview(x.as_buffer())
+            half = len(both) // 2
+            n.append(from_planes(both[:half], "<u8").view(np.int64))
+            t.append(from_planes(both[half:], "<u8").view(np.int64))
+        n, t = np.concatenate(n), np.concatenate(t)
+        columns = [[], [], []]
+        for lo, hi, data, at in tb.chunks(texts.column("text")):
+            word, bounds = word_hashes(data, at)
+            length = np.diff(bounds)
+            some = length > 0
+            means = np.zeros((2, hi - lo))
+            if some.any():
+                for mean, bits in zip(means, token_losses(word, bounds, target[lo:hi], every, n, t), strict=True):
+                    mean[some] = np.add.reduceat(bits, bounds[:-1][some]) / length[some]
+            columns[0].append(length)
+            columns[1].append(means)
+            columns[2].append(~some)
+        length, none = np.concatenate(columns[0]), np.concatenate(columns[2])
+        good, back = np.concatenate(columns[1], axis=1)
+        values = [pa.array(length, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (good, back, good - back))]
+        return pa.table([texts.column("id"), *values], names=names).cast(kinds)
+
+    return run
 
 
 def score(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) for each row of docs; good(id) are the target's ids."""
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, good, id_col, text_col))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = models.value
-        for batch in batches:
-            for lo, hi, data, at in tb.chunks(batch.column(1)):
-                word, bounds = word_hashes(data, at)
-                code, n = pairs(word, bounds, m.known), np.diff(bounds)
-                some = n > 0
-                out = []
-                for table in (m.target, m.background):
-                    mean = np.zeros(hi - lo)
-                    if some.any():
-                        mean[some] = np.add.reduceat(table[code].astype(np.float64), bounds[:-1][some]) / n[some]
-                    out.append(mean)
-                columns = [pa.array(x, pa.float64(), mask=~some) for x in (*out, out[0] - out[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *columns], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64), F.lit(0))).first()[0]
+    slices = int(-(-size // SLICE)) or 1
+    ids = good.select(F.col("id").cast("long").alias("good_id")).where("good_id is not null").distinct().withColumn("mark", F.lit(True))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
+    # Dealt by id at every size: labels grow with the corpus, so a broadcast would only suit small ones.
+    marked = own.join(ids.hint("merge"), F.col("id").cast("long") == F.col("good_id"), "left")
+    slot = F.pmod(F.xxhash64("id", "text", "part"), F.lit(slices)).cast("int")
+    dealt = marked.select("id", "text", F.coalesce("mark", F.lit(False)).alias("target"), slot.alias("slice"))
+    cells = dealt.groupBy("slice").applyInArrow(_cells(slices), "slice int, block int, counts binary")
+    answers = cells.groupBy("block").applyInArrow(_totals, "slice int, block int, totals binary")
+    field = docs.schema[id_col]
+    scored = dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
+        _scores(to_arrow_type(field.dataType)), f"id {field.dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double"
+    )
+    return scored.withColumnRenamed("id", id_col)

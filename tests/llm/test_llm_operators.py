@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 
@@ -76,36 +77,57 @@ def test_words_and_hashes():
 # 1. Language-model scoring.
 
 
-def test_lm_scores_against_brute_force(spark, docs):
+def test_lm_scores_against_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SLICE", 4000)  # many slices and blocks
     good = spark.createDataFrame([(i,) for i in range(20, 40)] + [(21,), (None,)], "id long")
-    got = collected(lm_scoring.score(docs, good).where("doc_id is not null"))
-    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect()]
-
-    def key(word):
-        return lm_scoring.word_hashes(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0]
-
-    count = collections.Counter(w for _, t in rows for w in t)
-    hashes = {w: int(key(w)[0]) for w in count}
-    signed = {w: int(np.array([h], np.uint64).view(np.int64)[0]) for w, h in hashes.items()}
-    top = sorted(count, key=lambda w: (-count[w], signed[w]))[: lm_scoring.WORDS]
-    place = {w: i + 1 for i, w in enumerate(sorted(top, key=hashes.get))}
-    every, target = np.zeros((2, lm_scoring.VOCABULARY, lm_scoring.VOCABULARY))
-    runs = [(i, [0, *[place.get(w, 1 + lm_scoring.WORDS + hashes[w] % lm_scoring.CLASSES) for w in t]]) for i, t in rows]
-    for i, ids in runs:
-        for a, b in itertools.pairwise(ids):
-            every[a, b] += 1
-            target[a, b] += i is not None and 20 <= i < 40
-    t = lm_scoring.Models.losses(target).reshape(every.shape)
-    b = lm_scoring.Models.losses(every * target.sum() / every.sum()).reshape(every.shape)
-    for i, ids in runs:
+    out = lm_scoring.score(docs, good).collect()
+    rows = [(r.doc_id, [None, *re.findall(WORD.encode(), (r.text or "").encode().lower())]) for r in docs.select("doc_id", "text").collect()]
+    assert len(out) == len(rows)
+    got = {r.doc_id: r for r in out if r.doc_id is not None}
+
+    def counts(runs):
+        pair, single = collections.Counter(), collections.Counter()
+        for t in runs:
+            pair.update(itertools.pairwise(t))
+            single.update(t if len(t) > 1 else [])
+        return pair, single, sum(len(t) - 1 for t in runs)
+
+    def marked(i):
+        return i is not None and 20 <= i < 40
+
+    every, target = counts([t for _, t in rows]), counts([t for i, t in rows if marked(i)])
+    for i, t in rows:
         if i is None:
             continue
-        assert got[i].n_tokens == len(ids) - 1
-        if len(ids) > 1:
-            assert got[i].score == pytest.approx(np.mean([t[x, y] - b[x, y] for x, y in itertools.pairwise(ids)]), abs=1e-4)
-        else:
-            assert got[i].score is None
+        assert got[i].n_tokens == len(t) - 1
+        if len(t) == 1:
+            assert got[i].score is None and got[i].target_loss is None
+            continue
+        mine = counts([t])
+        size = target[2] - mine[2] * marked(i)
+        scale = size / (every[2] - mine[2])
+        want = []
+        for of, by, own in ((target, 1, marked(i)), (every, scale, True)):
+            bits = []
+            for x, y in itertools.pairwise(t):
+                c = [by * (of[k][w] - own * mine[k][w]) for k, w in ((0, (x, y)), (1, y), (1, x))]
+                word = (c[1] + lm_scoring.BASE * size * every[1][y] / every[2]) / (size * (1 + lm_scoring.BASE))
+                bits.append(-math.log2((c[0] + lm_scoring.PRIOR * word) / (c[2] + lm_scoring.PRIOR)))
+            want.append(np.mean(bits))
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(tuple(want), abs=1e-9)
+        assert got[i].score == pytest.approx(want[0] - want[1], abs=1e-9)
     assert lm_scoring.score(docs.limit(0), good).count() == 0
+    assert {r.score for r in lm_scoring.score(docs, good.limit(0)).collect()} <= {None, 0.0}
+
+
+def test_lm_scores_tell_rare_words_apart(spark):
+    """Words outside any list of frequent ones count: a text seen twice differs from one seen once."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(60))) for i in range(80)]
+    rows += [(100 + i, " ".join(f"x{i // 2}y{k} w{k}" for k in range(30))) for i in range(2)]
+    rows += [(200 + i, " ".join(f"z{i}y{k} w{k}" for k in range(30))) for i in range(2)]
+    got = collected(lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.range(40)))
+    assert min(got[i].score for i in (100, 101)) > max(got[i].score for i in (200, 201)) + 0.5
 
 
 # 2. Near-duplicates.
