@@ -13,7 +13,8 @@ Scale. Texts are dealt into slices of about ``SLICE`` bytes. A slice sends each
 with its counts, to blocks of the hash range, packed; a block adds up and answers each slice in the order it
 asked; the slice, met again with its texts, scores them. What is gathered grows with the
 corpus, as many blocks as slices, and nothing but a number of bytes reaches the driver. A very
-frequent word or pair is one entry of each slice. Rows that repeat an id and text are spread by the partition they are
+frequent word or pair is one entry of each slice. Codes have ``SPARE`` bits more than the corpus' bytes can be
+counted with (64 at most), so that at any size fewer than one in 2 ** ``SPARE`` meets another. Rows that repeat an id and text are spread by the partition they are
 read in. The more slices, the smaller the cells they send; at worst a cell is one entry.
 
 Edge cases. Words are runs of [^\\x20\\x09-\\x0D], with A-Z lowered. A null or empty text has 0 tokens
@@ -34,8 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textbytes as tb
 
-PRIOR, BASE, SLICE = 100.0, 0.1, 16 << 20
-CELLS = 256
+PRIOR, BASE, SLICE = 100.0, 0.1, 8 << 20
+CELLS, SPARE = 256, 17
 BEGIN, TOTAL = np.uint64(1), np.uint64(2)
 PAIR, SINGLE = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 
@@ -47,13 +48,14 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tb.span_hash(tb.prefix_hash(data), begin, end), bounds
 
 
-def entries(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def entries(word: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all pairs, then of all words, then of the beginnings of texts; and the first word of each text that has one."""
     first = bounds[:-1][bounds[:-1] < bounds[1:]]
     before = np.empty_like(word)
     before[1:] = word[:-1]
     before[first] = BEGIN
-    return np.concatenate([tb.mix(before * PAIR + word), tb.mix(word ^ SINGLE), np.full(len(first), tb.mix(np.array([BEGIN ^ SINGLE]))[0])]), first
+    code = np.concatenate([before * PAIR + word, word ^ SINGLE, np.full(len(first), BEGIN ^ SINGLE)])
+    return tb.mix(code) >> np.uint64(64 - bits), first
 
 
 def added(code: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -62,12 +64,12 @@ def added(code: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return every, *(np.bincount(where, n, len(every)).astype(np.int64) for n in counts)
 
 
-def slice_counts(text: pa.Array, target: np.ndarray) -> tuple[np.ndarray, ...]:
+def slice_counts(text: pa.Array, target: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
     """Distinct codes of some texts, how often they occur, and how often in texts of the target; TOTAL's are the tokens."""
     parts = [(np.array([TOTAL]), np.zeros(1, np.int64), np.zeros(1, np.int64))]
     for lo, hi, data, at in tb.chunks(text):
         word, bounds = word_hashes(data, at)
-        code, first = entries(word, bounds)
+        code, first = entries(word, bounds, bits)
         mark = np.repeat(target[lo:hi], np.diff(bounds)).astype(np.int64)
         parts.append((np.array([TOTAL]), np.array([len(word)]), np.array([mark.sum()])))
         parts.append(added(code, np.ones(len(code)), np.concatenate([mark, mark, mark[first]])))
@@ -84,13 +86,13 @@ def from_planes(data: bytes | memoryview, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
 
 
-def _cells(blocks: int):
+def _cells(blocks: int, bits: int):
     """A slice's counts, a row for each block of the hash range: steps from code to code, counts, target counts."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [slice_counts(b.column("text"), np.asarray(b.column("target"))) for b in batches]
+        parts = [slice_counts(b.column("text"), np.asarray(b.column("target")), bits) for b in batches]
         every, n, t = added(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-        block = ((every >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        block = ((every >> np.uint64(bits - 32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.diff(block, prepend=-1, append=blocks))
         for some in range(0, len(cut) - 1, CELLS):
             spans = list(zip(cut[some : some + CELLS], cut[some + 1 : some + CELLS + 1]))
@@ -128,9 +130,9 @@ def losses(pair: np.ndarray, single: np.ndarray, context: np.ndarray, share: np.
     return -np.log2((pair + PRIOR * own) / (context + PRIOR))
 
 
-def token_losses(word: np.ndarray, bounds: np.ndarray, target: np.ndarray, every: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_losses(word: np.ndarray, bounds: np.ndarray, target: np.ndarray, bits: int, every: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Losses of each word of some texts under both models, less what its own text has counted."""
-    code, first = entries(word, bounds)
+    code, first = entries(word, bounds, bits)
     length, k = np.diff(bounds), len(word)
     text = np.repeat(np.arange(len(length)), length)
     seen, where = np.unique(code, return_inverse=True)
@@ -152,7 +154,7 @@ def token_losses(word: np.ndarray, bounds: np.ndarray, target: np.ndarray, every
     )
 
 
-def _scores(id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scores(id_type: pa.DataType, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     names = ["id", "n_tokens", "target_loss", "background_loss", "score"]
     kinds = pa.schema(list(zip(names, [id_type, pa.int64(), *[pa.float64()] * 3])))
 
@@ -160,7 +162,7 @@ def _scores(id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not len(texts):
             return kinds.empty_table()
         target = np.asarray(texts.column("target").combine_chunks()).astype(np.int64)
-        every = slice_counts(texts.column("text"), target)[0]
+        every = slice_counts(texts.column("text"), target, bits)[0]
         n, t = [], []
         for x in answers.sort_by("block").column("totals"):
             both = memoryview(x.as_buffer())
@@ -175,8 +177,8 @@ def _scores(id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
             some = length > 0
             means = np.zeros((2, hi - lo))
             if some.any():
-                for mean, bits in zip(means, token_losses(word, bounds, target[lo:hi], every, n, t), strict=True):
-                    mean[some] = np.add.reduceat(bits, bounds[:-1][some]) / length[some]
+                for mean, loss in zip(means, token_losses(word, bounds, target[lo:hi], bits, every, n, t), strict=True):
+                    mean[some] = np.add.reduceat(loss, bounds[:-1][some]) / length[some]
             columns[0].append(length)
             columns[1].append(means)
             columns[2].append(~some)
@@ -192,16 +194,17 @@ def score(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: st
     """(id, n_tokens, target_loss, background_loss, score) for each row of docs; good(id) are the target's ids."""
     size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64), F.lit(0))).first()[0]
     slices = int(-(-size // SLICE)) or 1
+    bits = min(64, max(40, SPARE + int(size).bit_length()))
     ids = good.select(F.col("id").cast("long").alias("good_id")).where("good_id is not null").distinct().withColumn("mark", F.lit(True))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
     # Dealt by id at every size: labels grow with the corpus, so a broadcast would only suit small ones.
     marked = own.join(ids.hint("merge"), F.col("id").cast("long") == F.col("good_id"), "left")
     slot = F.pmod(F.xxhash64("id", "text", "part"), F.lit(slices)).cast("int")
     dealt = marked.select("id", "text", F.coalesce("mark", F.lit(False)).alias("target"), slot.alias("slice"))
-    cells = dealt.groupBy("slice").applyInArrow(_cells(slices), "slice int, block int, counts binary")
+    cells = dealt.groupBy("slice").applyInArrow(_cells(slices, bits), "slice int, block int, counts binary")
     answers = cells.groupBy("block").applyInArrow(_totals, "slice int, block int, totals binary")
     field = docs.schema[id_col]
     scored = dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
-        _scores(to_arrow_type(field.dataType)), f"id {field.dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double"
+        _scores(to_arrow_type(field.dataType), bits), f"id {field.dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double"
     )
     return scored.withColumnRenamed("id", id_col)
