@@ -76,14 +76,18 @@ def slice_counts(text: pa.Array, target: np.ndarray, bits: int) -> tuple[np.ndar
     return added(*(np.concatenate(p) for p in zip(*parts, strict=True)))
 
 
-def planes(values: np.ndarray) -> bytes:
-    """First bytes of all values, then second bytes and so on, so that bytes that are mostly 0 lie together."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+def packed(*arrays: np.ndarray) -> bytes:
+    """Their length, then of each array the first bytes of all values, then the second bytes and so on, compressed: most are 0 or 1."""
+    planes = b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays)
+    return len(arrays[0]).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def from_planes(data: bytes | memoryview, kind: str) -> np.ndarray:
-    wide = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+def unpacked(data: memoryview, *kinds: str) -> list[np.ndarray]:
+    """The arrays of packed(), whose types are kinds."""
+    m, wide = int.from_bytes(data[:8], "little"), [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.decompress(data[8:], m * sum(wide), codec="zstd"), np.uint8).reshape(-1, m)
+    cut = np.cumsum([0, *wide])
+    return [np.ascontiguousarray(planes[i:j].T).view(k).ravel() for i, j, k in zip(cut, cut[1:], kinds)]
 
 
 def _cells(blocks: int, bits: int):
@@ -96,7 +100,7 @@ def _cells(blocks: int, bits: int):
         cut = np.flatnonzero(np.diff(block, prepend=-1, append=blocks))
         for some in range(0, len(cut) - 1, CELLS):
             spans = list(zip(cut[some : some + CELLS], cut[some + 1 : some + CELLS + 1]))
-            cells = [planes(np.diff(every[i:j], prepend=np.uint64(0))) + planes(n[i:j].astype("<u4")) + planes(t[i:j].astype("<u4")) for i, j in spans]
+            cells = [packed(np.diff(every[i:j], prepend=np.uint64(0)), n[i:j].astype("<u4"), t[i:j].astype("<u4")) for i, j in spans]
             arrays = [pa.array([key[0].as_py()] * len(spans), pa.int32()), pa.array([block[i] for i, _ in spans], pa.int32()), pa.array(cells, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["slice", "block", "counts"])
 
@@ -109,17 +113,16 @@ def _totals(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in batches:
         slices += batch.column("slice").to_pylist()
         for x in batch.column("counts"):
-            data = memoryview(x.as_buffer())
-            m = len(data) // 16
-            codes.append(np.cumsum(from_planes(data[: 8 * m], "<u8"), dtype=np.uint64))
-            ns.append(from_planes(data[8 * m : 12 * m], "<u4"))
-            ts.append(from_planes(data[12 * m :], "<u4"))
+            step, own, marked = unpacked(memoryview(x.as_buffer()), "<u8", "<u4", "<u4")
+            codes.append(np.cumsum(step, dtype=np.uint64))
+            ns.append(own)
+            ts.append(marked)
     cut = np.cumsum([0, *map(len, codes)])
     _, where = np.unique(np.concatenate(codes), return_inverse=True)
     n, t = (np.bincount(where, np.concatenate(x)).astype("<u8") for x in (ns, ts))
     for some in range(0, len(slices), CELLS):
         rows = range(some, min(some + CELLS, len(slices)))
-        answers = [planes(n[where[cut[r] : cut[r + 1]]]) + planes(t[where[cut[r] : cut[r + 1]]]) for r in rows]
+        answers = [packed(n[where[cut[r] : cut[r + 1]]], t[where[cut[r] : cut[r + 1]]]) for r in rows]
         arrays = [pa.array([slices[r] for r in rows], pa.int32()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(answers, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=["slice", "block", "totals"])
 
@@ -165,10 +168,9 @@ def _scores(id_type: pa.DataType, bits: int) -> Callable[[pa.Table, pa.Table], p
         every = slice_counts(texts.column("text"), target, bits)[0]
         n, t = [], []
         for x in answers.sort_by("block").column("totals"):
-            both = memoryview(x.as_buffer())
-            half = len(both) // 2
-            n.append(from_planes(both[:half], "<u8").view(np.int64))
-            t.append(from_planes(both[half:], "<u8").view(np.int64))
+            every_n, target_n = unpacked(memoryview(x.as_buffer()), "<i8", "<i8")
+            n.append(every_n)
+            t.append(target_n)
         n, t = np.concatenate(n), np.concatenate(t)
         columns = [[], [], []]
         for lo, hi, data, at in tb.chunks(texts.column("text")):
