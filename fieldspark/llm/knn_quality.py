@@ -1,9 +1,9 @@
 """Quality of documents by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Method. A text is a bag of terms, hashed into ``DIMS`` places: its words, all three-character
-strings of character classes (which show shouting, tables and strewn symbols), and a few terms for how
-often words, lines and windows of words repeat. Terms are weighted by their document frequency over all
-documents, and a truncated singular value decomposition of a bounded sample of labelled
+Method. A text is a bag of terms, hashed into ``DIMS`` places: its words, which have two thirds of the places and more
+than half of a vector's squared length, all three-character strings of character classes (which show shouting,
+tables and strewn symbols), and a few terms for how often words and lines repeat. Terms are weighted by
+their document frequency over all documents, and a truncated singular value decomposition of a bounded sample of labelled
 rows (``max_labelled``, the rows of least hash) gives the latent space. The labelled vectors of that sample
 are broadcast (``max_labelled * RANK`` floats at most); every document takes exact cosine
 products with all of them, block by block, and its score is the mean label of
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .shared import unused
 
-CLASS_DIMS, WORD_DIMS, STAT_DIMS = 1024, 896, 128
-DIMS, RANK, NEAREST, MAX_LABELLED, GOOD = CLASS_DIMS + WORD_DIMS + STAT_DIMS, 48, 25, 4000, 0.3
+CLASS_DIMS, WORD_DIMS, STAT_DIMS, WORD_WEIGHT, ROWS = 1024, 2304, 128, 1.5, 512
+DIMS, RANK, NEAREST, MAX_LABELLED, GOOD = CLASS_DIMS + WORD_DIMS + STAT_DIMS, 96, 25, 4000, 0.3
 
 _CLASS = np.full(256, 1, np.uint64)  # letters beyond ASCII count as lower case
 _CLASS[:128] = np.arange(128)
@@ -99,10 +99,17 @@ def term_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def counted(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, row after the last, counts) for runs of texts, bounded in bytes and in rows, as counts are dense."""
+    for first in range(0, len(texts), ROWS):
+        for lo, hi, data, at in tb.chunks(texts.slice(first, ROWS)):
+            yield first + lo, first + hi, term_counts(data, at)
+
+
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit blocks of words and of character classes, and the shares beside them."""
     x = np.log1p(counts) * idf
-    for lo, hi, weight in ((0, CLASS_DIMS, 1.0), (CLASS_DIMS, CLASS_DIMS + WORD_DIMS, 0.3)):
+    for lo, hi, weight in ((0, CLASS_DIMS, 1.0), (CLASS_DIMS, CLASS_DIMS + WORD_DIMS, WORD_WEIGHT)):
         norm = np.sqrt((x[:, lo:hi] ** 2).sum(1, keepdims=True))
         x[:, lo:hi] *= weight / np.maximum(norm, 1e-9)
     x[:, CLASS_DIMS + WORD_DIMS :] = (counts[:, CLASS_DIMS + WORD_DIMS :] > 0) * np.float32(0.35)
@@ -116,21 +123,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, n = np.zeros(DIMS, np.int64), 0
     for batch in batches:
-        for lo, hi, data, at in tb.chunks(batch.column(0)):
-            seen += (term_counts(data, at) > 0).sum(0)
+        for lo, hi, counts in counted(batch.column(0)):
+            seen += (counts > 0).sum(0)
             n += hi - lo
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1, dtype=np.int32)), pa.array(np.r_[seen, n])], names=["dim", "n"])
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [r for _, _, data, at in tb.chunks(batch.column(1)) for r in term_counts(data, at)]
-        dims = [np.flatnonzero(r) for r in rows]
+        some = [(np.flatnonzero(r), r[r > 0]) for _, _, counts in counted(batch.column(1)) for r in counts]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array([d.astype("<u2").tobytes() for d in dims], pa.binary()),
-                pa.array([r[d].astype("<f4").tobytes() for r, d in zip(rows, dims, strict=True)], pa.binary()),
+                pa.array([d.astype("<u2").tobytes() for d, _ in some], pa.binary()),
+                pa.array([n.astype("<f4").tobytes() for _, n in some], pa.binary()),
             ],
             names=["label", "dims", "counts"],
         )
@@ -200,8 +206,8 @@ def scores(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in tb.chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.value.score(term_counts(data, at)))], names=["id", "score"])
+            for lo, hi, counts in counted(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.value.score(counts))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
@@ -221,7 +227,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
-            good = [model.value.score(term_counts(data, at)) >= GOOD for _, _, data, at in tb.chunks(text)]
+            good = [model.value.score(counts) >= GOOD for _, _, counts in counted(text)]
             mask = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 

@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -519,6 +520,17 @@ def test_quality_of_odd_rows(spark, docs):
     assert knn_quality.scores(docs.limit(0), labels).count() == 0
 
 
+def test_words_hold_most_of_a_vector_and_rows_are_bounded():
+    texts = [None, "", *(f"the {w} of that house was old and its garden was {w}" for w in ("colour", "price", "history"))] * 300
+    blocks = list(knn_quality.counted(pa.array(texts, pa.string())))
+    assert [b[:2] for b in blocks] == [(0, 512), (512, 1024), (1024, 1500)]
+    counts = np.concatenate([b[2] for b in blocks])
+    assert counts.shape == (1500, knn_quality.DIMS) and (counts[2:5] == counts[-3:]).all() and not counts[:2].any()
+    x = knn_quality._weighted(counts[2:5], np.ones(knn_quality.DIMS, np.float32)) ** 2
+    words = slice(knn_quality.CLASS_DIMS, knn_quality.CLASS_DIMS + knn_quality.WORD_DIMS)
+    assert (x[:, words].sum(1) > x.sum(1) / 2).all()
+
+
 def test_exact_neighbours():
     rng = np.random.default_rng(1)
     model = knn_quality.Model(np.ones(knn_quality.DIMS, np.float32), rng.normal(size=(knn_quality.DIMS, 8)).astype(np.float32), knn_quality._unit(rng.normal(size=(50, 8))).astype(np.float32), rng.integers(0, 2, 50).astype(float), 5)
