@@ -11,10 +11,11 @@ stable distribution of the order by symbol (its LF mapping) is the next order, a
 neighbours still share a common prefix of the round's depth if symbol and earlier prefix are both
 shared. After the last round neighbours that share a prefix of full depth are equal
 windows, and the least id among them decides. All windows end in the last round, so
-the transform needs no merge of suffixes of different lengths. What stands of the method and what does not: columns are one
-external file of the task, read a column a round, and each round's segment takes its column's place; order and prefixes are arrays in
-memory, as a task holds one bucket of pieces only; a segment is not read again, as the next order follows from the symbols at
-hand. Which windows meet in a task is settled by minimizers, before the method begins.
+the transform needs no merge of suffixes of different lengths. What stands of the method and what does not: columns with their
+segments, orders and common prefixes are files of the task, which each round passes through in sequence and in blocks: one pass
+writes the segment, the next reads it and lays order and prefixes of the next round down, symbol by symbol. In
+memory are one column (a byte a window) and, at the end, the last order. The prefix is kept as the number of the class
+that shares the round's full depth, not as a length. Which windows meet in a task is settled by minimizers, before the method begins.
 
 Spark deals the work out and keeps it small. Consecutive windows with one minimizer (the least hash
 of their 24-byte strings) are one piece. (1) Minimizers are exchanged in packed blocks
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .shared import unused
 
-LENGTH, GRAM, LONGEST_PIECE, COMMON = 50, 24, 64, 4096
+LENGTH, GRAM, LONGEST_PIECE, COMMON, BLOCK = 50, 24, 64, 4096, 1 << 20
 RUN = np.dtype([("n", "u1"), ("doc", "<i8")])
 
 
@@ -228,7 +229,7 @@ def _distinct_pieces(parts: int):
     return run
 
 
-def equal_windows(data: np.ndarray, start: np.ndarray, length: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+def equal_windows(data: np.ndarray, start: np.ndarray, length: int, folder: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Order and classes of the windows of data that begin at start, by inserting one column a round.
 
     Returns the windows in suffix order, and for each place in that order the number of its
@@ -238,17 +239,36 @@ def equal_windows(data: np.ndarray, start: np.ndarray, length: int, folder: str)
     columns = np.memmap(f"{folder}/columns", np.uint8, "w+", shape=(length, m))
     for j in range(length):
         columns[j] = data[start + j]
-    order, prefix = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
+    # Order and prefixes of this round and of the next, which change places.
+    (order, prefix), (next_order, next_prefix) = ([np.memmap(f"{folder}/{name}{i}", np.int32, "w+", shape=m) for name in ("order", "prefix")] for i in (0, 1))
+    order[:], prefix[:] = np.arange(m), 0
     for j in range(length - 1, -1, -1):
-        symbol = columns[j][order]
-        columns[j] = symbol  # the column is used up: this round's segment of the transform takes its place
-        moved = np.argsort(symbol, kind="stable")  # where each suffix goes when its symbol is in front
-        order, symbol, before = order[moved], symbol[moved], prefix[moved]
-        parted = np.zeros(m, np.int32)
-        parted[1:] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        prefix = np.cumsum(parted, dtype=np.int32)
-    del columns
-    return order, prefix
+        column, segment = np.array(columns[j]), columns[j]
+        for lo in range(0, m, block):  # the column is read: this round's segment of the transform takes its place
+            segment[lo : lo + block] = column[order[lo : lo + block]]
+        count = np.bincount(column, minlength=256)
+        filled = np.cumsum(count) - count  # where the next suffix with each first symbol goes
+        classes, last = filled.copy(), np.full(256, -1)
+        for lo in range(0, m, block):
+            symbol, before = segment[lo : lo + block], prefix[lo : lo + block]
+            moved = np.argsort(symbol, kind="stable")
+            symbol, before = symbol[moved], before[moved]
+            first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+            own, size = symbol[first], np.diff(np.r_[first, len(symbol)])
+            parted = np.ones(len(symbol), np.int32)
+            parted[1:] = before[1:] != before[:-1]
+            parted[first] = before[first] != last[own]
+            run = np.cumsum(parted, dtype=np.int32)
+            shift = np.repeat(classes[own] - 1 - run[first] + parted[first], size)
+            to = np.arange(len(symbol)) + np.repeat(filled[own] - first, size)
+            next_order[to], next_prefix[to] = order[lo : lo + block][moved], run + shift
+            end = first + size - 1
+            classes[own], last[own] = (run + shift)[end] + 1, before[end]
+            filled[own] += size
+        order, prefix, next_order, next_prefix = next_order, next_prefix, order, prefix
+    parted = np.zeros(m, np.int32)
+    parted[1:] = prefix[1:] != prefix[:-1]
+    return np.array(order), np.cumsum(parted, dtype=np.int32)
 
 
 def _least_ids(table: pa.Table) -> pa.Table:

@@ -319,12 +319,13 @@ def test_cut_texts_keeps_columns(docs):
     assert suffix_dedup.cut(docs.limit(0)).count() == 0
 
 
-def test_column_order_equals_sorting(tmp_path):
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_column_order_equals_sorting(tmp_path, block):
     data = np.frombuffer(bytes(random.Random(1).choices(b"ab", k=400)), np.uint8)
     start = np.arange(380)
-    order, prefix = suffix_dedup.equal_windows(data, start, 20, str(tmp_path))
+    order, prefix = suffix_dedup.equal_windows(data, start, 20, str(tmp_path), block)
     rows = [data[s : s + 20].tobytes() for s in order]
-    assert rows == sorted(rows)
+    assert rows == sorted(rows) and sorted(order) == list(range(380))
     assert [a == b for a, b in itertools.pairwise(rows)] == [a == b for a, b in itertools.pairwise(prefix.tolist())]
 
 
