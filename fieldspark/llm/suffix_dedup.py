@@ -247,23 +247,23 @@ def equal_windows(data: np.ndarray, start: np.ndarray, length: int, folder: str,
         for lo in range(0, m, block):  # the column is read: this round's segment of the transform takes its place
             segment[lo : lo + block] = column[order[lo : lo + block]]
         count = np.bincount(column, minlength=256)
-        filled = np.cumsum(count) - count  # where the next suffix with each first symbol goes
-        classes, last = filled.copy(), np.full(256, -1)
+        filled = (np.cumsum(count) - count).astype(np.int32)  # where the next suffix with each first symbol goes
+        classes, last = filled.copy(), np.full(256, -1, np.int32)
         for lo in range(0, m, block):
-            symbol, before = segment[lo : lo + block], prefix[lo : lo + block]
+            symbol, before, those = (np.asarray(x[lo : lo + block]) for x in (segment, prefix, order))
             moved = np.argsort(symbol, kind="stable")
             symbol, before = symbol[moved], before[moved]
-            first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
-            own, size = symbol[first], np.diff(np.r_[first, len(symbol)])
+            first = np.r_[0, np.flatnonzero(symbol[1:] != symbol[:-1]) + 1].astype(np.int32)
+            own, size = symbol[first], np.diff(np.r_[first, len(symbol)]).astype(np.int32)
             parted = np.ones(len(symbol), np.int32)
             parted[1:] = before[1:] != before[:-1]
             parted[first] = before[first] != last[own]
             run = np.cumsum(parted, dtype=np.int32)
-            shift = np.repeat(classes[own] - 1 - run[first] + parted[first], size)
-            to = np.arange(len(symbol)) + np.repeat(filled[own] - first, size)
-            next_order[to], next_prefix[to] = order[lo : lo + block][moved], run + shift
-            end = first + size - 1
-            classes[own], last[own] = (run + shift)[end] + 1, before[end]
+            run += np.repeat(classes[own] - 1 - run[first] + parted[first], size)
+            those, end = those[moved], first + size
+            for to, a, b in zip(filled[own].tolist(), first.tolist(), end.tolist(), strict=True):
+                next_order[to : to + b - a], next_prefix[to : to + b - a] = those[a:b], run[a:b]
+            classes[own], last[own] = run[end - 1] + 1, before[end - 1]
             filled[own] += size
         order, prefix, next_order, next_prefix = next_order, next_prefix, order, prefix
     parted = np.zeros(m, np.int32)
