@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, fair_queue, knn_quality, lm_scoring, mincut_html, minhash_forest, robust_rules, suffix_dedup, syncmers, warc_revisits
+from . import bpe_tree, fair_queue, knn_quality, lm_scoring, mincut_html, minhash_forest, prefix_counts, robust_rules, suffix_dedup, syncmers, warc_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,13 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return prefix_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_minhash_forest": op2_minhash_forest,
@@ -72,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_mincut_html": op9_mincut_html,
     "op10_bpe_tree": op10_bpe_tree,
+    "op13_prefix_counts": op13_prefix_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
