@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, fair_queue, knn_quality, lm_scoring, mincut_html, minhash_forest, prefix_counts, robust_rules, suffix_dedup, syncmers, warc_revisits
+from . import bpe_tree, fair_queue, knn_quality, lm_scoring, mincut_html, minhash_forest, periodic_runs, prefix_counts, robust_rules, suffix_dedup, syncmers, warc_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,11 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
 def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_mincut_html": op9_mincut_html,
     "op10_bpe_tree": op10_bpe_tree,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_prefix_counts": op13_prefix_counts,
 }
 
