@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, fair_queue, knn_quality, lm_scoring, mincut_html, minhash_forest, periodic_runs, prefix_counts, robust_rules, suffix_dedup, syncmers, warc_revisits
+from . import bpe_tree, fair_queue, knn_quality, lexical_search, lm_scoring, mincut_html, minhash_forest, periodic_runs, prefix_counts, robust_rules, suffix_dedup, syncmers, warc_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(docs))
 
 
+def op12_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,10 +89,12 @@ QUERIES: dict[str, Query] = {
     "op9_mincut_html": op9_mincut_html,
     "op10_bpe_tree": op10_bpe_tree,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_max_sketch_search": op12_max_sketch_search,
     "op13_prefix_counts": op13_prefix_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc_revisits": warc_revisits.RESOLVE_SQL,
     "op6_fair_queue": fair_queue.SHARES_SQL,
+    "op12_max_sketch_search": lexical_search.SEARCH_SQL,
 }
