@@ -10,7 +10,7 @@ copies around it is found without listing pairs of a region. Candidates that pas
 on set sizes and a cut on 128 bits of their minima, which travel with the sorted
 rows, are confirmed on the full shingle sets of the texts.
 
-What the forest does not bring together follows exactly, for all sets that share two minima of a tree with another
+What the forest does not bring together (or where its sorted rows are parted) follows exactly, for all sets that share two minima of a tree with another
 (a linked pair does in some tree but for (1 - J^2)^trees: 1e-9 at J = 0.85, 8e-8 at 0.8; with too few trees for that, for
 all sets). The space of shingle hashes is
 parted in ``k = 2 * (h + 1)`` ranges, where two sets over the threshold differ in at most ``h``
@@ -30,7 +30,7 @@ Edge cases. A null or empty text, or one without words, has an empty set and is
 linked with nothing. A text with fewer words than a shingle is one shingle. Equal
 sets (copies, repeated rows) are one class, so copies are never expanded into pairs.
 A null id is returned with a null component and kept = false. Rows that repeat an id are one document; if
-their texts differ, it has the links of the greatest. Extra columns of any
+their texts differ, it has the links of all of them. Extra columns of any
 name are ignored by ``components`` and returned as they are by ``keep_one``. The call runs Spark jobs: its
 intermediate tables are written to the shared folder and deleted before it returns.
 """
@@ -46,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..numbering import row_numbers
 from . import textbytes as tb
 from .shared import Scratch, connected_components, unused, written
 
@@ -54,6 +55,8 @@ TREES, DEPTH, SHORTEST, REACH = 16, 8, 2, 3
 PARITIES = 512
 #: Ids that are broadcast at most; beyond, tables are joined by an exchange.
 FEW = 1 << 20
+#: Rows of the forest that a partition holds at least, if there are so many.
+ROWS = 1 << 13
 #: One document in SAMPLE, and at most USUAL keys of those, only say in which order keys are taken.
 SAMPLE, USUAL = 8, 1 << 19
 _PLACES = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -188,8 +191,7 @@ def _signed(size: int, trees: int, depth: int):
 def _neighbours(reach: int, shortest: int, depth: int, num: int, den: int, unequal: int):
     """Rows (tree, key, id, n, u, v), sorted by tree and key: candidate pairs, and the region of each set that has a dense one.
 
-    A pair is (a, b) with region null, the larger id first; a set of a dense region is (id, null, region, n, u, v), and one
-    that shares the shortest prefix with a row beside it, in a sparse region, is (id, null, null). Only rows of one
+    A pair is (a, b) with region null, the larger id first; a set of a dense region is (id, null, region, n, u, v). Only rows of one
     partition that stand near each other are compared; where a partition ends a region may look sparser than it is.
     """
 
@@ -226,15 +228,12 @@ def _neighbours(reach: int, shortest: int, depth: int, num: int, den: int, unequ
                 a.append(ids[x[near]])
                 b.append(ids[y[near]])
             p, q = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-            beside = same >= shortest
-            beside[:-1] |= same[1:] >= shortest
             own = np.flatnonzero(dense[begin:end]) + begin
-            thin = ids[begin:end][(beside & ~dense)[begin:end]]
             level = deep[own]
             region = tree[own].astype(np.uint64) * np.uint64(64) + level.astype(np.uint64)
             for j in range(depth):
                 region = np.where(j < level, tb.mix(region ^ (key[own, j].astype(np.uint64) << np.uint64(20)) ^ np.uint64(j + 1)), region)
-            kind = np.repeat([0, 1, 2], [len(p), len(own), len(thin)])
+            kind = np.repeat([0, 1], [len(p), len(own)])
 
             def column(values: list, has: np.ndarray) -> pa.Array:
                 full = np.zeros(len(kind), np.int64)
@@ -244,7 +243,7 @@ def _neighbours(reach: int, shortest: int, depth: int, num: int, den: int, unequ
             has = kind == 1
             return pa.RecordBatch.from_arrays(
                 [
-                    column([np.maximum(p, q), ids[own], thin], kind >= 0),
+                    column([np.maximum(p, q), ids[own]], kind >= 0),
                     column([np.minimum(p, q)], kind == 0),
                     *(column([x], has) for x in (region.view(np.int64), n[own], u[own], v[own])),
                 ],
@@ -382,14 +381,49 @@ def components(
     Documents are linked if den * |intersection| >= num * |union| of their sets of
     ``shingle``-word shingles; component_id is the smallest id that links reach.
     """
-    spark = docs.sparkSession
+    out = _grouped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, num, den, trees, depth)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _texts_apart(own: DataFrame, several: DataFrame, scratch: Scratch, how: tuple) -> DataFrame:
+    """(id, n_shingles, component_id) where the ids in several have different texts: each text gets an id of its own, linked with the others of its id."""
+    own = own.withColumn("hash", F.xxhash64("text"))
+    texts = own.join(_small(several), "id", "left_semi").select("id", "hash").distinct()
+    low, high = own.agg(F.min("id"), F.max("id")).first()
+    n = several.count()
+    first = high + 1 if high < 1 << 62 else low - (1 << 40)
+    if n and not -(1 << 63) <= first < (1 << 63) - (1 << 40):
+        raise ValueError("ids take the whole range of 64 bits, so texts that share one get none of their own")
+    texts = scratch.written(row_numbers(texts, ["id", "hash"], "own_id", first=first, scratch=scratch), "texts-of-ids")
+    few = F.broadcast(texts) if texts.count() <= FEW else texts
+    # Rows of these ids meet their own number by id and hash; null texts hash alike.
+    named = own.join(few, ["id", "hash"], "left").select(F.coalesce("own_id", "id").alias("id"), "text")
+    least = texts.groupBy("id").agg(F.min("own_id").alias("b"))
+    same = texts.join(least, "id").select(F.col("own_id").alias("a"), "b").where("a <> b")
+    out = _grouped(named, *how, same=scratch.written(same, "same"))
+    out = out.join(few.select(F.col("own_id").alias("id"), F.col("id").alias("was")), "id", "left")
+    out = out.select(F.coalesce("was", "id").alias("id"), "n_shingles", "component_id")
+    real = scratch.written(out.groupBy("component_id").agg(F.min("id").alias("real")), "real")
+    return out.join(real, "component_id", "left").select("id", "n_shingles", F.col("real").alias("component_id"))
+
+
+def _grouped(own: DataFrame, shingle: int, num: int, den: int, trees: int, depth: int, same: DataFrame | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) of rows (id, text); same holds links (a, b) that are given."""
+    spark = own.sparkSession
     scratch = Scratch(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     places = trees * depth
     likely = _likely(num, den, places)
     schema = "id long, n long, class binary, signature binary, u long, v long, odd binary"
     signed = scratch.written(own.mapInArrow(_signed(shingle, trees, depth), schema), "signed")
     full = signed.where("n > 0 and id is not null")
+    if same is None:
+        several = signed.where("id is not null").groupBy("id").agg(F.min("class").alias("x"), F.max("class").alias("y"))
+        several = scratch.written(several.where("x <> y").select("id"), "several")
+        if not several.isEmpty():
+            out = written(_texts_apart(own, several, scratch, (shingle, num, den, trees, depth)), "members")
+            scratch.drop()
+            return out
     classes = full.groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "u", "v", "signature", "odd")])
     classes = scratch.written(classes, "classes")
 
@@ -399,7 +433,8 @@ def components(
     runs = forest.select(F.xxhash64("tree", "key").alias("run"), "id")
     often = runs.groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
     central = scratch.written(runs.join(often, "run").groupBy("id").agg(F.sum(F.log2("c")).cast("decimal(20,6)").alias("pop")), "central")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # A partition's first rows have nothing before them, so small tables are few partitions; what is parted all the same is left to the exact way.
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 1 + classes.count() * trees // ROWS)
     order = forest.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("tree", "key", "id", "n", "u", "v")
     walk = _neighbours(REACH, SHORTEST, depth, num, den, _most_unequal(min(places, 128), num, den))
     walked = scratch.written(order.mapInArrow(walk, "a long, b long, region long, n long, u long, v long"), "walked")
@@ -441,13 +476,20 @@ def components(
     first = either.join(ranked, "b").groupBy("a").agg(F.max("rank").alias("rank")).select("a", (-F.col("rank.minus")).alias("b"))
     first = scratch.written(first.select(*_pair("a", "b")).distinct(), "first")
     links = confirm(first, text, "sure")
+    if same is not None:
+        # The class of a text is known by its least id.
+        ids = full.select("class", "id").join(classes.select("class", F.col("id").alias("first_id")), "class").select("id", "first_id").distinct()
+        given = same.join(ids.withColumnRenamed("id", "a").withColumnRenamed("first_id", "x"), "a").join(ids.withColumnRenamed("id", "b").withColumnRenamed("first_id", "y"), "b")
+        links = links.union(scratch.written(given.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b"), "given"))
     part = joined(links)
     rest = scratch.written(across(pairs.join(first, ["a", "b"], "left_anti"), part), "rest")
     links = links.union(confirm(rest, text, "more"))
     part = joined(links)
 
     # The exact way: keys that sets of different components have.
-    active = walked.select("a").union(walked.select("b")).where("a is not null").distinct().withColumnRenamed("a", "id")
+    starts = forest.select(F.xxhash64("tree", F.substring("key", 1, 2 * SHORTEST)).alias("run"), "id")
+    met = starts.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("run")
+    active = starts.join(met, "run", "left_semi").select("id").distinct()
     if (1 - (num / den) ** SHORTEST) ** trees > 1e-7:
         active = classes.select("id").distinct()
     active = scratch.written(active, "active")
@@ -491,8 +533,7 @@ def components(
     out = written(out, "members")
     scratch.drop()
     usual.unpersist()
-    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -195,7 +195,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     rows = base(own).select("own.*", "n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    rows = rows.withColumn("of", F.array(F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang")), F.lit("all")))
+    nulls = {"ignoreNullFields": "false"}  # a null source is a source of its own, not all of its language
+    levels = F.concat(F.lit("source "), F.to_json(F.struct("lang", "source"), nulls)), F.concat(F.lit("language "), F.to_json(F.struct("lang"), nulls))
+    rows = rows.withColumn("of", F.array(*levels, F.lit("all")))
     rows = written(rows.select("*", *_vector()), "statistics")
     # Each document's group: its source, language or the table, the first that has enough rows.
     fit = rows.where(~F.col("base_failed"))
