@@ -3,13 +3,14 @@ column and row of a pixel to x = c + a*col + b*row, y = f + d*col + e*row. Null
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .projections import EARTH as EARTH
+from .projections import GEOGRAPHIC, KNOWN, Projection, reproject_vertices
+from .projections import reproject as reproject
+
 AFFINE = tuple("abcdef")
-EARTH = 6378137.0  # fixed value: radius of the spherical Mercator projection, in metres
 
 
 def point(x: Column, y: Column) -> Column:
@@ -142,20 +143,8 @@ def first_part(parts: Column) -> Column:
     return F.get(parts, 0)
 
 
-def reproject(x: Column, y: Column, src: str, dst: str) -> tuple[Column, Column]:
-    """Between EPSG:4326 and EPSG:3857; equal systems change nothing; others raise ValueError."""
-    a, b = (s.upper().removeprefix("EPSG:") for s in (src, dst))
-    if a == b:
-        return x, y
-    if (a, b) == ("4326", "3857"):
-        return F.radians(x) * EARTH, F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * EARTH
-    if (a, b) == ("3857", "4326"):
-        return F.degrees(x / EARTH), F.degrees(2 * F.atan(F.exp(y / EARTH)) - math.pi / 2)
-    raise ValueError(f"no closed form from {src} to {dst}")
-
-
-def reproject_polygon(polygon: Column, src: str, dst: str) -> Column:
-    return F.transform(polygon, lambda v: point(*reproject(v["x"], v["y"], src, dst)))
+def reproject_polygon(polygon: Column, src: str | Projection, dst: str | Projection) -> Column:
+    return reproject_vertices(polygon, src, dst)
 
 
 def axis_unit(unit_name: Column) -> Column:
@@ -164,11 +153,9 @@ def axis_unit(unit_name: Column) -> Column:
     return F.when(unit_name.isNull(), "unit").when(name.isin("metre", "meter"), "m").when(name == "degree", "deg").otherwise(unit_name)
 
 
-#: Axis units of the systems with a closed form.
-UNITS = {"EPSG:4326": "degree", "EPSG:3857": "metre"}
-
-
 def unit_of_crs(crs: Column) -> Column:
-    """Label of the axis unit of a system, by lookup; systems that are not known have "unit"."""
-    known = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    return axis_unit(F.try_element_at(known, F.upper(crs)))
+    """Label of the axis unit of a system, by its code; systems that are not known have "unit"."""
+    degrees = [f"EPSG:{code}" for code in GEOGRAPHIC]
+    metres = [f"EPSG:{code}" for code in KNOWN if code not in GEOGRAPHIC]
+    code = F.upper(crs)
+    return axis_unit(F.when(code.isin(degrees), "degree").when(code.isin(metres), "metre"))
