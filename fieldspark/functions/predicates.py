@@ -32,7 +32,7 @@ def on_edge(x: Column, y: Column, e: Column, eps: float = 1e-12) -> Column:
     return flat & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
 
 
-def _crossed(x: Column, y: Column, e: Column) -> Column:
+def crossed(x: Column, y: Column, e: Column) -> Column:
     """Whether a ray from the point along +x crosses the edge."""
     p, q = e["p"], e["q"]
     at = p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / F.nullif(q["y"] - p["y"], F.lit(0.0))
@@ -41,12 +41,12 @@ def _crossed(x: Column, y: Column, e: Column) -> Column:
 
 def covers(edge_list: Column, x: Column, y: Column) -> Column:
     """Point in or on the polygon."""
-    odd = F.aggregate(edge_list, F.lit(False), lambda a, e: a != _crossed(x, y, e))
+    odd = F.aggregate(edge_list, F.lit(False), lambda a, e: a != crossed(x, y, e))
     return F.exists(edge_list, lambda e: on_edge(x, y, e)) | odd
 
 
-def _inside(edge_list: Column, x: Column, y: Column) -> Column:
-    odd = F.aggregate(edge_list, F.lit(False), lambda a, e: a != _crossed(x, y, e))
+def inside(edge_list: Column, x: Column, y: Column) -> Column:
+    odd = F.aggregate(edge_list, F.lit(False), lambda a, e: a != crossed(x, y, e))
     return odd & ~F.exists(edge_list, lambda e: on_edge(x, y, e))
 
 
@@ -88,7 +88,7 @@ def within(cell: Column, cell_edges: Column, edge_list: Column) -> Column:
     """
     corners = F.forall(cell, lambda v: covers(edge_list, v["x"], v["y"]))
     crossing = F.exists(cell_edges, lambda e: F.exists(edge_list, lambda f: cross_properly(e, f)))
-    inner = F.exists(edge_list, lambda f: _inside(cell_edges, f["p"]["x"], f["p"]["y"]) | _inside(cell_edges, (f["p"]["x"] + f["q"]["x"]) / 2, (f["p"]["y"] + f["q"]["y"]) / 2))
+    inner = F.exists(edge_list, lambda f: inside(cell_edges, f["p"]["x"], f["p"]["y"]) | inside(cell_edges, (f["p"]["x"] + f["q"]["x"]) / 2, (f["p"]["y"] + f["q"]["y"]) / 2))
 
     def cuts(e: Column) -> Column:
         p, q = e["p"], e["q"]

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geom
+from ..numbering import row_numbers
 from . import polygons
 
 BY = ["field_id"]
@@ -16,17 +16,20 @@ BY = ["field_id"]
 def normalize_points(points: DataFrame, order_by: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """by.., fid, other columns, x, y. If a key has any null fid (or there is no fid), it is numbered 0.. in order_by.
 
-    An empty table stays empty. Raises ValueError without x and y.
+    An empty table stays empty. Rows are numbered in two levels, so a key of any size is no single task. Raises ValueError without x and y.
     """
     by = by or BY
     if not {"x", "y"} <= set(points.columns):
         raise ValueError("Point coordinates x and y are missing")
     rows = points if "fid" in points.columns else points.withColumn("fid", F.lit(None).cast("long"))
-    number = F.row_number().over(W.partitionBy(*by).orderBy(*(order_by or ["x", "y"]))).cast("long") - 1
-    missing = F.max(F.col("fid").isNull()).over(W.partitionBy(*by))
-    fid = F.when(missing, number).otherwise(F.col("fid").cast("long"))
+    missing = rows.groupBy(*by).agg(F.max(F.col("fid").isNull()).alias("_missing"))
+    missing = missing.select(*[F.col(k).alias(f"_{k}") for k in by], "_missing")
+    numbered = row_numbers(rows, order_by or ["x", "y"], "_nr", by, first=0)
+    same = [numbered[k].eqNullSafe(missing[f"_{k}"]) for k in by]
+    joined = numbered.join(missing, same)
+    fid = F.when(F.col("_missing"), F.col("_nr")).otherwise(F.col("fid").cast("long"))
     extras = [c for c in rows.columns if c not in {*by, "fid", "x", "y"}]
-    return rows.select(*by, fid.alias("fid"), *extras, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return joined.select(*by, fid.alias("fid"), *extras, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 
 def _polygon_like(rings: Column) -> Column:
@@ -114,4 +117,4 @@ POINTS = T.StructType([T.StructField("field_id", T.LongType()), T.StructField("f
 
 def sorted_by_fid(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     """points with nth: the place of each by fid in its key, from 0, ties by coordinates."""
-    return points.withColumn("nth", F.row_number().over(W.partitionBy(*(by or BY)).orderBy("fid", "x", "y")).cast("long") - 1)
+    return row_numbers(points, ["fid", "x", "y"], "nth", by or BY, first=0)

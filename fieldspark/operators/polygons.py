@@ -11,30 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoint import Scratch
 from ..functions import geom
 from ..functions import predicates as pr
+from . import grids
 
 BY = ["field_id"]
 RECTANGLE = "ox double, oy double, ux double, uy double, vx double, vy double, width double, height double"
 
 
 def effective_mask(points: DataFrame, boundaries: DataFrame, by: list[str] | None = None, key: str = "fid") -> DataFrame:
-    """points with effective: in or on some part of its key's boundaries; true for keys without a boundary."""
+    """points with effective: in or on some part of its key's boundaries; true for keys without a boundary.
+
+    A point meets the parts around it, and of those the edges in its own slab. The index is written to the shared folder.
+    """
     by = by or BY
-    bounds = dict(zip(("bx0", "by0", "bx1", "by1"), _bounds(F.flatten("rings")), strict=True))
-    parts = boundaries.select(*by, pr.all_edges(F.col("rings")).alias("edges"), *[c.alias(n) for n, c in bounds.items()]).where("bx0 is not null")
-    # A part stands in the cells of a grid of its own size, four at most; points look into the grids of their key.
-    side = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.lit(1e-9))
-    parts = parts.withColumn("level", F.ceil(F.log2(side)).cast("int"))
-    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
-    dealt = parts.withColumn("cx", F.explode(F.sequence(cell("bx0"), cell("bx1")))).withColumn("cy", F.explode(F.sequence(cell("by0"), cell("by1"))))
-    levels = parts.groupBy(*by).agg(F.collect_set("level").alias("levels"))
-    near = points.select(*by, key, "x", "y").join(levels, by).withColumn("level", F.explode("levels")).drop("levels")
-    near = near.withColumns({"cx": cell("x"), "cy": cell("y")}).join(dealt, [*by, "level", "cx", "cy"])
-    near = near.where(F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1")))
-    inside = near.where(pr.covers(F.col("edges"), F.col("x"), F.col("y"))).select(*by, key).distinct().withColumn("covered", F.lit(True))
+    index = grids.boundary_index(boundaries, by, Scratch(points.sparkSession))
+    covered = grids.covered_points(points, index, [key]).select(*by, key).distinct().withColumn("covered", F.lit(True))
     have = boundaries.select(*by).distinct().withColumn("bounded", F.lit(True))
-    rows = points.join(have, by, "left").join(inside, [*by, key], "left")
+    rows = points.join(have, by, "left").join(covered, [*by, key], "left")
     return rows.withColumn("effective", F.col("covered").isNotNull() | F.col("bounded").isNull()).drop("covered", "bounded")
 
 
@@ -52,15 +47,54 @@ def keep_cells(cells: DataFrame, boundaries: DataFrame, mode: str = "inside", ri
     if mode not in ("inside", "touch"):
         raise ValueError(f"mode may not be {mode}")
     by = by or BY
-    parts = boundaries.select(*by, pr.all_edges(F.col("rings")).alias("_edges")).where(F.size("_edges") > 0)
-    bounded = parts.select(*by).distinct()
-    rows = cells.withColumn("_ring", pr.edges(F.col(ring)))
-    test = pr.within if mode == "inside" else pr.intersects
-    # The edge lists must be plain columns on both sides of the predicate, so a condition on the join would hide them.
-    on = [rows[k] == parts[k] for k in by]
-    hit = rows.join(parts, [*on, test(F.col(ring), F.col("_ring"), F.col("_edges"))], "left_semi")
-    free = rows.join(bounded, by, "left_anti")
-    return hit.unionByName(free).drop("_ring")
+    scratch, work = Scratch(cells.sparkSession), Scratch(cells.sparkSession)
+    nr, box = "_cell", ("_x0", "_y0", "_x1", "_y1")
+    try:
+        index = grids.boundary_index(boundaries, by, work)
+        rows = scratch.written(cells.withColumn(nr, F.monotonically_increasing_id()), "cells")
+        rings = rows.select(*by, nr, F.col(ring).alias("_ring"), *[c.alias(n) for c, n in zip(_bounds(F.col(ring)), box, strict=True)])
+        near = grids.box_pairs(rings, index.edges, by, box, grids.EDGE)
+        near = near.select(*by, nr, "part", "e", "_ring", pr.edges(F.col("_ring")).alias("_sides"))
+        corners = rings.select(*by, nr, F.posexplode("_ring").alias("at", "v")).select(*by, nr, "at", F.col("v.x").alias("x"), F.col("v.y").alias("y"))
+        hit = _touching(near, corners, index, nr) if mode == "touch" else _inside(work.written(near, "near"), corners, index, nr)
+        free = rows.join(index.parts.select(*by).distinct(), by, "left_anti").select(nr)
+        kept = scratch.written(hit.select(nr).union(free).distinct(), "kept")
+    finally:
+        work.drop()
+    return rows.join(kept, nr, "left_semi").drop(nr)
+
+
+def _touching(near: DataFrame, corners: DataFrame, index: grids.Boundary, nr: str) -> DataFrame:
+    """Cells that touch a near edge, hold its end, or have their first corner in a part."""
+    e = F.col("e")
+    meet = F.exists("_sides", lambda s: pr.touch(s, e)) | pr.covers(F.col("_sides"), e["p"]["x"], e["p"]["y"])
+    return near.where(meet).select(nr).union(grids.covered_points(corners.where("at = 0"), index, [nr]).select(nr))
+
+
+def _inside(near: DataFrame, corners: DataFrame, index: grids.Boundary, nr: str) -> DataFrame:
+    """Cells whose corners are in one part, with no edge of that part through them and no stretch of a side outside.
+
+    Where corners of the part touch a side they cut it in stretches, and the middle of each must be in the part. A cell that no edge is near is wholly
+    in or out.
+    """
+    by, e = index.by, F.col("e")
+    count = corners.groupBy(*by, nr).agg(F.count("*").alias("n"))
+    good = grids.covered_points(corners, index, [nr, "at"]).groupBy(*by, nr, "part").agg(F.count("*").alias("c"))
+    good = good.join(count, [*by, nr]).where("c = n").select(*by, nr, "part")
+    mid = lambda c: (e["p"][c] + e["q"][c]) / 2
+    through = F.exists("_sides", lambda s: pr.cross_properly(s, e)) | pr.inside(F.col("_sides"), e["p"]["x"], e["p"]["y"]) | pr.inside(F.col("_sides"), mid("x"), mid("y"))
+    good = good.join(near.where(through).select(*by, nr, "part").distinct(), [*by, nr, "part"], "left_anti")
+    sides = near.join(good, [*by, nr, "part"], "left_semi").select(*by, nr, "part", "e", F.posexplode("_sides").alias("side", "s"))
+    s = F.col("s")
+    dx, dy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
+    at = ((e["p"]["x"] - s["p"]["x"]) * dx + (e["p"]["y"] - s["p"]["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.collect_set(F.when(pr.on_edge(e["p"]["x"], e["p"]["y"], s), at))))
+    sides = sides.groupBy(*by, nr, "part", "side").agg(F.first("s").alias("s"), cuts.alias("t"))
+    middles = F.filter(F.zip_with("t", F.slice("t", 2, F.size("t")), lambda a, b: (a + b) / 2), lambda m: m.isNotNull())
+    sides = sides.select(*by, nr, "part", "side", "s", F.posexplode(middles).alias("nth", "m"))
+    asked = sides.select(*by, nr, "part", "side", "nth", (s["p"]["x"] + F.col("m") * dx).alias("x"), (s["p"]["y"] + F.col("m") * dy).alias("y"))
+    outside = asked.join(grids.covered_points(asked, index, [nr, "side", "nth"], "part"), [*by, nr, "part", "side", "nth"], "left_anti")
+    return good.join(outside.select(*by, nr, "part").distinct(), [*by, nr, "part"], "left_anti")
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:

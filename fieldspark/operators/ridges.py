@@ -130,15 +130,22 @@ def ridge_intervals(peaks: DataFrame, buffer: float = 0.5, by: list[str] | None
 def assign_ridges(values: DataFrame, intervals: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds ridge_id (-1: none, or not effective) and is_inlier; closed intervals, the nearest centre, on ties the lowest id.
 
-    values needs a unique fid in each key. Intervals are sorted in an array for each key, so points never multiply.
+    values needs a unique fid in each key. A key's axis is cut in buckets, so many that its intervals stand in about two each; a
+    point looks into its own bucket only, and is never multiplied.
     """
     by = _by(by)
-    lists = intervals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ridge_id", "lo", "hi", "center"))).alias("ridges"))
+    width = F.greatest((F.max("hi") - F.min("lo")) / F.count("*"), F.sum(F.col("hi") - F.col("lo")) / F.count("*"), F.lit(1e-9))
+    axis = intervals.where("lo <= hi").groupBy(*by).agg(F.min("lo").alias("_base"), width.alias("_width"))
+    bucket = lambda c: F.floor((F.col(c) - F.col("_base")) / F.col("_width"))
+    dealt = intervals.where("lo <= hi").join(axis, by).withColumn("_bucket", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    lists = dealt.groupBy(*by, "_bucket").agg(F.collect_list(F.struct("ridge_id", "lo", "hi", "center")).alias("ridges"))
     effective = F.coalesce(F.col("effective"), F.lit(True)) if "effective" in values.columns else F.lit(True)
     hit = F.filter("ridges", lambda r: (r["lo"] <= F.col("perp")) & (F.col("perp") <= r["hi"]))
     best = F.array_min(F.transform(hit, lambda r: F.struct(F.abs(r["center"] - F.col("perp")).alias("d"), r["ridge_id"].alias("ridge_id"))))
-    rows = values.join(lists, by, "left").withColumn("ridge_id", F.when(effective, best["ridge_id"]))
-    return rows.withColumns({"ridge_id": F.coalesce("ridge_id", F.lit(-1).cast("long")), "is_inlier": F.col("ridge_id").isNotNull()}).drop("ridges")
+    rows = values.join(axis, by, "left").withColumn("_bucket", bucket("perp")).join(lists, [*by, "_bucket"], "left")
+    rows = rows.withColumn("ridge_id", F.when(effective, best["ridge_id"]))
+    rows = rows.withColumns({"ridge_id": F.coalesce("ridge_id", F.lit(-1).cast("long")), "is_inlier": F.col("ridge_id").isNotNull()})
+    return rows.select(*values.columns, *[c for c in ("ridge_id", "is_inlier") if c not in values.columns])
 
 
 #: Points of a ridge that one task compares with the ridge's lines.

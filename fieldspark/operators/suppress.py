@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..checkpoint import Scratch, written
 from ..components import connected_components
 from ..functions import geom
+from ..numbering import row_numbers
+from . import grids
 
 BOX = ("gx0", "gy0", "gx1", "gy1")
 #: Conflicts that one task walks at most; a few dozen bytes each.
@@ -88,30 +90,18 @@ def greedy_suppress(nodes: DataFrame, conflicts: DataFrame, keys: list[str], max
     return nodes.join(gone, keys, "left_anti")
 
 
-def ranked(detections: DataFrame, by: list[str]) -> DataFrame:
+def ranked(detections: DataFrame, by: list[str], scratch: Scratch | None = None) -> DataFrame:
     """Adds rank: by score descending, ties by (row, col, idx)."""
-    order = W.partitionBy(*by).orderBy(F.desc("score"), "row", "col", "idx")
-    return detections.withColumn("rank", F.row_number().over(order))
+    numbered = row_numbers(detections, [F.desc("score"), "row", "col", "idx"], "rank", by, scratch=scratch)
+    return numbered.withColumn("rank", F.col("rank").cast("int"))
 
 
 def box_conflicts(boxes: DataFrame, overlap, limit: float, by: list[str]) -> DataFrame:
-    """Pairs of boxes of a key whose overlap is over limit, the better ranked as _a.
-
-    Boxes meet through the grid cells that they cover. A cell is as wide as the 95th percentile of box sides of the
-    key, so most boxes cover a few cells, and a pair is kept in one cell only: that of the corner of its intersection.
-    """
-    side = F.greatest(F.col("gx1") - F.col("gx0"), F.col("gy1") - F.col("gy0"))
-    cell = boxes.groupBy(*by).agg(F.greatest(F.percentile_approx(side, 0.95, 1000), F.lit(1e-6)).alias("cell"))
-    on = boxes.join(cell, by)
-    at = lambda c: F.floor(F.col(c) / F.col("cell"))
-    on = on.withColumn("cx", F.explode(F.sequence(at("gx0"), at("gx1")))).withColumn("cy", F.explode(F.sequence(at("gy0"), at("gy1"))))
-    columns = ["rank", *BOX]
-    a = on.select(*by, "cx", "cy", "cell", *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = on.select(*by, "cx", "cy", *[F.col(c).alias(f"{c}_b") for c in columns])
-    pair = a.join(b, [*by, "cx", "cy"]).where("rank_a < rank_b")
-    home = (F.floor(F.greatest("gx0_a", "gx0_b") / F.col("cell")) == F.col("cx")) & (F.floor(F.greatest("gy0_a", "gy0_b") / F.col("cell")) == F.col("cy"))
-    boxes_of = lambda s: tuple(F.col(f"{c}_{s}") for c in BOX)
-    pair = pair.where(home & (overlap(boxes_of("a"), boxes_of("b")) > limit))
+    """Pairs of boxes of a key whose overlap is over limit, the better ranked as _a. Boxes of any sizes meet through a hierarchy of grids."""
+    sides = [boxes.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("rank", *BOX)]) for s in "ab"]
+    names = [tuple(f"{c}_{s}" for c in BOX) for s in "ab"]
+    pair = grids.box_pairs(*sides, by, *names).where("rank_a < rank_b")
+    pair = pair.where(overlap(*[tuple(F.col(c) for c in box) for box in names]) > limit)
     return pair.select(*[F.col(k).alias(f"{k}_{s}") for s in "ab" for k in by], "rank_a", "rank_b")
 
 
@@ -121,7 +111,9 @@ def nms(detections: DataFrame, iou: float = 0.5, ios: float | None = None, by: l
     detections: by.., row, col, idx, gx0, gy0, gx1, gy1, score. A null score counts as 1.0.
     """
     by = by or ["raster_id"]
-    kept = written(ranked(detections.withColumn("score", F.coalesce("score", F.lit(1.0))), by), "ranked")
+    scratch = Scratch(detections.sparkSession)
+    kept = written(ranked(detections.withColumn("score", F.coalesce("score", F.lit(1.0))), by, scratch), "ranked")
+    scratch.drop()
     for overlap, limit in ((geom.iou, iou), (geom.ios, ios)):
         if limit is not None:
             kept = greedy_suppress(kept, box_conflicts(kept, overlap, limit, by), [*by, "rank"])
@@ -150,7 +142,7 @@ def merge_detections(
 def export_frames(merged: DataFrame, source: str = "model", by: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(boxes, points, polygons) of a merged table; fid counts from 0 in order of rank."""
     by = by or ["raster_id"]
-    rows = merged.withColumn("fid", F.row_number().over(W.partitionBy(*by).orderBy("rank")).cast("long") - 1)
+    rows = row_numbers(merged, ["rank"], "fid", by, first=0)
     boxes = rows.select(*by, "fid", F.col("gx0").alias("xmin"), F.col("gy0").alias("ymin"), F.col("gx1").alias("xmax"), F.col("gy1").alias("ymax"), "score")
     points = rows.select(*by, "fid", F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(source).alias("source"), F.col("score").alias("conf"))
     polygons = rows.select(*by, "fid", "score", geom.close_ring(F.col("polygon")).alias("polygon"))
