@@ -28,8 +28,8 @@ its windows by a join, and documents cut out what is covered.
 
 Edge cases. A null or empty text has no bytes. A text shorter than ``length`` keeps all.
 A document with a null id neither loses bytes nor takes them from others.
-Rows that repeat an id and text get equal results; where one id has different texts, each loses the
-spans of all of them. Extra columns are ignored by ``spans`` and kept by ``cut``.
+Rows that repeat an id and text get equal results; where one id has different texts, each loses its own
+spans, and none for what another text of its id holds. Extra columns are ignored by ``spans`` and kept by ``cut``.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import unused
+from .shared import Scratch, unused
 
 LENGTH, GRAM, LONGEST_PIECE, COMMON, BLOCK = 50, 24, 64, 4096, 1 << 20
 RUN = np.dtype([("n", "u1"), ("doc", "<i8")])
@@ -304,17 +304,18 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
         row, first, _, _, k1, k2, _, at = _found(batch, later=True)
         for lo in range(0, len(row), 50_000):
             p = slice(lo, lo + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(k1[p]), pa.array(k2[p]), pa.array(ids[row[p]]), pa.array(first[p] - at[row[p]])], names=["k1", "k2", "id", "at"])
+            out = [k1[p], k2[p], ids[row[p]], first[p] - at[row[p]], code[row[p]]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["k1", "k2", "id", "at", "text_hash"])
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of bytes under windows that a smaller id holds."""
     for batch in batches:
-        ids, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        ids, at, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
         raw, ends = tb.utf8(batch.column(2))
         runs, count = np.frombuffer(raw.tobytes(), RUN), np.diff(ends) // RUN.itemsize
         row, n = np.repeat(np.arange(len(ids)), count), runs["n"].astype(np.int64)
@@ -322,7 +323,8 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before -= np.repeat(before[np.cumsum(count) - count] if len(before) else before, count) if len(before) else 0
         use = runs["doc"] < ids[row]
         begin = (at[row] + before)[use]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row][use]), pa.array(begin), pa.array(begin + n[use] + LENGTH - 1)], names=["id", "lo", "hi"])
+        out = [ids[row][use], code[row][use], begin, begin + n[use] + LENGTH - 1]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["id", "text_hash", "lo", "hi"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,33 +358,53 @@ def _ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.where("id is not null")
 
 
+def _several(own: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """The ids of (id, text) that have different texts, or None if there are none."""
+    code = F.xxhash64("text")
+    ids = own.groupBy("id").agg(F.min(code).alias("least"), F.max(code).alias("most")).where("least <> most").select("id")
+    ids = scratch.written(ids, "several")
+    return None if ids.isEmpty() else ids
+
+
+def _hashed(rows: DataFrame, several: DataFrame | None, id_col: str, text_col: str, out: str) -> DataFrame:
+    """rows with a column that tells the texts of one id apart: their hash, or 0 where an id has one text."""
+    if several is None:
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    spare = unused(rows, "cut_several")
+    rows = rows.join(several.select(F.col("id").alias(spare)), rows[id_col].cast("long") == F.col(spare), "left")
+    code = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return rows.withColumn(out, F.when(F.col(spare).isNotNull(), code).otherwise(0).cast("long")).drop(spare)
+
+
 def spans(own: DataFrame) -> DataFrame:
-    """(id, lo, hi) from (id, text): spans of bytes that go, each of at least LENGTH bytes; they may overlap.
+    """(id, text_hash, lo, hi) from (id, text, text_hash): spans of bytes that go, each of at least LENGTH bytes; they may overlap.
 
     Whole copies go at once, and the rest of the work sees one document of each text.
     """
     parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    texts = own.select("id", F.octet_length("text").cast("long").alias("hi"), F.sha2("text", 256).alias("sha"))
-    firsts = texts.groupBy("sha").agg(F.min("id").alias("first"))
-    copies = texts.join(firsts, "sha").where((F.col("id") > F.col("first")) & (F.col("hi") >= LENGTH)).select("id", F.lit(0).cast("long").alias("lo"), "hi")
-    once = own.join(firsts.select(F.col("first").alias("id")).distinct(), "id")
+    texts = own.select("id", "text_hash", F.octet_length("text").cast("long").alias("hi"), F.sha2("text", 256).alias("sha"))
+    firsts = texts.groupBy("sha").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    copies = texts.join(firsts, "sha").where((F.col("id") > F.col("first.id")) & (F.col("hi") >= LENGTH))
+    copies = copies.select("id", "text_hash", F.lit(0).cast("long").alias("lo"), "hi")
+    once = own.join(firsts.select("first.id", "first.text_hash").distinct(), ["id", "text_hash"])
 
-    blocks = once.mapInArrow(_minimizers(max(4, parts // 3)), "bucket int, least long, value binary, doc binary")
+    blocks = once.select("id", "text").mapInArrow(_minimizers(max(4, parts // 3)), "bucket int, least long, value binary, doc binary")
     marks = blocks.groupBy("bucket").applyInArrow(_held_twice(COMMON), "id long, mark int").groupBy("id").agg(F.collect_list("mark").alias("marks"))
-    marked = once.join(marks, "id").select("id", "text", "marks")
+    marked = once.join(marks, "id").select("id", "text", "marks", "text_hash")
     distinct = marked.mapInArrow(_distinct_pieces(16 * parts), "part int, low long, high long, piece binary")
     least = distinct.groupBy("part").applyInArrow(_least_ids, "k1 long, k2 long, runs binary")
-    where = marked.mapInArrow(_occurrences, "k1 long, k2 long, id long, at long")
-    covered = where.join(least, ["k1", "k2"]).select("id", "at", "runs").mapInArrow(_covered, "id long, lo long, hi long")
+    where = marked.mapInArrow(_occurrences, "k1 long, k2 long, id long, at long, text_hash long")
+    covered = where.join(least, ["k1", "k2"]).select("id", "at", "runs", "text_hash").mapInArrow(_covered, "id long, text_hash long, lo long, hi long")
     return covered.union(copies)
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for each row of docs."""
     own = _ids_and_texts(docs, id_col, text_col)
-    gone = spans(own).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    own = _hashed(own, _several(own, Scratch(docs.sparkSession)), "id", "text", "text_hash")
+    gone = spans(own).groupBy("id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
-    joined = own.join(gone, "id", "left").select("id", "text", "spans").union(nameless.withColumn("spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")))
+    joined = own.join(gone, ["id", "text_hash"], "left").select("id", "text", "spans").union(nameless.withColumn("spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(_without, schema).withColumnRenamed("id", id_col)
 
@@ -401,9 +423,14 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     A character that loses some of its bytes goes whole; a null text becomes empty.
     """
-    key, spans_col = unused(docs, "cut_id"), unused(docs, "cut_spans")
-    gone = spans(_ids_and_texts(docs, id_col, text_col)).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias(spans_col)).withColumnRenamed("id", key)
-    joined = docs.join(gone, docs[id_col].cast("long") == gone[key], "left")
+    key, spans_col, code, own_code = (unused(docs, f"cut_{c}") for c in ("id", "spans", "code", "own_code"))
+    own = _ids_and_texts(docs, id_col, text_col)
+    several = _several(own, Scratch(docs.sparkSession))
+    gone = spans(_hashed(own, several, "id", "text", "text_hash")).groupBy("id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias(spans_col))
+    gone = gone.withColumnsRenamed({"id": key, "text_hash": code})
+    docs = _hashed(docs, several, id_col, text_col, own_code)
+    joined = docs.join(gone, (docs[id_col].cast("long") == gone[key]) & (docs[own_code] == gone[code]), "left")
+    docs = docs.drop(own_code)
     others = [c for c in docs.columns if c != text_col]
     joined = joined.select(*[docs[c] for c in others], docs[text_col], spans_col)
     schema = docs.select(*others, text_col).schema
