@@ -168,3 +168,20 @@ def crop_windows(points: DataFrame, rasters_by_date: DataFrame, size: float, in_
     rows = points.select(*by, "fid", "x", "y").join(rasters_by_date, by)
     box = geom.pixel_square_from_geo(F.col("x"), F.col("y"), F.lit(float(size))) if in_pixels else geom.square_around(F.col("x"), F.col("y"), F.lit(float(size)))
     return rows.withColumns(dict(zip(("left", "bottom", "right", "top"), box, strict=True)))
+
+
+def crop_series(
+    points: DataFrame, rasters_by_date: DataFrame, tiles: DataFrame, size: float, in_pixels: bool = False, by: list[str] | None = None
+) -> DataFrame:
+    """Pixels of the square around each point on each dated raster of its key: by.., fid, raster_id, other columns of the raster, x0.., a..f, pixels 0..255.
+
+    Points meet the rasters of their key, bounds become windows of each raster, and all windows read the tiles in one pass; what no tile has is 0.
+    rasters_by_date: by.., raster_id, a..f and further columns, such as a date. fid must be unique in its key; crops without area go.
+    """
+    by = by or ["field_id"]
+    keys = [*by, "fid", "raster_id"]
+    affine = rasters_by_date.select("raster_id", *geom.AFFINE).distinct()
+    bounds = crop_windows(points, rasters_by_date, size, in_pixels, by).select(*keys, "left", "bottom", "right", "top")
+    pixels = crop_pixels(tiles, bounds, affine, keys)
+    more = [c for c in rasters_by_date.columns if c not in {*by, *geom.AFFINE, "raster_id", *pixels.columns}]
+    return pixels.join(rasters_by_date.select(*by, "raster_id", *more), [*by, "raster_id"]) if more else pixels

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..checkpoint import shared_folder
 from ..functions import geom
 from ..operators import labels, points as pt, polygons, rasters, ridges, suppress
-from ..sources import tables
+from ..sources import tables, tile_store
 from . import derived as d
 from . import queries as base
 from .queries import query, r6
@@ -181,11 +181,9 @@ def runs_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT raster_id, row, col, k::INT AS k, idx, score, round((gx0 + gx1) * 0.5, 6) + 0 AS cx, round((gy0 + gy1) * 0.5, 6) + 0 AS cy FROM o"""
 )
 def slice_report_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested boxes of the slice report, best first."""
+    """The boxes of the slice report, best first."""
     found = d.detections(spark, sf_dir)
-    rows = tables.slice_report(found, found.select("raster_id", "row", "col").distinct())
-    rows = rows.select("raster_id", "row", "col", F.posexplode("boxes").alias("at", "b"))
-    return rows.select("raster_id", "row", "col", (F.col("at") + 1).alias("k"), "b.idx", (-F.col("b.order")).alias("score"), r6("b.cx").alias("cx"), r6("b.cy").alias("cy"))
+    return tables.report_boxes(found).select("raster_id", "row", "col", "k", "idx", "score", r6("cx").alias("cx"), r6("cy").alias("cy"))
 
 
 # Detections with pixel boxes, edges, polygons and missing scores.
@@ -238,7 +236,7 @@ def slice_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PATCHED = f"""
   t AS ({d.TILES_SQL}), px AS (SELECT raster_id, tile_row * 8 + (i - 1) // 8 AS y, tile_col * 8 + (i - 1) % 8 AS x, embedding[i]::DOUBLE AS v FROM t, (SELECT unnest(generate_series(1, 64)) AS i)),
-  win AS (SELECT label::BIGINT AS raster_id, vec_id::BIGINT AS fid, (vec_id % 90 - 20)::INT AS x0, (vec_id % 41 - 20)::INT AS y0 FROM embeddings WHERE vec_id % 25 = 0)"""
+  win AS (SELECT label::BIGINT AS raster_id, vec_id::BIGINT AS fid, (vec_id % 90 - 20)::INT AS x0, (vec_id % 41 - 20)::INT AS y0 FROM embeddings)"""
 
 
 def _tile_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +245,7 @@ def _tile_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 25 = 0")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     k = F.col("vec_id")
     return rows.select(F.col("label").cast("long").alias("raster_id"), k.cast("long").alias("fid"), (k % 90 - 20).cast("int").alias("col"), (k % 41 - 20).cast("int").alias("row"))
 
@@ -265,6 +263,31 @@ def crop_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("raster_id", "fid", "x0", "y0", "c", "f", F.size("pixels").alias("n"), F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of two dates for each of five fields."""
+    k = F.col("raster_id")
+    return _tile_rasters(spark, sf_dir).withColumns({"field_id": k % 5, "date": F.when(k < 5, "2024-05-01").otherwise("2024-06-01")})
+
+
+@query(
+    f"""WITH {_PATCHED}, dated AS (SELECT DISTINCT raster_id, raster_id % 5 AS field_id, CASE WHEN raster_id < 5 THEN '2024-05-01' ELSE '2024-06-01' END AS date FROM px),
+    w AS (SELECT win.raster_id % 5 AS field_id, fid, x0, y0, dated.raster_id, date FROM win JOIN dated ON dated.field_id = win.raster_id % 5),
+    cell AS (SELECT *, x0 + dx AS x, y0 + dy AS y FROM w, (SELECT unnest(generate_series(0, 5)) AS dx), (SELECT unnest(generate_series(0, 5)) AS dy)),
+    img AS (SELECT field_id, fid, raster_id, date, x0, y0, list(coalesce(v, 0) ORDER BY y, x) AS p FROM cell LEFT JOIN px USING (raster_id, x, y) GROUP BY ALL), s AS (SELECT *, list_max(p) AS top FROM img)
+    SELECT field_id, fid, raster_id, date, x0, y0, len(p)::INT AS n, list_sum(list_transform(p, lambda v: CASE WHEN top > 0 THEN trunc(v / top * 255) ELSE 0 END))::BIGINT AS total FROM s"""
+)
+def crop_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three metres around every site on both dates of its field, from a tile store that the crops prune."""
+    x, y = 10 + 0.5 * F.col("col") + 1.5, 90 - 0.5 * F.col("row") - 1.5
+    points = _sites(spark, sf_dir).select((F.col("raster_id") % 5).alias("field_id"), "fid", x.alias("x"), y.alias("y"))
+    dated = _dated(spark, sf_dir)
+    path = tile_store.write_tiles(d.tiles(spark, sf_dir), _new_path(spark, "tiles"))
+    bounds = rasters.crop_windows(points, dated, 3.0).select("field_id", "fid", "raster_id", "left", "bottom", "right", "top")
+    tiles = tile_store.read_tiles(spark, path, rasters.bounds_windows(bounds, dated.select("raster_id", *"abcdef")))
+    rows = rasters.crop_series(points, dated, tiles, 3.0)
+    return rows.select("field_id", "fid", "raster_id", "date", "x0", "y0", F.size("pixels").alias("n"), F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
 def bright_share():
     """A predictor for tests: how many pixels of a patch are over 100 of 255."""
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geom
+from ..numbering import row_numbers
 from ..operators import points as pt
 from ..operators import suppress
 
@@ -76,13 +76,24 @@ def load_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 
 
 def slice_report(detections: DataFrame, windows: DataFrame) -> DataFrame:
-    """For each window how many detections it has, their least and greatest score, and the boxes with centres, best first."""
+    """For each window how many detections it has, and their least and greatest score; their boxes are rows of report_boxes()."""
     keys = ["raster_id", "row", "col"]
-    box = F.struct((-F.col("score")).alias("order"), "idx", *suppress.BOX, *[c.alias(n) for c, n in zip(geom.box_center(*[F.col(c) for c in suppress.BOX]), ("cx", "cy"), strict=True)])
-    got = detections.groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.array_sort(F.collect_list(box)).alias("boxes"))
+    got = detections.groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
     return windows.join(got, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def report_boxes(detections: DataFrame, best: int | None = None) -> DataFrame:
+    """(raster_id, row, col, k, idx, score, gx0.., cx, cy): the boxes of each window with centres, best first from 1; with best only so many.
+
+    Rows, not a list: a window may have any number of boxes. Null scores come last.
+    """
+    keys = ["raster_id", "row", "col"]
+    rows = row_numbers(detections, [F.desc("score"), "idx", *suppress.BOX], "k", keys)
+    cx, cy = geom.box_center(*[F.col(c) for c in suppress.BOX])
+    rows = rows.select(*keys, "k", "idx", "score", *suppress.BOX, cx.alias("cx"), cy.alias("cy"))
+    return rows if best is None else rows.where(F.col("k") <= best)
+
+
 def concat_runs(*runs: DataFrame) -> DataFrame:
     """Detections of several runs as one table; idx is numbered anew in each raster by run, slice and old idx."""
     rows = None
@@ -91,8 +102,8 @@ def concat_runs(*runs: DataFrame) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     if rows is None:
         raise ValueError("no run is given")
-    order = W.partitionBy("raster_id").orderBy("_run", "row", "col", "idx")
-    return rows.withColumn("idx", F.row_number().over(order).cast("long") - 1).drop("_run")
+    numbered = row_numbers(rows, ["_run", "row", "col", "idx"], "_idx", ["raster_id"], first=0)
+    return numbered.withColumn("idx", F.col("_idx")).drop("_run", "_idx")
 
 
 def detection_counts(detections: DataFrame, by: list[str] | None = None) -> DataFrame:
