@@ -22,6 +22,8 @@ from . import grids
 BOX = ("gx0", "gy0", "gx1", "gy1")
 #: Conflicts that one task walks at most; a few dozen bytes each.
 AT_ONCE = 1_000_000
+#: Conflicts of a whole table that are walked without writing anything.
+FEW = 20_000
 
 
 def _walk(keys: list[str]):
@@ -59,16 +61,25 @@ def _rounds(edges: DataFrame, keys: list[str], scratch: Scratch, max_rounds: int
     raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
 
 
-def greedy_suppress(nodes: DataFrame, conflicts: DataFrame, keys: list[str], max_rounds: int = 10_000, at_once: int = AT_ONCE) -> DataFrame:
+def greedy_suppress(nodes: DataFrame, conflicts: DataFrame, keys: list[str], max_rounds: int = 10_000, at_once: int = AT_ONCE, few: int = FEW) -> DataFrame:
     """Kept rows of nodes(*keys), where the last key is the rank (smaller is better; ranks differ inside conflicts).
 
     conflicts(*keys with suffix _a, *keys with suffix _b): pairs of one key where a has the better rank. Raises RuntimeError after max_rounds.
+    A walk by rank crosses keys without harm, as conflicts don't: up to few conflicts in all are walked in one list.
     """
     scratch = Scratch(nodes.sparkSession)
     better, worse = [f"{k}_a" for k in keys], [f"{k}_b" for k in keys]
     by = better[:-1]
-    edges = scratch.written(conflicts.select(*better, *worse).distinct(), "conflicts")
+    edges = conflicts.select(*better, *worse)
     schema = ", ".join(f"`{k}` {edges.schema[b].dataType.simpleString()}" for k, b in zip(keys, better, strict=True))
+    if nodes.limit(10 * few + 1).count() <= 10 * few:  # larger tables are not asked for conflicts twice
+        some = set(edges.limit(few + 1).collect())
+        if len(some) <= few:
+            # All there is fits a list: walked at once, without a table or a further job.
+            rows = pd.DataFrame(list(some), columns=[*better, *worse], dtype=object)
+            lost = list(_walk(keys)(rows).itertuples(index=False, name=None)) if some else []
+            return nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(lost, schema)), keys, "left_anti")
+    edges = scratch.written(edges.distinct(), "conflicts")
     large = edges.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > at_once).select(*by)
     small = edges.join(large, by, "left_anti")
     found = [small.groupBy(*by).applyInPandas(_walk(keys), schema)]
