@@ -2,8 +2,8 @@
 
 A row is kept if no kept row of better rank conflicts with it. Conflicts never cross keys, so a key with at most ``AT_ONCE`` of
 them is walked by rank in one task. Keys with more are parted into connected components of conflicts, which are walked
-alike; only a component that is itself larger is decided in rounds of joins: each keeps every undecided row without an undecided
-better neighbour and drops the neighbours of what was kept. Intermediate tables are written to the shared folder.
+alike; only a component that is itself larger is decided in blocks of rank, each walked at once. Intermediate tables are
+written to the shared folder, but for small tables.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from . import grids
 BOX = ("gx0", "gy0", "gx1", "gy1")
 #: Conflicts that one task walks at most; a few dozen bytes each.
 AT_ONCE = 1_000_000
+#: Rounds of peeling before blocks of rank.
+PEELED = 4
 #: Conflicts of a whole table that are walked without writing anything.
 FEW = 20_000
 
@@ -42,22 +44,46 @@ def _walk(keys: list[str]):
     return run
 
 
-def _rounds(edges: DataFrame, keys: list[str], scratch: Scratch, max_rounds: int) -> DataFrame | None:
-    """Dropped rows among conflicts, in as many rounds as the longest chain by rank."""
+def _named(rows: DataFrame, have: list[str], want: list[str]) -> DataFrame:
+    return rows.select(*[F.col(h).alias(w) for h, w in zip(have, want, strict=True)])
+
+
+def _huge(edges: DataFrame, keys: list[str], scratch: Scratch, at_once: int, max_rounds: int, schema: str) -> list[DataFrame]:
+    """Dropped rows among conflicts (component, better.., worse..) of components that are too large for one walk.
+
+    First a few rounds of peeling: a row that is no one's worse neighbour is kept, and its neighbours go, which settles most of what is not a
+    long chain. Then by blocks of rank: the best ranks that have at_once conflicts among them are walked, and what they keep drops its
+    neighbours beyond the block. So rounds follow the number of conflicts, not the length of chains.
+    """
     better, worse = [f"{k}_a" for k in keys], [f"{k}_b" for k in keys]
-    out: DataFrame | None = None
-    for _ in range(max_rounds):
-        # Among what is left, a row that is no one's worse neighbour is kept; its neighbours go.
+    out = []
+
+    def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+        for side in (better, worse):
+            edges = edges.join(_named(gone, keys, side), side, "left_anti")
+        return scratch.written(edges, "conflicts")
+
+    for nth in range(max_rounds):
         if edges.isEmpty():
             return out
-        loses = edges.select(*[F.col(w).alias(k) for w, k in zip(worse, keys, strict=True)]).distinct()
-        kept = edges.select(*[F.col(b).alias(k) for b, k in zip(better, keys, strict=True)]).distinct().join(loses, keys, "left_anti")
-        gone = edges.join(kept.select(*[F.col(k).alias(b) for k, b in zip(keys, better, strict=True)]), better, "left_semi")
-        gone = scratch.written(gone.select(*[F.col(w).alias(k) for w, k in zip(worse, keys, strict=True)]).distinct(), "suppressed")
-        for side in (better, worse):
-            edges = edges.join(gone.select(*[F.col(k).alias(s) for k, s in zip(keys, side, strict=True)]), side, "left_anti")
-        edges = scratch.written(edges, "conflicts")
-        out = gone if out is None else out.unionByName(gone)
+        if nth < PEELED:
+            kept = _named(edges, better, keys).distinct().join(_named(edges, worse, keys).distinct(), keys, "left_anti")
+            gone = _named(edges.join(_named(kept, keys, better), better, "left_semi"), worse, keys).distinct()
+            gone = scratch.written(gone, "suppressed")
+        else:
+            most = edges.groupBy("component").count().agg(F.max("count")).first()[0]
+            # The same share of each component, so the largest sets the number of blocks; without a limit all that is left is one block.
+            limit = F.percentile_approx(worse[-1], at_once / most, 10_000) if most > at_once else F.max(F.lit(None).cast("long"))
+            limits = scratch.written(edges.groupBy("component").agg(limit.alias("_t")), "limits")
+            cut = edges.join(limits, "component").withColumn("_in", F.coalesce(F.col(worse[-1]) <= F.col("_t"), F.lit(True)))
+            cut = scratch.written(cut.withColumn("_from", F.coalesce(F.col(better[-1]) <= F.col("_t"), F.lit(True))), "block")
+            lost = cut.where("_in").select("component", *better, *worse).groupBy("component").applyInPandas(_walk(keys), schema)
+            lost = scratch.written(lost, "suppressed")
+            beyond = cut.where("_from and not _in").join(_named(lost, keys, better), better, "left_anti")
+            gone = scratch.written(lost.unionByName(_named(beyond, worse, keys)).distinct(), "suppressed")
+            edges = cut.where("not _from").select("component", *better, *worse)  # the block is decided
+        out.append(gone)
+        edges = without(edges, gone)
     raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
 
 
@@ -90,9 +116,8 @@ def greedy_suppress(nodes: DataFrame, conflicts: DataFrame, keys: list[str], max
         rest = scratch.written(rest.join(part, "a"), "parted")
         huge = rest.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > at_once).select("component")
         found.append(rest.join(huge, "component", "left_anti").groupBy("component").applyInPandas(_walk(keys), schema))
-        more = _rounds(scratch.written(rest.join(huge, "component", "left_semi").select(*better, *worse), "conflicts"), keys, scratch, max_rounds)
-        if more is not None:
-            found.append(more)
+        huge = scratch.written(rest.join(huge, "component", "left_semi").select("component", *better, *worse), "conflicts")
+        found += _huge(huge, keys, scratch, at_once, max_rounds, schema)
     gone = found[0]
     for more in found[1:]:
         gone = gone.unionByName(more)

@@ -165,3 +165,19 @@ def test_windows_off_the_tiles_are_zeros(spark):
     w = spark.createDataFrame(windows, "raster_id long, row int, col int, x0 int, y0 int, x1 int, y1 int").withColumns(affine)
     got = {(r.raster_id, r.col, r.band): (r.pixels, r.c, r.f) for r in rasters.read_windows(tiles, w).collect()}
     assert got == {(1, 0, b): ([0.0, 0.0, float(b), 0.0], 10.5, 90.5) for b in (1, 2)} | {(1, 1, b): ([0.0, 0.0], 55.0, 45.0) for b in (1, 2)} | {(2, 0, 1): ([0.0, 0.0], 10.0, 90.0)}
+
+
+@pytest.mark.parametrize("peeled", [0, 4])
+def test_a_component_larger_than_a_walk(spark, monkeypatch, peeled):
+    """One long chain and one thicket, walked in blocks of rank as in one list."""
+    monkeypatch.setattr(suppress, "PEELED", peeled)
+    rng = random.Random(9)
+    rows = [(1, 0, 0, i, 5.0 * i, 0.0, 5.0 * i + 9, 9.0, 1 - i / 5000) for i in range(300)]
+    rows += [(2, 0, 0, i, x, y, x + 12, y + 12, round(rng.random(), 2)) for i, (x, y) in enumerate((rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(120))]
+    df = suppress.ranked(spark.createDataFrame(rows, BOXES), ["raster_id"])
+    conflicts = suppress.box_conflicts(df, geom.iou, 0.1, ["raster_id"])
+    once = suppress.greedy_suppress(df, conflicts, ["raster_id", "rank"])
+    want = sorted((r.raster_id, r.idx) for r in once.collect())
+    assert len([w for w in want if w[0] == 1]) == 150 and 10 < len([w for w in want if w[0] == 2]) < 60
+    blocks = suppress.greedy_suppress(df, conflicts, ["raster_id", "rank"], at_once=90, few=0)
+    assert sorted((r.raster_id, r.idx) for r in blocks.collect()) == want
