@@ -9,7 +9,7 @@ separates the two sides; blocks on the source side are the main text. Blocks who
 own costs outweigh all their edges are settled first (their label is the same in
 every minimum cut), so flows run over what is left, mostly a few blocks.
 
-Names of classes are bounded evidence: a state ("comments-open") or a topic ("tag-news") says nothing, a name for content
+Names of classes are bounded evidence: a name for a layout part is set aside for an element that holds the article or most of the page's prose; a state ("comments-open") or a topic ("tag-news") says nothing, a name for content
 outweighs a weak name against it in the same element, and long text outweighs weak names ("notice", "social"). A form hides its
 controls, and the rest of it has a bounded cost, as some sites wrap whole pages in one. Scripts, styles, comments
 in the markup, controls and the head never become blocks; a block of nothing but buttons is a control too. Character references are
@@ -40,9 +40,10 @@ HIDDEN = frozenset("head title script style noscript template svg annotation ifr
 ASIDE = frozenset("nav footer aside header menu".split())
 CLOSES_P = frozenset("p div ul ol dl li table h1 h2 h3 h4 h5 h6 section article header footer nav aside main pre blockquote form hr figure address fieldset".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-STRONG = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?|sidebar|aside|footer|"
-    r"comments?|respond|replies|disqus|login|signup|search|pagination|pager|toolbar|skip|copyright|outbrain|taboola)(?=$|[\s_-])",
+#: Names of layout parts, and of what lies over or after an article.
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:ads?|nav\w*|menu\w*|breadcrumbs?|sidebar|aside|footer|subscribe|login|signup|search|pagination|pager|toolbar|skip)(?=$|[\s_-])", re.I)
+APART = re.compile(
+    r"(?:^|[\s_-])(?:advert\w*|cookies?|consent|gdpr|popup|modal|newsletter|comments?|respond|replies|disqus|discussion|threads?|reactions|copyright|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
 WEAK = re.compile(r"(?:^|[\s_-])(?:banner|promo\w*|sponsor\w*|notices?|share|social|related|recommend\w*|widget|tags?|legal)(?=$|[\s_-])", re.I)
@@ -61,34 +62,47 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 class Node:
     """An open element: its tag, number, and what it and its parents say about its text."""
 
-    __slots__ = ("against", "favour", "form", "number", "parent", "hidden", "tag", "weak")
+    __slots__ = ("against", "apart", "favour", "form", "holds", "layout", "names", "number", "parent", "hidden", "prose", "tag", "weak")
 
     def __init__(self, tag: str, number: int, parent: Node | None, names: str):
         self.tag, self.number, self.parent = tag, number, parent
-        inside = parent is not None and parent.favour >= 2.5
         self.hidden = tag in HIDDEN or (parent is not None and parent.hidden)
-        self.favour = max(parent.favour if parent else 0.0, 2.5 if tag == "article" else 2.0 if tag == "main" else 0.0)
-        self.against = parent.against if parent else 0
-        self.weak = parent.weak if parent else 0
         self.form = tag == "form" or (parent is not None and parent.form)
-        if tag in ASIDE and not (tag == "header" and inside):
+        self.names = SILENT.sub(" ", names) if names and tag not in ("html", "body", "article", "main") else ""
+        self.layout = self.names != "" and LAYOUT.search(self.names) is not None
+        self.apart = self.names != "" and APART.search(self.names) is not None
+        #: Characters of prose inside, and whether it holds an article (1), or the main part or heading of the page (2).
+        self.prose, self.holds = 0, 0
+        self.against, self.favour, self.weak = 0, 0.0, 0
+
+    def judge(self, prose: int) -> None:
+        """Evidence from the parent, which is judged before, and from its own tag and names; prose is that of the page.
+
+        A name for a layout part of an element that holds the article, the page's heading or more than half of its prose tells how the page is laid out, not
+        what the element is ("has-sidebar", "menu-page"); one for comments or notices is set aside for the main part or heading only.
+        """
+        up, names = self.parent, self.names
+        inside = up is not None and up.favour >= 2.5
+        self.favour = max(up.favour if up else 0.0, 2.5 if self.tag == "article" else 2.0 if self.tag == "main" else 0.0)
+        self.against, self.weak = (up.against, up.weak) if up else (0, 0)
+        if self.tag in ASIDE and not (self.tag == "header" and inside):
+            self.against += 1
+        if not names:
+            return
+        strong = self.apart and self.holds < 2 or self.layout and not self.holds and 2 * self.prose <= prose
+        if strong or not inside and SITE_HINTS.search(names) and 2 * self.prose <= prose:
             self.against += 1
-        if names and tag not in ("html", "body", "article", "main"):
-            names = SILENT.sub(" ", names)
-            content = HINTS_FOR.search(names)
-            if STRONG.search(names) or not inside and SITE_HINTS.search(names):
-                self.against += 1
-            elif content:
-                self.favour = max(self.favour, 1.5)
-            elif WEAK.search(names):
-                self.weak = 1
+        elif HINTS_FOR.search(names):
+            self.favour = max(self.favour, 1.5)
+        elif WEAK.search(names):
+            self.weak = 1
 
 
 def blocks(page: str) -> list[tuple[str, Node, int]]:
     """(text, element, characters inside links) of every block of a page, in page order."""
     out: list[tuple[str, Node, int]] = []
     root = Node("#page", 0, None, "")
-    stack, made = [root], 0
+    stack, made, every = [root], 0, [root]
     parts: list[str] = []
     linked, link_depth, at = 0, 0, 0
     pressed, inside_button = 0, False
@@ -142,10 +156,23 @@ def blocks(page: str) -> list[tuple[str, Node, int]]:
             made += 1
             names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if rest else ""
             stack.append(Node(tag, made, stack[-1], names))
+            every.append(stack[-1])
     if at < len(page) and not stack[-1].hidden:
         parts.append(entities.unescape(page[at:]))
     flush()
-    return [b for b in out if not b[1].hidden]
+    out = [b for b in out if not b[1].hidden]
+    for text, node, link in out:
+        if len(text) > 120 and 2 * link < len(text):
+            node.prose += len(text)
+    for node in reversed(every):  # children have greater numbers than their parents
+        node.holds = max(node.holds, {"article": 1, "main": 2, "h1": 2}.get(node.tag, 0))
+        if node.parent is not None:
+            node.parent.prose += node.prose
+            # The heading of a comment or of an aside is not the page's.
+            node.parent.holds = max(node.parent.holds, 0 if node.tag in ASIDE else node.holds)
+    for node in every:
+        node.judge(root.prose)
+    return out
 
 
 def leaning(text: str, node: Node, linked: int) -> float:
