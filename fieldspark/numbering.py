@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from .checkpoint import Scratch, written
 
 
-def _free(df: DataFrame, name: str) -> str:
-    have = {c.lower() for c in df.columns}
+def _free(df: DataFrame, name: str, out: str) -> str:
+    """A name that neither df nor the result's column has."""
+    have = {c.lower() for c in (*df.columns, out)}
     while name.lower() in have:
         name = "_" + name
     return name
 
 
-def _ranged(rows: DataFrame, order: list, by: list[str], scratch: Scratch | None, parts: int | None) -> tuple[DataFrame, str]:
+def _ranged(rows: DataFrame, order: list, out: str, by: list[str], scratch: Scratch | None, parts: int | None) -> tuple[DataFrame, str]:
     """rows in ranges of (by, order), written, with a column that grows along the order; its upper bits are the range."""
-    place = _free(rows, "place")
+    place = _free(rows, "place", out)
     how = [F.col(c).asc_nulls_first() for c in by] + [c if isinstance(c, Column) else F.col(c).asc_nulls_first() for c in order]
     ranged = rows.repartitionByRange(*([parts] if parts else []), *how).sortWithinPartitions(*how)
     ranged = ranged.withColumn(place, F.monotonically_increasing_id())
@@ -31,15 +32,15 @@ def _ranged(rows: DataFrame, order: list, by: list[str], scratch: Scratch | None
 
 
 def _added(rows: DataFrame, order: list, value: Column, out: str, by: list[str], inclusive: bool, scratch: Scratch | None, parts: int | None) -> DataFrame:
-    ranged, place = _ranged(rows, order, by, scratch, parts)
-    part, before = _free(ranged, "part"), _free(ranged, "before")
+    ranged, place = _ranged(rows, order, out, by, scratch, parts)
+    part, before = _free(ranged, "part", out), _free(ranged, "before", out)
     ranged = ranged.withColumn(part, F.shiftright(place, 33).cast("int"))
     sums = ranged.groupBy(*by, part).agg(F.sum(value).alias(before))
     own = W.partitionBy(*by).orderBy(part)
     # Keys of one range have nothing before them; a range begins inside one key at most.
     sums = sums.withColumn(before, F.sum(before).over(own.rowsBetween(W.unboundedPreceding, -1))).where(F.col(before).isNotNull())
-    names = [_free(ranged, f"key{i}") for i in range(len(by))]
-    key_part = _free(ranged, "key_part")
+    names = [_free(ranged, f"key{i}", out) for i in range(len(by))]
+    key_part = _free(ranged, "key_part", out)
     sums = sums.select(*[F.col(c).alias(name) for c, name in zip(by, names, strict=True)], F.col(part).alias(key_part), before)
     here = ranged[part] == sums[key_part]
     for c, name in zip(by, names, strict=True):
