@@ -10,7 +10,7 @@ time, the cut leaves each within about a document of its target.
 Scale. Running sums never put a source or the whole table into one task: a source is cut into ``spread``
 blocks by the same hash, sums of blocks are added up over the small table of blocks, and
 rows only within their block. The global order is a range partition with the same two levels: sums
-of virtual-time slices, then rows within the slice.
+of virtual-time slices (added up in ranges), then rows within the slice.
 
 Everything is DataFrame functions.
 
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..numbering import running_sum
 from .shared import unused, written
 
 #: What separates words, [\x20\x09-\x0D]; a word is a run of other characters.
@@ -98,7 +99,7 @@ def shares(
     slice_ = F.floor(F.col("finish") * spread).cast("long")
     entries = written(entries.withColumn("slice", slice_), "entries")
     slices = entries.groupBy("slice").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
-    slices = slices.withColumn("before", F.coalesce(F.sum("words").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    slices = running_sum(slices, ["slice"], "words", "before")  # sources far below their target make many slices
     budget = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
     slices = slices.crossJoin(F.broadcast(budget)).select("slice", "before", "budget")  # one row of budget
     order = W.partitionBy("slice").orderBy("finish", F.col("source").isNull(), F.encode("source", "utf-8"), "place", "nth", "pass")
@@ -124,7 +125,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 #: The same rows as shares() with its defaults, over a table documents.
 SHARES_SQL = r"""
 WITH own AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
          md5('mix' || coalesce(doc_id::VARCHAR, 'null')) AS place
   FROM documents
 ), sizes AS (
