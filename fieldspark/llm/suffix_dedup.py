@@ -304,18 +304,18 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+        ids, *code = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, *range(3, batch.num_columns)))
         row, first, _, _, k1, k2, _, at = _found(batch, later=True)
         for lo in range(0, len(row), 50_000):
             p = slice(lo, lo + 50_000)
-            out = [k1[p], k2[p], ids[row[p]], first[p] - at[row[p]], code[row[p]]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["k1", "k2", "id", "at", "text_hash"])
+            out = [k1[p], k2[p], ids[row[p]], first[p] - at[row[p]], *(c[row[p]] for c in code)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["k1", "k2", "id", "at", "text_hash"][: len(out)])
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of bytes under windows that a smaller id holds."""
     for batch in batches:
-        ids, at, code = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        ids, at, *code = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, *range(3, batch.num_columns)))
         raw, ends = tb.utf8(batch.column(2))
         runs, count = np.frombuffer(raw.tobytes(), RUN), np.diff(ends) // RUN.itemsize
         row, n = np.repeat(np.arange(len(ids)), count), runs["n"].astype(np.int64)
@@ -323,8 +323,8 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before -= np.repeat(before[np.cumsum(count) - count] if len(before) else before, count) if len(before) else 0
         use = runs["doc"] < ids[row]
         begin = (at[row] + before)[use]
-        out = [ids[row][use], code[row][use], begin, begin + n[use] + LENGTH - 1]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["id", "text_hash", "lo", "hi"])
+        out = [ids[row][use], *(c[row][use] for c in code), begin, begin + n[use] + LENGTH - 1]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["id", *["text_hash"] * len(code), "lo", "hi"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,34 +367,41 @@ def _several(own: DataFrame, scratch: Scratch) -> DataFrame | None:
 
 
 def _hashed(rows: DataFrame, several: DataFrame | None, id_col: str, text_col: str, out: str) -> DataFrame:
-    """rows with a column that tells the texts of one id apart: their hash, or 0 where an id has one text."""
+    """rows as they are, or where ids have several texts with a column that tells them apart: their hash, or 0 for an id with one text."""
     if several is None:
-        return rows.withColumn(out, F.lit(0).cast("long"))
+        return rows
     spare = unused(rows, "cut_several")
     rows = rows.join(several.select(F.col("id").alias(spare)), rows[id_col].cast("long") == F.col(spare), "left")
     code = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return rows.withColumn(out, F.when(F.col(spare).isNotNull(), code).otherwise(0).cast("long")).drop(spare)
 
 
+def _keys(own: DataFrame) -> list[str]:
+    return [c for c in ("id", "text_hash") if c in own.columns]
+
+
 def spans(own: DataFrame) -> DataFrame:
-    """(id, text_hash, lo, hi) from (id, text, text_hash): spans of bytes that go, each of at least LENGTH bytes; they may overlap.
+    """(id, lo, hi) from (id, text): spans of bytes that go, each of at least LENGTH bytes; they may overlap. With a column text_hash by (id, text_hash).
 
     Whole copies go at once, and the rest of the work sees one document of each text.
     """
     parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    texts = own.select("id", "text_hash", F.octet_length("text").cast("long").alias("hi"), F.sha2("text", 256).alias("sha"))
-    firsts = texts.groupBy("sha").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    by = _keys(own)
+    more = by[1:]
+    texts = own.select(*by, F.octet_length("text").cast("long").alias("hi"), F.sha2("text", 256).alias("sha"))
+    firsts = texts.groupBy("sha").agg(F.min(F.struct(*by)).alias("first"))
     copies = texts.join(firsts, "sha").where((F.col("id") > F.col("first.id")) & (F.col("hi") >= LENGTH))
-    copies = copies.select("id", "text_hash", F.lit(0).cast("long").alias("lo"), "hi")
-    once = own.join(firsts.select("first.id", "first.text_hash").distinct(), ["id", "text_hash"])
+    copies = copies.select(*by, F.lit(0).cast("long").alias("lo"), "hi")
+    once = own.join(firsts.select(*[f"first.{c}" for c in by]).distinct(), by)
 
     blocks = once.select("id", "text").mapInArrow(_minimizers(max(4, parts // 3)), "bucket int, least long, value binary, doc binary")
     marks = blocks.groupBy("bucket").applyInArrow(_held_twice(COMMON), "id long, mark int").groupBy("id").agg(F.collect_list("mark").alias("marks"))
-    marked = once.join(marks, "id").select("id", "text", "marks", "text_hash")
+    marked = once.join(marks, "id").select("id", "text", "marks", *more)
     distinct = marked.mapInArrow(_distinct_pieces(16 * parts), "part int, low long, high long, piece binary")
     least = distinct.groupBy("part").applyInArrow(_least_ids, "k1 long, k2 long, runs binary")
-    where = marked.mapInArrow(_occurrences, "k1 long, k2 long, id long, at long, text_hash long")
-    covered = where.join(least, ["k1", "k2"]).select("id", "at", "runs", "text_hash").mapInArrow(_covered, "id long, text_hash long, lo long, hi long")
+    kind = "".join(f", {c} long" for c in more)
+    where = marked.mapInArrow(_occurrences, f"k1 long, k2 long, id long, at long{kind}")
+    covered = where.join(least, ["k1", "k2"]).select("id", "at", "runs", *more).mapInArrow(_covered, f"id long{kind}, lo long, hi long")
     return covered.union(copies)
 
 
@@ -402,9 +409,10 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for each row of docs."""
     own = _ids_and_texts(docs, id_col, text_col)
     own = _hashed(own, _several(own, Scratch(docs.sparkSession)), "id", "text", "text_hash")
-    gone = spans(own).groupBy("id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    by = _keys(own)
+    gone = spans(own).groupBy(*by).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
-    joined = own.join(gone, ["id", "text_hash"], "left").select("id", "text", "spans").union(nameless.withColumn("spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")))
+    joined = own.join(gone, by, "left").select("id", "text", "spans").union(nameless.withColumn("spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(_without, schema).withColumnRenamed("id", id_col)
 
@@ -426,10 +434,12 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     key, spans_col, code, own_code = (unused(docs, f"cut_{c}") for c in ("id", "spans", "code", "own_code"))
     own = _ids_and_texts(docs, id_col, text_col)
     several = _several(own, Scratch(docs.sparkSession))
-    gone = spans(_hashed(own, several, "id", "text", "text_hash")).groupBy("id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias(spans_col))
-    gone = gone.withColumnsRenamed({"id": key, "text_hash": code})
+    own = _hashed(own, several, "id", "text", "text_hash")
+    by = _keys(own)
+    gone = spans(own).groupBy(*by).agg(F.collect_list(F.struct("lo", "hi")).alias(spans_col)).withColumnsRenamed({"id": key, "text_hash": code})
     docs = _hashed(docs, several, id_col, text_col, own_code)
-    joined = docs.join(gone, (docs[id_col].cast("long") == gone[key]) & (docs[own_code] == gone[code]), "left")
+    same = docs[id_col].cast("long") == gone[key]
+    joined = docs.join(gone, same & (docs[own_code] == gone[code]) if len(by) > 1 else same, "left")
     docs = docs.drop(own_code)
     others = [c for c in docs.columns if c != text_col]
     joined = joined.select(*[docs[c] for c in others], docs[text_col], spans_col)
