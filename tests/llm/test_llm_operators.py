@@ -234,7 +234,7 @@ def centres(seed, n, copies):
         middle = list(base)
         for j in rng.sample(range(1, 100), 4):
             middle[j] = f"centre{c}x{j}"
-        rows.append((90_000 + c, " ".join(middle)))
+        rows.append((900_000 + c, " ".join(middle)))  # no id of its copies
         for k in range(copies):
             words = list(middle)
             for j in rng.sample(range(1, 100), 2):
