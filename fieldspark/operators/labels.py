@@ -24,13 +24,15 @@ def subplot_labels(cells: DataFrame, how: str = "rowcol", start_row: int = 1, st
     return cells.withColumn("label", F.concat(F.lit(prefix), name, F.lit(suffix)))
 
 
-def plant_ids(ordered: DataFrame, how: str = "ridge", start: int = 1, ascending: bool = True, pattern: str = "R{ridge}-{plant}", by: list[str] | None = None) -> DataFrame:
+def plant_ids(ordered: DataFrame, how: str = "ridge", start: int = 1, ascending: bool = True, pattern: str = "R{ridge}-{plant}", by: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Adds plant_id to plants on a ridge (by.., fid, ridge_id, along): "ridge" 3-7, "numeric" over the key, or "custom" by pattern.
 
-    Plants are counted along their ridge from start, ties by fid. Others get null.
+    Plants are counted along their ridge from start, ties by fid. Others get null. With digits, places along are compared as rounded to so
+    many: the last bits of a projection follow the order in which its origin is added up, and would decide between plants side by side.
     """
     by = by or BY
-    along = F.col("along") if ascending else -F.col("along")
+    place = F.col("along") if digits is None else F.round("along", digits)
+    along = place if ascending else -place
     on = F.col("ridge_id") >= 0
     plant = F.row_number().over(W.partitionBy(*by, "ridge_id").orderBy(along, "fid")) + (start - 1)
     ridge = (F.col("ridge_id") + start).cast("string")

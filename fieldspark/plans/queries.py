@@ -20,6 +20,8 @@ from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
 WIDTH, DISTANCE, HEIGHT, BUFFER = 0.5, 2, 6, 0.8
+#: Digits of places along a ridge; what is less is rounding noise.
+ALONG = 6
 
 
 def r6(c: str | Column) -> Column:
@@ -179,12 +181,12 @@ def ransac_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {_ASSIGNED}, w AS (SELECT o.field_id, o.fid, o.ridge_id, v.along FROM ordered o JOIN v USING (field_id, fid))
-    SELECT field_id, fid, ridge_id, CASE WHEN ridge_id >= 0 THEN (ridge_id + 1) || '-' || row_number() OVER (PARTITION BY field_id, ridge_id ORDER BY along, fid) END AS plant_id FROM w"""
+    SELECT field_id, fid, ridge_id, CASE WHEN ridge_id >= 0 THEN (ridge_id + 1) || '-' || row_number() OVER (PARTITION BY field_id, ridge_id ORDER BY round(along, {ALONG}), fid) END AS plant_id FROM w"""
 )
 def plant_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _values(spark, sf_dir)
     rows = ridges.assign_ridges(values, ridges.ridge_intervals(_peaks(spark, sf_dir), BUFFER))
-    return labels.plant_ids(rows).select("field_id", "fid", "ridge_id", "plant_id")
+    return labels.plant_ids(rows, digits=ALONG).select("field_id", "fid", "ridge_id", "plant_id")
 
 
 # Detections.
