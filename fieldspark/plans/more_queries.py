@@ -399,14 +399,14 @@ def detect_ridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {base._ASSIGNED}, w AS (SELECT o.field_id, o.fid, o.ridge_id, v.along FROM ordered o JOIN v USING (field_id, fid)),
-    n AS (SELECT *, row_number() OVER (PARTITION BY field_id, ridge_id ORDER BY along DESC, fid) AS k, row_number() OVER (PARTITION BY field_id, ridge_id < 0 ORDER BY ridge_id, along DESC, fid) AS nth FROM w)
+    n AS (SELECT *, row_number() OVER (PARTITION BY field_id, ridge_id ORDER BY round(along, {base.ALONG}) DESC, fid) AS k, row_number() OVER (PARTITION BY field_id, ridge_id < 0 ORDER BY ridge_id, round(along, {base.ALONG}) DESC, fid) AS nth FROM w)
     SELECT field_id, fid, CASE WHEN ridge_id >= 0 THEN (nth + 4)::VARCHAR END AS numeric_id, CASE WHEN ridge_id >= 0 THEN 'row ' || (ridge_id + 5) || ' plant ' || (k + 4) END AS custom_id FROM n"""
 )
 def plant_ids_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers over the field and names by pattern, from the far end, counted from five."""
     rows = ridges.assign_ridges(base._values(spark, sf_dir), ridges.ridge_intervals(base._peaks(spark, sf_dir), base.BUFFER))
-    one = labels.plant_ids(rows, "numeric", start=5, ascending=False).withColumnRenamed("plant_id", "numeric_id")
-    two = labels.plant_ids(one, "custom", start=5, ascending=False, pattern="row {ridge} plant {plant}")
+    one = labels.plant_ids(rows, "numeric", start=5, ascending=False, digits=base.ALONG).withColumnRenamed("plant_id", "numeric_id")
+    two = labels.plant_ids(one, "custom", start=5, ascending=False, pattern="row {ridge} plant {plant}", digits=base.ALONG)
     return two.select("field_id", "fid", "numeric_id", F.col("plant_id").alias("custom_id"))
 
 
