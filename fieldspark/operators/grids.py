@@ -58,6 +58,17 @@ def box_pairs(a: DataFrame, b: DataFrame, by: list[str], box_a: tuple[str, ...],
     return pair.where(meet & home(low_x, "cx") & home(low_y, "cy")).drop("level", "cx", "cy", "level_a", "level_b")
 
 
+def crowds(rows: DataFrame, by: list[str], box: tuple[str, ...]) -> DataFrame:
+    """(by.., n, pairs): boxes of each key, and a bound on how many pairs of them share a point, from the boxes of each cell; null keys have none."""
+    some = rows.where(f"{box[0]} <= {box[2]} and {box[1]} <= {box[3]}").dropna(subset=by).select(*by, *box)
+    cells = _cells(some, box, _levels(some, box), "a")
+    own = F.count_if(F.col("level") == F.col("level_a"))
+    # Of boxes that stand in four cells each cell counts what meets there, so sums are bounds.
+    held = cells.groupBy(*by, "level", "cx", "cy").agg(own.cast("double").alias("own"), F.count("*").alias("every"))
+    pairs = held.groupBy(*by).agg(F.sum(F.col("own") * (F.col("every") - (F.col("own") + 1) / 2)).alias("pairs"))
+    return some.groupBy(*by).agg(F.count("*").alias("n")).join(pairs, by)
+
+
 class Boundary(NamedTuple):
     """Parts of boundaries as tables: edges (by.., part, e, ex0..ey1), parts (by.., part, bx0..by1, slab) and slabs (by.., part, nr, e)."""
 

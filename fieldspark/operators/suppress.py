@@ -4,6 +4,10 @@ A row is kept if no kept row of better rank conflicts with it. Conflicts never c
 them is walked by rank in one task. Keys with more are parted into connected components of conflicts, which are walked
 alike; only a component that is itself larger is decided in blocks of rank, each walked at once. Intermediate tables are
 written to the shared folder, but for small tables.
+
+Boxes in a crowd have conflicts with the square of their number, and these are never listed: of a crowded key the best ranks are
+decided first, so few that their conflicts are some a box, and what they keep drops its neighbours among all others, of which each
+meets a few kept boxes. What is left is asked again.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ AT_ONCE = 1_000_000
 PEELED = 4
 #: Conflicts of a whole table that are walked without writing anything.
 FEW = 20_000
+#: Pairs of a key, and for each of its boxes, that are listed at once.
+WHOLE, EACH = 50_000, 16
+#: Shares of ranks that a block may have, as powers of a half.
+HALVES = 24
 
 
 def _walk(keys: list[str]):
@@ -132,15 +140,53 @@ def ranked(detections: DataFrame, by: list[str], scratch: Scratch | None = None)
     return numbered.withColumn("rank", F.col("rank").cast("int"))
 
 
-def box_conflicts(boxes: DataFrame, overlap, limit: float, by: list[str]) -> DataFrame:
-    """Pairs of boxes of a key whose overlap is over limit, the better ranked as _a. Boxes of any sizes meet through a hierarchy of grids."""
-    sides = [boxes.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("rank", *BOX)]) for s in "ab"]
+def box_conflicts(boxes: DataFrame, overlap, limit: float, by: list[str], others: DataFrame | None = None) -> DataFrame:
+    """Pairs of boxes of a key (or of boxes and others) whose overlap is over limit, the better ranked as _a. Boxes of any sizes meet through a hierarchy of grids."""
+    sides = [rows.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("rank", *BOX)]) for s, rows in (("a", boxes), ("b", boxes if others is None else others))]
     names = [tuple(f"{c}_{s}" for c in BOX) for s in "ab"]
     pair = grids.box_pairs(*sides, by, *names).where("rank_a < rank_b")
     pair = pair.where(overlap(*[tuple(F.col(c) for c in box) for box in names]) > limit)
     return pair.select(*[F.col(k).alias(f"{k}_{s}") for s in "ab" for k in by], "rank_a", "rank_b")
 
 
+def suppressed_boxes(boxes: DataFrame, overlap, limit: float, by: list[str]) -> DataFrame:
+    """Kept boxes (by.., rank, gx0..gy1 and other columns): no kept box of better rank overlaps them over limit.
+
+    A key whose cells bound its pairs by more than it may list at once is decided in blocks of rank. If a block leaves most of the boxes
+    behind it, they conflict less than their cells suggest, and the next block is twice the share: so rounds are few for any boxes.
+    """
+    keys, scratch = [*by, "rank"], Scratch(boxes.sparkSession)
+    left, kept, at_once = boxes, [], 1
+    room = F.greatest(F.lit(WHOLE), EACH * F.col("n"))
+    while True:
+        crowded = scratch.written(grids.crowds(left, by, BOX).where(F.col("pairs") > room), "crowded")
+        before = crowded.agg(F.sum("n")).first()[0]
+        if before is None:
+            break
+        # Conflicts go with the square of the share of ranks.
+        share = F.least(F.sqrt(at_once * F.least(room, F.lit(AT_ONCE)) / F.col("pairs")), F.lit(1.0))
+        nth = F.least(F.ceil(-F.log2(share)).cast("int"), F.lit(HALVES)) + 1
+        ends = F.percentile_approx("rank", F.array(*[F.lit(0.5**k) for k in range(HALVES + 1)]), F.lit(100_000)).alias("ends")
+        some = left.join(crowded.select(*by), by, "left_semi").groupBy(*by).agg(ends).join(crowded, by)
+        some = scratch.written(some.select(*by, F.element_at("ends", nth).alias("_end")), "ends")
+        parted = scratch.written(left.join(some, by, "left"), "parted")
+        block, rest = parted.where("rank <= _end").drop("_end"), parted.where("rank > _end").drop("_end")
+        best = scratch.written(greedy_suppress(block, box_conflicts(block, overlap, limit, by), keys), "best")
+        gone = _named(box_conflicts(best, overlap, limit, by, rest), [f"{k}_b" for k in keys], keys).distinct()
+        rest = scratch.written(rest.join(gone, keys, "left_anti"), "rest")
+        kept.append(best)
+        if rest.count() > 0.75 * before:
+            at_once *= 4
+        left = scratch.written(rest.unionByName(parted.where("_end is null").drop("_end")), "left")
+    left = greedy_suppress(left, box_conflicts(left, overlap, limit, by), keys)
+    if kept:
+        for more in kept:
+            left = left.unionByName(more)
+        left = written(left, "kept")
+    scratch.drop()
+    return left
+
+
 def nms(detections: DataFrame, iou: float = 0.5, ios: float | None = None, by: list[str] | None = None) -> DataFrame:
     """Kept detections with their rank: boxes over iou with a better kept box go, then among the rest those over ios.
 
@@ -152,7 +198,7 @@ def nms(detections: DataFrame, iou: float = 0.5, ios: float | None = None, by: l
     scratch.drop()
     for overlap, limit in ((geom.iou, iou), (geom.ios, ios)):
         if limit is not None:
-            kept = greedy_suppress(kept, box_conflicts(kept, overlap, limit, by), [*by, "rank"])
+            kept = suppressed_boxes(kept, overlap, limit, by)
     return kept
 
 

@@ -181,3 +181,29 @@ def test_a_component_larger_than_a_walk(spark, monkeypatch, peeled):
     assert len([w for w in want if w[0] == 1]) == 150 and 10 < len([w for w in want if w[0] == 2]) < 60
     blocks = suppress.greedy_suppress(df, conflicts, ["raster_id", "rank"], at_once=90, few=0)
     assert sorted((r.raster_id, r.idx) for r in blocks.collect()) == want
+
+
+def crowd(spark, n):
+    random.seed(3)
+    rows = []
+    for i in range(n):
+        x, y, s = random.gauss(0, 6), random.gauss(0, 6), random.choice((5.0, 5.5, 9.0))
+        rows.append((i % 2, 0, 0, i, x, y, x + s, y + s, round(random.random(), 2)))
+    return spark.createDataFrame([*rows, (None, 0, 0, n, 0.0, 0.0, 5.0, 5.0, 0.5), (None, 0, 0, n + 1, 0.0, 0.0, 5.0, 5.0, 0.5)], BOXES)
+
+
+def test_conflicts_of_a_crowd_are_not_all_listed(spark, monkeypatch):
+    n, listed, plain = 4000, [], suppress.greedy_suppress
+    df = crowd(spark, n)
+
+    def counted(nodes, conflicts, keys, *more, **how):
+        listed.append(conflicts.count())
+        return plain(nodes, conflicts, keys, *more, **how)
+
+    monkeypatch.setattr(suppress, "greedy_suppress", counted)
+    found = sorted(r.idx for r in suppress.nms(df, 0.1).collect())
+    assert max(listed) <= 2 * suppress.WHOLE  # all conflicts are 677,774
+    monkeypatch.setattr(suppress, "greedy_suppress", plain)
+    ranked = suppress.ranked(df, ["raster_id"])
+    whole = plain(ranked, suppress.box_conflicts(ranked, geom.iou, 0.1, ["raster_id"]), ["raster_id", "rank"])
+    assert found == sorted(r.idx for r in whole.collect()) and {n, n + 1} <= set(found)
