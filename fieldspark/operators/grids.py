@@ -69,6 +69,22 @@ def crowds(rows: DataFrame, by: list[str], box: tuple[str, ...]) -> DataFrame:
     return some.groupBy(*by).agg(F.count("*").alias("n")).join(pairs, by)
 
 
+def all_pairs(a: DataFrame, b: DataFrame, by: list[str], id_a: str, id_b: str, shares_a: int = 8, shares_b: int = 8) -> DataFrame:
+    """Every row of a with every row of b of one key; other columns of a and b must have different names.
+
+    A key's pairs are dealt to shares_a * shares_b blocks by the hash of the ids, so that a few large keys are no few long tasks. A row
+    is repeated once for each share of the other side, and the blocks are merged from sorted rows, which spill.
+    """
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.withColumn("_share_a", deal(id_a, shares_a)).withColumn("_share_b", every(shares_b))
+    b = b.withColumn("_share_b", deal(id_b, shares_b)).withColumn("_share_a", every(shares_a))
+    keys, parts = [*by, "_share_a", "_share_b"], max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Work follows the pairs and not the bytes exchanged: partitions stay as many, and rows, more than Spark expects, are not broadcast.
+    a, b = (rows.repartition(parts, *keys) for rows in (a, b))
+    return a.join(b.hint("merge"), keys).drop("_share_a", "_share_b")
+
+
 class Boundary(NamedTuple):
     """Parts of boundaries as tables: edges (by.., part, e, ex0..ey1), parts (by.., part, bx0..by1, slab) and slabs (by.., part, nr, e)."""
 

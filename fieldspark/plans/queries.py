@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..operators import labels, polygons, rasters, ridges, suppress
+from ..operators import grids, labels, polygons, rasters, ridges, suppress
 from ..operators import points as pt
 from ..sources import tables
 from ..streaming import edits as ed
@@ -298,9 +298,10 @@ def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of the boxes of one slice."""
     rows = d.detections(spark, sf_dir)
     one, two = (rows.select("raster_id", "row", "col", F.col("idx").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in suppress.BOX]) for s in "ab")
-    pair = one.join(two, ["raster_id", "row", "col"]).where("a < b")
+    pair = grids.all_pairs(one, two, ["raster_id", "row", "col"], "a", "b").where("a < b")
     boxes = [tuple(F.col(f"{c}_{s}") for c in suppress.BOX) for s in "ab"]
-    return pair.select("raster_id", "a", "b", r6(geom.iou(*boxes)).alias("iou"), r6(geom.ios(*boxes)).alias("ios"))
+    rounded = lambda v: F.when(v == 0, F.lit(0.0)).otherwise(r6(v))  # noqa: E731  most boxes are apart
+    return pair.select("raster_id", "a", "b", rounded(geom.iou(*boxes)).alias("iou"), rounded(geom.ios(*boxes)).alias("ios"))
 
 
 _GRID = """

@@ -121,3 +121,19 @@ def test_a_boundary_of_many_vertices(spark):
         kept = polygons.keep_cells(cells, boundary, mode).select("fid").withColumn("kept", F.lit(True))
         odd = cells.join(kept, "fid", "left").where(((far < low) & F.col("kept").isNull()) | ((far > high) & F.col("kept").isNotNull()))
         assert odd.count() == 0
+
+
+def test_pairs_of_one_large_key_are_many_blocks(spark):
+    a = spark.range(400).selectExpr("id % 2 * 0 as k", "id as a")
+    b = spark.range(300).selectExpr("cast(0 as bigint) as k", "id as b")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small blocks are put together
+    try:
+        pairs = grids.all_pairs(a, b, ["k"], "a", "b")
+        sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == pairs.distinct().count() == 400 * 300
+        assert len(sizes) == 4 and max(sizes) < 0.6 * sum(sizes)  # the session has four partitions
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    one = grids.all_pairs(a, b, ["k"], "a", "b", 32, 1)
+    assert one.count() == one.distinct().count() == 400 * 300
