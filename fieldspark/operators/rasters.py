@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from .grids import all_pairs
 from .polygons import keep_cells
 
 
@@ -162,12 +163,21 @@ def slice_results(found: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.select(*columns)
 
 
-def crop_windows(points: DataFrame, rasters_by_date: DataFrame, size: float, in_pixels: bool = False, by: list[str] | None = None) -> DataFrame:
-    """Time-series crops: for each point and each dated raster of its key the geo bounds of a square of size metres or pixels."""
-    by = by or ["field_id"]
-    rows = points.select(*by, "fid", "x", "y").join(rasters_by_date, by)
-    box = geom.pixel_square_from_geo(F.col("x"), F.col("y"), F.lit(float(size))) if in_pixels else geom.square_around(F.col("x"), F.col("y"), F.lit(float(size)))
-    return rows.withColumns(dict(zip(("left", "bottom", "right", "top"), box, strict=True)))
+def crop_windows(points: DataFrame, rasters_by_date: DataFrame, size: float, in_pixels: bool = False, by: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """Time-series crops: for each point and each dated raster of its key the geo bounds of a square of size metres or pixels.
+
+    With digits, bounds are rounded. Squares in metres are the same on every raster, so they are found before points meet rasters; a key's points are
+    dealt to shares, so keys with many points and rasters are many tasks.
+    """
+    by, names = by or ["field_id"], ("left", "bottom", "right", "top")
+    spots = points.select(*by, "fid", "x", "y")
+    box = geom.pixel_square_from_geo if in_pixels else geom.square_around
+    bounds = box(F.col("x"), F.col("y"), F.lit(float(size)))
+    found = {n: c if digits is None else F.round(c, digits) + F.lit(0.0) for n, c in zip(names, bounds, strict=True)}
+    dated = rasters_by_date.drop(*names)
+    rows = all_pairs(spots if in_pixels else spots.withColumns(found), dated, by, "fid", "raster_id", 32, 1)
+    rows = rows.withColumns(found) if in_pixels else rows
+    return rows.select(*by, "fid", "x", "y", *[c for c in dated.columns if c not in by], *names)
 
 
 def crop_series(

@@ -474,8 +474,8 @@ def tile_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = d.rasters(spark, sf_dir).withColumn("field_id", F.col("raster_id") % 10)
-    rows = rasters.crop_windows(d.scatter(spark, sf_dir), dated, 1.5)
-    return _rounded(rows.select("field_id", "fid", "raster_id", "left", "bottom", "right", "top"), "left", "bottom", "right", "top")
+    rows = rasters.crop_windows(d.scatter(spark, sf_dir), dated, 1.5, digits=6)
+    return rows.select("field_id", "fid", "raster_id", "left", "bottom", "right", "top")
 
 
 # Edits and names.

@@ -207,3 +207,16 @@ def test_conflicts_of_a_crowd_are_not_all_listed(spark, monkeypatch):
     ranked = suppress.ranked(df, ["raster_id"])
     whole = plain(ranked, suppress.box_conflicts(ranked, geom.iou, 0.1, ["raster_id"]), ["raster_id", "rank"])
     assert found == sorted(r.idx for r in whole.collect()) and {n, n + 1} <= set(found)
+
+
+@pytest.mark.parametrize("in_pixels", [False, True])
+def test_crops_of_one_field_are_many_tasks(spark, in_pixels):
+    points = spark.range(0, 200, 1, 1).selectExpr("id % 2 * 0 + 7 as field_id", "id as fid", "id / 3 as x", "id / 7 as y")
+    dated = spark.range(0, 50, 1, 1).selectExpr("id % 2 * 0 + 7 as field_id", "id as raster_id", "0.5D as a", "0D as b", "0D as c", "0D as d", "-0.5D as e", "0D as f", "id as date")
+    rows = rasters.crop_windows(points, dated, 3.0, in_pixels, digits=3)
+    assert rows.columns == ["field_id", "fid", "x", "y", "raster_id", "a", "b", "c", "d", "e", "f", "date", "left", "bottom", "right", "top"]
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == rows.select("fid", "raster_id").distinct().count() == 200 * 50 and max(sizes) < 0.6 * sum(sizes)
+    one = rows.where("fid = 100 and raster_id = 9").first()
+    half = 0.75 if in_pixels else 1.5
+    assert (one.left, one.top) == (round(100 / 3 - half, 3), round(100 / 7 + half, 3))
