@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geom
@@ -67,7 +68,9 @@ def read_windows(tiles: DataFrame, windows: DataFrame, keys: list[str] | None =
     hit = rows.join(some, ["raster_id", "tile_row", "tile_col"])
     left, top = F.col("tile_col") * F.col("tw"), F.col("tile_row") * F.col("th")
     hit = hit.withColumns({"cx0": F.greatest("x0", left), "cx1": F.least(F.col("x1"), left + F.col("tile_w")), "cy0": F.greatest("y0", top), "cy1": F.least(F.col("y1"), top + F.col("tile_h"))})
-    hit = hit.where("cx1 > cx0 and cy1 > cy0").withColumn("y", F.explode(F.sequence("cy0", F.col("cy1") - 1)))
+    # Tiles go to their windows whole and once: what follows is grouped by the keys, in place. Work follows pixels and not bytes, so partitions stay as many.
+    parts = max(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    hit = hit.where("cx1 > cx0 and cy1 > cy0").repartition(parts, *keys).withColumn("y", F.explode(F.sequence("cy0", F.col("cy1") - 1)))
     part = F.slice("pixels", ((F.col("y") - top) * F.col("tile_w") + F.col("cx0") - left + 1).cast("int"), (F.col("cx1") - F.col("cx0")).cast("int"))
     hit = hit.select(*keys, "band", "x0", "y0", "x1", "y1", "y", "cx0", "cx1", part.alias("part"))
     # One line of a window from its tiles, left to right, with zeros between and around them.
@@ -79,9 +82,12 @@ def read_windows(tiles: DataFrame, windows: DataFrame, keys: list[str] | None =
         lambda s, p: F.struct(p["cx1"].alias("at"), F.concat(s["v"], zeros(p["cx0"] - s["at"]), p["part"]).alias("v")),
     )
     line = line.withColumn("s", state).withColumn("line", F.concat(F.col("s.v"), zeros(F.col("x1") - F.col("s.at"))))
-    whole = line.groupBy(*keys, "band").agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    whole = line.groupBy(*keys).agg(F.collect_list(F.struct("band", "y", "line")).alias("found"))
+    every = every.join(whole, keys, "left")
     every = every.withColumn("band", F.explode(F.coalesce("bands", F.array(F.lit(1))))).drop("tw", "th", "bands")
-    every = every.join(whole, [*keys, "band"], "left")
+    own_band = F.filter("found", lambda r: r["band"] == F.col("band"))
+    lines = F.map_from_entries(F.transform(own_band, lambda r: F.struct(r["y"], r["line"])))
+    every = every.withColumn("lines", lines).drop("found")
     empty = zeros(F.col("x1") - F.col("x0"))
     pixels = F.flatten(F.transform(F.sequence("y0", F.col("y1") - 1), lambda y: F.coalesce(F.try_element_at("lines", y), empty)))
     moved = {}
@@ -129,8 +135,8 @@ def geo_windows(centers: DataFrame, rasters: DataFrame, size: int = 640) -> Data
 def normalize_images(windows: DataFrame, keys: list[str] | None = None, is_uint8: Column | None = None) -> DataFrame:
     """pixels as whole numbers 0..255: trunc(v / max * 255) by the greatest value over a window's bands; 0 where that is not positive."""
     keys = keys or ["raster_id", "row", "col"]
-    top = windows.groupBy(*keys).agg(F.max(F.array_max("pixels")).alias("_top"))
-    rows = windows.join(top, keys)
+    # Over the rows themselves, as windows from read_windows() stand by their keys already and are not read twice.
+    rows = windows.dropna(subset=keys).withColumn("_top", F.max(F.array_max("pixels")).over(W.partitionBy(*keys)))
     scaled = F.transform("pixels", lambda v: F.when(F.col("_top") > 0, (v / F.col("_top") * 255).cast("int")).otherwise(0))
     plain = F.transform("pixels", lambda v: v.cast("int"))
     return rows.withColumn("pixels", scaled if is_uint8 is None else F.when(is_uint8, plain).otherwise(scaled)).drop("_top")

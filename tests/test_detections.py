@@ -220,3 +220,14 @@ def test_crops_of_one_field_are_many_tasks(spark, in_pixels):
     one = rows.where("fid = 100 and raster_id = 9").first()
     half = 0.75 if in_pixels else 1.5
     assert (one.left, one.top) == (round(100 / 3 - half, 3), round(100 / 7 + half, 3))
+
+
+def test_normalized_crops_read_their_windows_once(spark):
+    tiles = spark.createDataFrame([(1, 0, c, 2, 2, b, [1.0 * b, 2.0, 3.0, 4.0 + c + b]) for c in (0, 1) for b in (1, 2)], "raster_id long, tile_row int, tile_col int, tile_w int, tile_h int, band int, pixels array<double>")
+    windows = spark.createDataFrame([(1, 5, 1, 0, 4, 3), (2, 6, 0, 0, 1, 1)], "raster_id long, center_id long, x0 int, y0 int, x1 int, y1 int")
+    keys = ["raster_id", "center_id"]
+    rows = rasters.normalize_images(rasters.read_windows(tiles, windows, keys), keys)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("explode(sequence(cy0") == 1
+    found = {(r.raster_id, r.band): r.pixels for r in rows.collect()}
+    scaled = lambda *v: [int(x / 7 * 255) for x in v]  # noqa: E731  the greatest value of both bands is 7
+    assert found == {(1, 1): scaled(2, 1, 2, 5, 3, 6, 0, 0, 0), (1, 2): scaled(2, 2, 2, 6, 3, 7, 0, 0, 0), (2, 1): [0]}
