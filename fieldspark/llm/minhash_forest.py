@@ -20,7 +20,8 @@ is common. Keys hold some three shingles each, so sets that merely share usual
 shingles or a template do not meet. The order is by how often a key is in a sample, then by
 hash; the sample only orders, any order finds all pairs. Keys that one component alone
 has are dropped before anything is compared, so a large group of near copies costs nothing; sets under
-a key first meet its most central set, and only keys that still join different components make pairs.
+a key first meet its most central set, and only keys that still join different components make pairs. A pair is
+made under the first key that its sets share and, but for keys that stand far apart, under no other.
 
 Two cuts spare the full comparison. The lowest bits of 128 minima may differ by a tail of 1e-9 (if minima were
 independent). The parities of the shingles in 512 ranges differ in no more places than the sets differ in
@@ -43,12 +44,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..numbering import row_numbers
 from . import textbytes as tb
-from .shared import Scratch, connected_components, unused, written
+from .shared import Scratch, connected_components, small_batches, unused, written
 
 TREES, DEPTH, SHORTEST, REACH = 16, 8, 2, 3
 #: Ranges whose parities bound how much two sets differ; a power of two.
@@ -59,6 +61,10 @@ FEW = 1 << 20
 ROWS = 1 << 13
 #: One document in SAMPLE, and at most USUAL keys of those, only say in which order keys are taken.
 SAMPLE, USUAL = 8, 1 << 19
+#: Keys of a set before one it shares that tell whether a pair has met before.
+EARLIER = 4
+#: Bytes of texts that a worker turns into arrays at once.
+AT_ONCE = 1 << 18
 _PLACES = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -147,7 +153,7 @@ def _signed(size: int, trees: int, depth: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in tb.chunks(batch.column(1)):
+            for lo, hi, data, at in tb.chunks(batch.column(1), AT_ONCE):
                 sets = shingle_hashes(data, at, size)
                 count = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(count)
@@ -298,7 +304,7 @@ def _confirmed(size: int, num: int, den: int):
 def _keys(size: int, num: int, den: int, usual):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in tb.chunks(batch.column(1)):
+            for lo, hi, data, at in tb.chunks(batch.column(1), AT_ONCE):
                 keys = _rarest(shingle_hashes(data, at, size), num, den, usual.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), keys], names=["id", "keys"])
 
@@ -323,7 +329,7 @@ def _usual_keys(own: DataFrame, size: int, num: int, den: int) -> tuple[np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in tb.chunks(batch.column(0)):
+            for _, _, data, at in tb.chunks(batch.column(0), AT_ONCE):
                 _, _, key, _ = _ranges(shingle_hashes(data, at, size), num, den)
                 every, count = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count.astype(np.int64))], names=["key", "c"])
@@ -357,6 +363,22 @@ def _within(num: int, den: int, x: str = "odd", y: str = "odd_b", n: str = "n",
     return (num + den) * unequal <= (den - num) * (F.col(n) + F.col(m))
 
 
+def _with_earlier(held: DataFrame) -> DataFrame:
+    """Distinct rows (id, key, ..) with the last ``EARLIER`` keys that the id has before each key, in ascending order of keys."""
+    before = W.partitionBy("id").orderBy("key").rowsBetween(-EARLIER, -1)
+    return held.withColumn("earlier", F.collect_list("key").over(before))
+
+
+def _meeting(held: DataFrame, other: DataFrame, could: Column) -> DataFrame:
+    """Pairs (a, b) of held(id, key, earlier, ..) and other(id_b, key, earlier_b, ..), the same rows, that satisfy could, which must not depend on the key.
+
+    Two sets that share one of their last keys too have met before. Under the first key that they share they have not, so
+    no pair is lost, whatever ``EARLIER`` is; it may come more than once.
+    """
+    new = (F.col("id") > F.col("id_b")) & could & ~F.arrays_overlap("earlier", "earlier_b")
+    return held.join(other, "key").where(new).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast if it has at most ``FEW`` rows, so that texts are not exchanged for it."""
     return F.broadcast(ids) if ids.count() <= FEW else ids
@@ -381,7 +403,9 @@ def components(
     Documents are linked if den * |intersection| >= num * |union| of their sets of
     ``shingle``-word shingles; component_id is the smallest id that links reach.
     """
-    out = _grouped(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, num, den, trees, depth)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with small_batches(docs.sparkSession):
+        out = _grouped(own, shingle, num, den, trees, depth)
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
@@ -503,25 +527,25 @@ def _grouped(own: DataFrame, shingle: int, num: int, den: int, trees: int, depth
     apart = held.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     words = F.array(*[F.conv(F.hex(F.substring("odd", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(PARITIES // 64)])
     held = held.join(apart, "key", "left_semi").join(classes.select("id", "n", "u", "v", words.alias("odd")), "id")
-    held = scratch.written(held, "apart")
+    held = scratch.written(_with_earlier(held), "apart")
     if not held.isEmpty():
         # Under each key first its most central set: the one with most keys that others have too.
-        mine = held.join(held.groupBy("id").agg(F.count("*").alias("pop")), "id")
+        mine = held.drop("earlier").join(held.groupBy("id").agg(F.count("*").alias("pop")), "id")
         theirs = ("component", "n", "u", "v", "odd")
         leaders = mine.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("minus"), *theirs)).alias("top"))
         named = [F.col(f"top.{c}").alias(d) for c, d in zip(theirs, ("other", "m", "x", "y", "odd_b"), strict=True)]
         leaders = leaders.select("key", (-F.col("top.minus")).alias("id_b"), *named)
         could = (F.col("component") != F.col("other")) & likely & _within(num, den)
-        led = held.join(leaders, "key").where(could).select(*_pair("id", "id_b")).distinct()
+        led = held.drop("earlier").join(leaders, "key").where(could).select(*_pair("id", "id_b")).distinct()
         led = scratch.written(led.join(pairs, ["a", "b"], "left_anti"), "led")
         late = confirm(led, texts_of(led), "late")
         if not late.isEmpty():
             links = links.union(late)
             part = joined(links)
             held = held.drop("component").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        other = held.select("key", F.col("id").alias("id_b"), *[F.col(c).alias(d) for c, d in zip(theirs, ("other", "m", "x", "y", "odd_b"), strict=True)])
-        last = held.join(other, "key").where((F.col("id") > F.col("id_b")) & could).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
-        last = scratch.written(last.distinct().join(pairs, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti"), "last")
+        named = zip((*theirs, "earlier"), ("other", "m", "x", "y", "odd_b", "earlier_b"), strict=True)
+        other = held.select("key", F.col("id").alias("id_b"), *[F.col(c).alias(d) for c, d in named])
+        last = scratch.written(_meeting(held, other, could).distinct().join(pairs, ["a", "b"], "left_anti").join(led, ["a", "b"], "left_anti"), "last")
         latest = confirm(last, texts_of(last), "latest")
         if not latest.isEmpty():
             part = joined(links.union(latest))

@@ -33,7 +33,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, CHUNK + 2)
         pair = []
         for base in (_BASE, _INVERSE):
             row = np.full(size, base, np.uint64)
