@@ -161,7 +161,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_labelled: int, k: int) -> Model:
     """Document frequencies over all docs; latent space and labelled vectors from the bounded sample."""
-    df = dict(docs.select(F.col(text_col).alias("text")).mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n")).collect())
+    df = dict(docs.select(F.col(text_col).alias("text")).mapInArrow(tb.released(_frequencies), "dim int, n long").groupBy("dim").agg(F.sum("n")).collect())
     seen = np.array([df.get(i, 0) for i in range(DIMS)], float)
     idf = np.log((1 + df.get(DIMS, 0)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     known = known.groupBy("id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     rows = rows.groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))  # an id counts once, with its greatest text
-    found = rows.orderBy("id").select("label", "text").mapInArrow(_sparse, "label double, dims binary, counts binary").collect()
+    found = rows.orderBy("id").select("label", "text").mapInArrow(tb.released(_sparse), "label double, dims binary, counts binary").collect()
     y = np.array([r["label"] for r in found])
 
     def blocks() -> Iterator[np.ndarray]:
@@ -210,7 +210,7 @@ def scores(
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.value.score(counts))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tb.released(run), f"id {kind}, score double")
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"))
 
@@ -231,4 +231,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             mask = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
 
-    return docs.withColumn(last, F.col(text_col)).mapInArrow(run, docs.schema)
+    return docs.withColumn(last, F.col(text_col)).mapInArrow(tb.released(run), docs.schema)

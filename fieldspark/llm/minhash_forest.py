@@ -334,7 +334,7 @@ def _usual_keys(own: DataFrame, size: int, num: int, den: int) -> tuple[np.ndarr
                 every, count = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(count.astype(np.int64))], names=["key", "c"])
 
-    some = own.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long, c long")
+    some = own.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tb.released(run), "key long, c long")
     often = some.groupBy("key").agg(F.sum("c").alias("c")).where("c > 1").orderBy(F.desc("c"), "key").limit(USUAL).toArrow()
     key = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
@@ -364,9 +364,9 @@ def _within(num: int, den: int, x: str = "odd", y: str = "odd_b", n: str = "n",
 
 
 def _with_earlier(held: DataFrame) -> DataFrame:
-    """Distinct rows (id, key, ..) with the last ``EARLIER`` keys that the id has before each key, in ascending order of keys."""
-    before = W.partitionBy("id").orderBy("key").rowsBetween(-EARLIER, -1)
-    return held.withColumn("earlier", F.collect_list("key").over(before))
+    """Distinct rows (id, key, ..) with the number of keys of the id, and the last ``EARLIER`` that it has before each key, in ascending order."""
+    own = W.partitionBy("id")
+    return held.withColumn("earlier", F.collect_list("key").over(own.orderBy("key").rowsBetween(-EARLIER, -1))).withColumn("pop", F.count("*").over(own))
 
 
 def _meeting(held: DataFrame, other: DataFrame, could: Column) -> DataFrame:
@@ -439,7 +439,7 @@ def _grouped(own: DataFrame, shingle: int, num: int, den: int, trees: int, depth
     places = trees * depth
     likely = _likely(num, den, places)
     schema = "id long, n long, class binary, signature binary, u long, v long, odd binary"
-    signed = scratch.written(own.mapInArrow(_signed(shingle, trees, depth), schema), "signed")
+    signed = scratch.written(own.mapInArrow(tb.released(_signed(shingle, trees, depth)), schema), "signed")
     full = signed.where("n > 0 and id is not null")
     if same is None:
         several = signed.where("id is not null").groupBy("id").agg(F.min("class").alias("x"), F.max("class").alias("y"))
@@ -461,7 +461,7 @@ def _grouped(own: DataFrame, shingle: int, num: int, den: int, trees: int, depth
     parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 1 + classes.count() * trees // ROWS)
     order = forest.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("tree", "key", "id", "n", "u", "v")
     walk = _neighbours(REACH, SHORTEST, depth, num, den, _most_unequal(min(places, 128), num, den))
-    walked = scratch.written(order.mapInArrow(walk, "a long, b long, region long, n long, u long, v long"), "walked")
+    walked = scratch.written(order.mapInArrow(tb.released(walk), "a long, b long, region long, n long, u long, v long"), "walked")
     dense = walked.where("region is not null").select(F.col("a").alias("id"), "region", "n", "u", "v").join(central, "id", "left")
     dense = dense.withColumn("pop", F.coalesce("pop", F.lit(0)))
     top = F.max(F.struct("pop", (-F.col("id")).alias("minus"), "n", "u", "v")).alias("top")
@@ -472,7 +472,7 @@ def _grouped(own: DataFrame, shingle: int, num: int, den: int, trees: int, depth
     odd = classes.select("id", "n", "odd")
     pairs = pairs.join(odd.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("x")), "a")
     pairs = pairs.join(odd.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("y")), "b")
-    pairs = scratch.written(pairs.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_near_enough(num, den), "a long, b long"), "pairs")
+    pairs = scratch.written(pairs.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(tb.released(_near_enough(num, den)), "a long, b long"), "pairs")
 
     def texts_of(some: DataFrame) -> DataFrame:
         ends = _small(scratch.written(some.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends"))
@@ -481,7 +481,7 @@ def _grouped(own: DataFrame, shingle: int, num: int, den: int, trees: int, depth
     def confirm(some: DataFrame, text: DataFrame, name: str) -> DataFrame:
         with_a = some.select("a", "b").join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return scratch.written(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(shingle, num, den), "a long, b long"), name)
+        return scratch.written(both.select("a", "b", "text_a", "text_b").mapInArrow(tb.released(_confirmed(shingle, num, den)), "a long, b long"), name)
 
     def joined(links: DataFrame) -> DataFrame:
         return scratch.written(connected_components(links, scratch=scratch), "part")
@@ -519,7 +519,7 @@ def _grouped(own: DataFrame, shingle: int, num: int, den: int, trees: int, depth
     active = scratch.written(active, "active")
     these = own.join(_small(active), "id", "left_semi")
     usual = spark.sparkContext.broadcast(_usual_keys(these, shingle, num, den))
-    keys = scratch.written(these.mapInArrow(_keys(shingle, num, den, usual), "id long, keys array<long>"), "keys")
+    keys = scratch.written(these.mapInArrow(tb.released(_keys(shingle, num, den, usual)), "id long, keys array<long>"), "keys")
     keyed = keys.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key")
     few = keyed.join(scratch.written(shared, "shared"), "key", "left_semi").distinct()
@@ -530,13 +530,12 @@ def _grouped(own: DataFrame, shingle: int, num: int, den: int, trees: int, depth
     held = scratch.written(_with_earlier(held), "apart")
     if not held.isEmpty():
         # Under each key first its most central set: the one with most keys that others have too.
-        mine = held.drop("earlier").join(held.groupBy("id").agg(F.count("*").alias("pop")), "id")
         theirs = ("component", "n", "u", "v", "odd")
-        leaders = mine.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("minus"), *theirs)).alias("top"))
+        leaders = held.groupBy("key").agg(F.max(F.struct("pop", (-F.col("id")).alias("minus"), *theirs)).alias("top"))
         named = [F.col(f"top.{c}").alias(d) for c, d in zip(theirs, ("other", "m", "x", "y", "odd_b"), strict=True)]
         leaders = leaders.select("key", (-F.col("top.minus")).alias("id_b"), *named)
         could = (F.col("component") != F.col("other")) & likely & _within(num, den)
-        led = held.drop("earlier").join(leaders, "key").where(could).select(*_pair("id", "id_b")).distinct()
+        led = held.drop("earlier", "pop").join(leaders, "key").where(could).select(*_pair("id", "id_b")).distinct()
         led = scratch.written(led.join(pairs, ["a", "b"], "left_anti"), "led")
         late = confirm(led, texts_of(led), "late")
         if not late.isEmpty():

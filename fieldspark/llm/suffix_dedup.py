@@ -394,14 +394,14 @@ def spans(own: DataFrame) -> DataFrame:
     copies = copies.select(*by, F.lit(0).cast("long").alias("lo"), "hi")
     once = own.join(firsts.select(*[f"first.{c}" for c in by]).distinct(), by)
 
-    blocks = once.select("id", "text").mapInArrow(_minimizers(max(4, parts // 3)), "bucket int, least long, value binary, doc binary")
+    blocks = once.select("id", "text").mapInArrow(tb.released(_minimizers(max(4, parts // 3))), "bucket int, least long, value binary, doc binary")
     marks = blocks.groupBy("bucket").applyInArrow(_held_twice(COMMON), "id long, mark int").groupBy("id").agg(F.collect_list("mark").alias("marks"))
     marked = once.join(marks, "id").select("id", "text", "marks", *more)
-    distinct = marked.mapInArrow(_distinct_pieces(16 * parts), "part int, low long, high long, piece binary")
+    distinct = marked.mapInArrow(tb.released(_distinct_pieces(16 * parts)), "part int, low long, high long, piece binary")
     least = distinct.groupBy("part").applyInArrow(_least_ids, "k1 long, k2 long, runs binary")
     kind = "".join(f", {c} long" for c in more)
-    where = marked.mapInArrow(_occurrences, f"k1 long, k2 long, id long, at long{kind}")
-    covered = where.join(least, ["k1", "k2"]).select("id", "at", "runs", *more).mapInArrow(_covered, f"id long{kind}, lo long, hi long")
+    where = marked.mapInArrow(tb.released(_occurrences), f"k1 long, k2 long, id long, at long{kind}")
+    covered = where.join(least, ["k1", "k2"]).select("id", "at", "runs", *more).mapInArrow(tb.released(_covered), f"id long{kind}, lo long, hi long")
     return covered.union(copies)
 
 
@@ -414,7 +414,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
     joined = own.join(gone, by, "left").select("id", "text", "spans").union(nameless.withColumn("spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_without, schema).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tb.released(_without), schema).withColumnRenamed("id", id_col)
 
 
 def _rest_of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,4 +444,4 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     others = [c for c in docs.columns if c != text_col]
     joined = joined.select(*[docs[c] for c in others], docs[text_col], spans_col)
     schema = docs.select(*others, text_col).schema
-    return joined.mapInArrow(_rest_of_text, schema).select(*docs.columns)
+    return joined.mapInArrow(tb.released(_rest_of_text), schema).select(*docs.columns)

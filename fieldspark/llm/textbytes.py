@@ -8,7 +8,7 @@ whatever the batch holds; a text longer than that is a chunk of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,19 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+def released(run: Callable) -> Callable:
+    """run over the batches of a task, after which the worker gives free memory back: it waits for other stages' tasks with it else."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            pa.system_memory_pool().release_unused()
+
+    return whole
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word begins, where it ends, and the number of words before each text (and in all)."""
     if not len(data):

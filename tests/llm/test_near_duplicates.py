@@ -4,9 +4,12 @@ import collections
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from fieldspark.llm import minhash_forest
+from fieldspark.llm import minhash_forest, shared
+from fieldspark.llm import textbytes as tb
 
 
 def variants(n, seed=1):
@@ -68,3 +71,49 @@ def test_an_id_with_several_texts_has_the_links_of_all(spark):
     assert collections.Counter((r.doc_id, r.n_shingles) for r in out if r.doc_id is not None) == sizes
     kept = {r.doc_id for r in minhash_forest.keep_one(docs, shingle=3, num=85, den=100).collect()}
     assert kept == {None} | {i for i, c in want.items() if i == c}
+
+
+def test_a_pair_is_made_under_the_first_key_it_shares(spark):
+    """Sets that share nearly all of 60 keys, and sets that share a few: every pair that shares a key is made, mostly once."""
+    rng = random.Random(4)
+    keys = {i: set(rng.sample(range(60), 58)) for i in range(12)} | {i: set(rng.sample(range(100, 400), 25)) for i in range(12, 40)}
+    rows = [(i, k) for i, ks in keys.items() for k in ks]
+    held = minhash_forest._with_earlier(spark.createDataFrame(rows, "id long, key long")).cache()
+    other = held.select("key", F.col("id").alias("id_b"), F.col("earlier").alias("earlier_b"))
+    met = [tuple(r) for r in minhash_forest._meeting(held, other, F.lit(True)).collect()]
+    want = {(a, b) for a, b in itertools.permutations(keys, 2) if a > b and keys[a] & keys[b]}
+    assert set(met) == want
+    near = [p for p in met if p[0] < 12]
+    assert len(near) <= 2 * len(set(near))  # some 56 times before
+    assert {r.id: r.pop for r in held.collect()} == {i: len(ks) for i, ks in keys.items()}
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def most():
+        return rows.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("some words "), 400).alias("text"))
+    before = spark.conf.get(name)
+    with shared.small_batches(spark):
+        assert most() <= shared.BATCH + 10_000
+    assert spark.conf.get(name) == before
+    assert most() > 2 * shared.BATCH
+    spark.conf.set(name, "1m")
+    try:
+        with shared.small_batches(spark):
+            assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_worker_gives_memory_back_after_its_rows():
+    """What a task's arrays took is free again; an error inside passes through."""
+    out = list(tb.released(lambda batches: (b for b in batches))(iter([1, 2])))
+    assert out == [1, 2]
+    with pytest.raises(ZeroDivisionError):
+        list(tb.released(lambda batches: (1 // b for b in batches))(iter([0])))
